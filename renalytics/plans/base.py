@@ -20,6 +20,17 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.prepare_patients(patients_raw(spark, sf_dir))
 
 
+def split_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients with their stratified ``split`` label."""
+    from ..operators.split import stratified_split
+    return stratified_split(patients(spark, sf_dir))
+
+
+def encoded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded patients with ``split`` (the modelling table)."""
+    return FE.encode_features(split_patients(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # SQL twins (DuckDB and Spark SQL), written independently of the DataFrame code
 # ---------------------------------------------------------------------------
@@ -61,19 +72,48 @@ SELECT patient_id, age,
 FROM patients
 """
 
+SPLIT_SQL = """
+SELECT * EXCLUDE (h, rk, n, nt), CASE WHEN rk < nt THEN 'test'
+       WHEN rk < nt + floor((n - nt) * 0.2222e0 + 0.5e0) THEN 'validation' ELSE 'train' END AS split
+FROM (
+  SELECT *, floor(n * 0.1e0 + 0.5e0) AS nt FROM (
+    SELECT *, row_number() OVER (PARTITION BY ckd_diagnosis ORDER BY h, patient_id) - 1 AS rk,
+           count(*) OVER (PARTITION BY ckd_diagnosis) AS n
+    FROM (SELECT *, ('0x' || substr(md5('42|' || CAST(patient_id AS VARCHAR)), 1, 15))::BIGINT AS h
+          FROM patients) a) b) c
+"""
+
+ENC_SPLIT_SQL = """
+SELECT e.*, s.split FROM encoded e JOIN split s ON e.patient_id = s.patient_id
+"""
+
+FEATURES = ["age", "gender", "diabetes", "hypertension", "foamy_urine", "extra_salt",
+            "living_area", "hemoglobin"]
+
 BASE_CTES = {
     "cohort": COHORT_SQL,
     "patients": PATIENTS_SQL,
     "staging": STAGING_SQL,
     "encoded": ENCODED_SQL,
+    "split": SPLIT_SQL,
+    "enc_split": ENC_SPLIT_SQL,
 }
+BASE_ORDER = ["cohort", "patients", "staging", "encoded", "split", "enc_split"]
+DEPENDS = {"patients": ["cohort"], "staging": ["patients"], "encoded": ["patients"],
+           "split": ["patients"], "enc_split": ["encoded", "split"]}
 
 
 def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the named CTEs (cohort first, in dependency order)."""
     ctes = dict(BASE_CTES)
     ctes.update(extra or {})
-    order = ["cohort", "patients", "staging", "encoded"] + [n for n in (extra or {})]
-    wanted = set(names) | {"cohort"}
+    order = BASE_ORDER + [n for n in (extra or {})]
+    wanted: set[str] = set()
+    stack = list(names) + ["cohort"]
+    while stack:
+        n = stack.pop()
+        if n not in wanted:
+            wanted.add(n)
+            stack.extend(DEPENDS.get(n, []))
     parts = [f"{n} AS ({ctes[n]})" for n in order if n in wanted]
     return "WITH " + ",\n".join(parts) + "\n" + body
