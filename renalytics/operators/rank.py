@@ -58,3 +58,36 @@ def ranked_within(df: DataFrame, group_cols: list[str], order_cols: list[Column
     return (b.join(offsets, [*group_cols, "__bucket"])
             .withColumn(rank_col, F.col("__offset") + rn - 1)
             .drop("__bucket", "__offset"))
+
+
+def prefix_sums_within(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
+                       bucket: Column, value_cols: list[str], suffix: str = "_before"
+                       ) -> DataFrame:
+    """Exclusive running sums of ``value_cols`` within groups, in ``order_cols`` order.
+
+    Same two-level scheme as :func:`ranked_within`: per-bucket totals, offsets
+    over the small bucket table, then a window per (group, bucket).
+    """
+    b = df.withColumn("__bucket", bucket)
+    tot = b.groupBy(*group_cols, "__bucket").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
+    w = Window.partitionBy(*group_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = tot.select(*group_cols, "__bucket", *[
+        (F.sum(f"__t_{v}").over(w) - F.col(f"__t_{v}")).alias(f"__o_{v}") for v in value_cols])
+    wi = (Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols)
+          .rowsBetween(Window.unboundedPreceding, 0))
+    out = b.join(offsets, [*group_cols, "__bucket"])
+    for v in value_cols:
+        out = out.withColumn(f"{v}{suffix}",
+                             F.col(f"__o_{v}") + F.sum(v).over(wi) - F.col(v))
+    return out.drop("__bucket", *[f"__o_{v}" for v in value_cols])
+
+
+def range_bucket(x: Column | str, lo: Column, hi: Column, n_buckets: int = 4096,
+                 descending: bool = False) -> Column:
+    """Bucket 0..n-1 of ``x`` over [lo, hi]; non-decreasing in x (or in -x)."""
+    x = F.col(x) if isinstance(x, str) else x
+    span = hi - lo
+    frac = F.when(span > 0, (x - lo) / span).otherwise(F.lit(0.0))
+    if descending:
+        frac = F.lit(1.0) - frac
+    return F.least(F.floor(frac * F.lit(float(n_buckets))), F.lit(n_buckets - 1)).cast("int")

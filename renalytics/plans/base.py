@@ -109,7 +109,7 @@ def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> st
     ctes.update(extra or {})
     order = BASE_ORDER + [n for n in (extra or {})]
     wanted: set[str] = set()
-    stack = list(names) + ["cohort"]
+    stack = list(names) + list(extra or {}) + ["cohort"]
     while stack:
         n = stack.pop()
         if n not in wanted:

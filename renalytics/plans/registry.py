@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-PLAN_MODULES = ["staging_plans", "profile_plans", "split_plans", "feature_plans"]
+PLAN_MODULES = ["staging_plans", "profile_plans", "split_plans", "feature_plans", "evaluation_plans"]
