@@ -70,3 +70,49 @@ FROM (SELECT patient_id, ckd_diagnosis, probability,
              ('0x' || substr(md5('42|kfold|' || CAST(patient_id AS VARCHAR)), 1, 15))::BIGINT AS h
       FROM split WHERE split = 'train') t
 """
+
+
+# FIXED VALUES — coefficients of the fixture logistic model on scaled features
+LINEAR_WEIGHTS = {"age": 0.8, "gender": -0.3, "diabetes": 0.6, "hypertension": 0.5,
+                  "foamy_urine": 0.4, "extra_salt": 0.2, "living_area": -0.1, "hemoglobin": -0.7}
+LINEAR_INTERCEPT = 1.5
+SCALED_NUM = ["age", "hemoglobin"]
+
+
+def scaled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded patients with split, numeric features scaled by training statistics."""
+    from ..operators import features as FE
+    from .base import encoded_split
+    es = encoded_split(spark, sf_dir)
+    stats = FE.fit_scaler(es.where(F.col("split") == "train"), SCALED_NUM)
+    return FE.apply_scaler(es, stats, SCALED_NUM)
+
+
+def _lin_sql() -> str:
+    terms = " + ".join([repr(float(LINEAR_INTERCEPT))]
+                       + [f"({float(w)!r}) * CAST({c} AS DOUBLE)" for c, w in LINEAR_WEIGHTS.items()])
+    return terms
+
+
+SCALED_SQL = (
+    "SELECT e.patient_id, e.split, "
+    + ", ".join(f"(CAST(e.{c} AS DOUBLE) - st.{c}_m) / st.{c}_s AS {c}" if c in SCALED_NUM
+                else f"e.{c}" for c in LINEAR_WEIGHTS)
+    + ", e.ckd_diagnosis, e.age AS age_years, e.hemoglobin AS hemoglobin_raw FROM enc_split e CROSS JOIN ("
+    + "SELECT " + ", ".join(
+        f"avg(CAST({c} AS DOUBLE)) AS {c}_m, CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1e0 "
+        f"ELSE stddev_pop(CAST({c} AS DOUBLE)) END AS {c}_s" for c in SCALED_NUM)
+    + " FROM enc_split WHERE split = 'train') st")
+
+LIN_SQL = (f"SELECT patient_id, split, ckd_diagnosis, {_lin_sql()} AS margin FROM scaled")
+LIN_PROB_SQL = "SELECT *, 1e0 / (1e0 + exp(-margin)) AS probability FROM lin0"
+BG_SQL = ("SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}" for c in LINEAR_WEIGHTS)
+          + " FROM scaled WHERE split = 'train'")
+ATTR_SQL = " UNION ALL ".join(
+    f"SELECT s.patient_id, '{c}' AS feature, {i} AS feature_ordinal, CAST(s.{c} AS DOUBLE) AS feature_value, "
+    f"({float(w)!r}) * (CAST(s.{c} AS DOUBLE) - bg.{c}) AS shap_value FROM scaled s CROSS JOIN bg "
+    f"WHERE s.split = 'validation'" for i, (c, w) in enumerate(LINEAR_WEIGHTS.items()))
+BASELINE_SQL = " + ".join(f"({float(w)!r}) * bg.{c}" for c, w in LINEAR_WEIGHTS.items())
+
+LINEAR_CTES = {"scaled": SCALED_SQL, "lin0": LIN_SQL, "lin": LIN_PROB_SQL, "bg": BG_SQL,
+               "attr": ATTR_SQL}
