@@ -47,21 +47,20 @@ def linear_attribution(df: DataFrame, weights: dict[str, float], background: Dat
                        ) -> tuple[DataFrame, Column]:
     """``w_i (x_i - mean_i)`` per patient and feature (X3), long layout.
 
-    ``background`` supplies the feature means (the training rows); they are one
-    aggregate row referenced as a scalar subquery.  Returns the long table and
-    the baseline margin ``b + sum w_i mean_i`` minus the intercept-free part
-    (add the intercept to get the expected margin).
+    ``background`` supplies the feature means (the training rows), fitted once.
+    Returns the long table and the baseline ``sum_i w_i mean_i`` (add the
+    intercept to get the expected margin).
     """
     feats = list(weights)
-    stats = fit_scaler(background, feats)
-    s = stats.select(F.struct(*[F.col(f"{c}__mean") for c in feats]).alias("s")).scalar()
+    means = fit_scaler(background, feats).first().asDict()  # fit: one small job
+    mean = {c: F.lit(means[f"{c}__mean"]) for c in feats}
     cells = F.array(*[F.struct(
         F.lit(c).alias("feature"), F.lit(i).alias("feature_ordinal"),
         F.col(c).cast("double").alias("feature_value"),
-        (F.lit(float(weights[c])) * (F.col(c).cast("double") - s.getField(f"{c}__mean")))
-        .alias("shap_value")) for i, c in enumerate(feats)])
+        (F.lit(float(weights[c])) * (F.col(c).cast("double") - mean[c])).alias("shap_value"))
+        for i, c in enumerate(feats)])
     long = df.select(ID, F.inline(cells))
-    baseline = X.add_all([F.lit(float(weights[c])) * s.getField(f"{c}__mean") for c in feats])
+    baseline = X.add_all([F.lit(float(weights[c])) * mean[c] for c in feats])
     return long, baseline
 
 

@@ -1,8 +1,8 @@
 """Cleaning and feature engineering.
 
-All per-row work is one projection; fitted statistics (median, mean, std) are
-one-row aggregates referenced as scalar subqueries, so no join and no driver
-round trip is needed to apply them.
+All per-row work is one projection.  Fitted statistics (median, mean, std)
+come from one small aggregate job each, like any estimator's ``fit``, and are
+applied as literals (or lazily as a scalar subquery), never by a join.
 """
 
 from __future__ import annotations
@@ -19,19 +19,28 @@ from .quantiles import medians_row
 # ---------------------------------------------------------------------------
 # F1 imputation
 # ---------------------------------------------------------------------------
-def fill_median(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
+def fit_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Fit step of F1: exact medians, one small job, returned as fitted values."""
+    row = medians_row(df, cols).first()
+    return {c: (None if row is None else row[c]) for c in cols}
+
+
+def fill_median(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None,
+                medians: dict[str, float | None] | None = None) -> DataFrame:
     """Replace NULLs by the exact (interpolated) median of each column (F1).
 
     ``fit_on`` defaults to ``df`` itself (the original fits before the split).
+    The medians are fitted once (like any estimator's ``fit``) and applied as
+    literals, so later plans do not re-run the quantile jobs.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    med = medians_row(fit_on if fit_on is not None else df, cols)
-    stats = med.select(F.struct(*cols).alias("m")).scalar()
+    if medians is None:
+        medians = fit_medians(fit_on if fit_on is not None else df, cols)
     return df.select(*[
-        F.coalesce(F.col(c), stats.getField(c)).alias(c) if c in cols else F.col(c)
-        for c in df.columns])
+        F.coalesce(F.col(c), F.lit(medians[c]).cast(df.schema[c].dataType)).alias(c)
+        if c in cols else F.col(c) for c in df.columns])
 
 
 def prepare_patients(df: DataFrame, spec: ColumnSpec = COHORT_SPEC) -> DataFrame:
@@ -105,10 +114,24 @@ def scaler_long(stats: DataFrame, cols: list[str]) -> DataFrame:
     return stats.select(F.inline(pairs))
 
 
-def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
-    """(x - mean) / scale with the fitted row as a scalar subquery."""
-    s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+def collect_stats(stats: DataFrame) -> dict[str, float]:
+    """Fitted one-row statistics as a dict (the model of a fit step)."""
+    return stats.first().asDict()
+
+
+def apply_scaler(df: DataFrame, stats: DataFrame | dict, cols: list[str]) -> DataFrame:
+    """(x - mean) / scale.
+
+    ``stats`` is the fitted dict (applied as literals) or the one-row stats
+    DataFrame (applied lazily as a scalar subquery).
+    """
+    if isinstance(stats, dict):
+        mean = {c: F.lit(stats[f"{c}__mean"]) for c in cols}
+        scale = {c: F.lit(stats[f"{c}__scale"]) for c in cols}
+    else:
+        s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+        mean = {c: s.getField(f"{c}__mean") for c in cols}
+        scale = {c: s.getField(f"{c}__scale") for c in cols}
     return df.select(*[
-        ((F.col(c).cast("double") - s.getField(f"{c}__mean")) / s.getField(f"{c}__scale")).alias(c)
-        if c in cols else F.col(c)
+        ((F.col(c).cast("double") - mean[c]) / scale[c]).alias(c) if c in cols else F.col(c)
         for c in df.columns])

@@ -64,7 +64,7 @@ _F10 = (f", st AS (SELECT {_F10_STATS} FROM enc_split WHERE split = 'train')\n"
 @register("f10_apply_scaler", with_ctes(_F10, "enc_split"))
 def f10_apply_scaler(spark, sf_dir):
     es = encoded_split(spark, sf_dir)
-    stats = FE.fit_scaler(es.where(F.col("split") == "train"), _NUM)
+    stats = FE.collect_stats(FE.fit_scaler(es.where(F.col("split") == "train"), _NUM))
     scaled = FE.apply_scaler(es, stats, _NUM)
     return scaled.select("patient_id", "split",
                          *[X.round_half_up(c, 6).alias(c) if c in _NUM else F.col(c) for c in FEATURES],

@@ -84,7 +84,7 @@ def scaled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import features as FE
     from .base import encoded_split
     es = encoded_split(spark, sf_dir)
-    stats = FE.fit_scaler(es.where(F.col("split") == "train"), SCALED_NUM)
+    stats = FE.collect_stats(FE.fit_scaler(es.where(F.col("split") == "train"), SCALED_NUM))
     return FE.apply_scaler(es, stats, SCALED_NUM)
 
 
@@ -116,3 +116,25 @@ BASELINE_SQL = " + ".join(f"({float(w)!r}) * bg.{c}" for c, w in LINEAR_WEIGHTS.
 
 LINEAR_CTES = {"scaled": SCALED_SQL, "lin0": LIN_SQL, "lin": LIN_PROB_SQL, "bg": BG_SQL,
                "attr": ATTR_SQL}
+
+
+def fixture_artefacts(spark: SparkSession, sf_dir: str):
+    """Fit the scoring artefacts of the fixture linear pipeline (small jobs only)."""
+    from ..operators import features as FE
+    from ..operators.scoring import ScoringArtefacts
+    from .base import FEATURES, encoded_split, patients_raw
+    medians = FE.fit_medians(patients_raw(spark, sf_dir), ["hemoglobin"])
+    es = encoded_split(spark, sf_dir)
+    train = es.where(F.col("split") == "train")
+    scaler = FE.collect_stats(FE.fit_scaler(train, SCALED_NUM))
+    scaled_train = FE.apply_scaler(train, scaler, SCALED_NUM)
+    means_row = scaled_train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in FEATURES]).first()
+    return ScoringArtefacts(features=tuple(FEATURES), scaler=scaler, weights=dict(LINEAR_WEIGHTS),
+                            intercept=LINEAR_INTERCEPT, means=means_row.asDict(),
+                            scaled=tuple(SCALED_NUM), fill=medians)
+
+
+ATTR_ALL_SQL = " UNION ALL ".join(
+    f"SELECT s.patient_id, '{c}' AS feature, {i} AS feature_ordinal, "
+    f"({float(w)!r}) * (CAST(s.{c} AS DOUBLE) - bg.{c}) AS shap_value FROM scaled s CROSS JOIN bg"
+    for i, (c, w) in enumerate(LINEAR_WEIGHTS.items()))
