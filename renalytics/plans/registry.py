@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-PLAN_MODULES = ["staging_plans", "profile_plans", "split_plans", "feature_plans", "evaluation_plans", "risk_plans", "attribution_plans", "report_plans", "smote_plans", "model_plans"]
+PLAN_MODULES = ["staging_plans", "profile_plans", "split_plans", "feature_plans", "evaluation_plans", "risk_plans", "attribution_plans", "report_plans", "smote_plans", "io_plans", "model_plans"]
