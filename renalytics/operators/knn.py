@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from ..functions import exprs as X
 from ..session import cut_lineage
 
 MAX_BINARY_COLUMNS = 10
+_DEBUG = bool(os.environ.get("RENALYTICS_DEBUG"))
 
 
 def _pattern(binary: list[str]):
@@ -78,8 +80,9 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
     offsets = F.array(*[F.array(*[F.lit(o) for o in combo])
                         for combo in itertools.product((-1, 0, 1), repeat=len(cont))])
 
+    pts = cut_lineage(pts)  # input vectors: read by every round
     unresolved = pts
-    found: DataFrame | None = None
+    parts: list[DataFrame] = []
     for _ in range(max_rounds):
         last = radius * radius >= diameter2
         r2 = radius * radius
@@ -95,24 +98,28 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
                   .join(F.broadcast(pattern_pairs.where(F.col("ham") <= F.lit(r2))), "pat"))
         cand = (probes.join(grid, [f"cell{i}" for i in range(len(cont))] + ["q"])
                 .where(F.col("h") != F.col(gid))
-                .select(gid, mult, "h", "h_mult", _d2("g_", "h_", feats).alias("d2raw"))
+                .select(gid, "h", "h_mult", _d2("g_", "h_", feats).alias("d2raw"))
                 .where(F.col("d2raw") <= F.lit(r2))
-                .select(gid, mult, "h", "h_mult", X.round_half_up("d2raw", 9).alias("d2")))
+                .select(gid, "h", "h_mult", X.round_half_up("d2raw", 9).alias("d2")))
+        cand = cut_lineage(cand)                       # candidate pairs of this round
+        if last:
+            parts.append(cand)
+            break
         have = cand.groupBy(gid).agg(F.sum("h_mult").alias("within"))
-        status = (unresolved.select(gid, mult).join(have, gid, "left")
-                  .select(gid, ((F.coalesce("within", F.lit(0)) + F.col(mult) - 1) >= k_eff)
-                          .alias("done")))
-        status = cut_lineage(status)
-        done_ids = status.where(F.col("done") | F.lit(last)).select(gid)
-        part = cand.join(done_ids, gid, "left_semi").select(gid, "h", "h_mult", "d2")
-        part = cut_lineage(part)
-        found = part if found is None else found.unionByName(part)
-        unresolved = unresolved.join(status.where(~F.col("done") & ~F.lit(last)).select(gid),
-                                     gid, "left_semi")
-        unresolved = cut_lineage(unresolved)
-        if last or unresolved.isEmpty():
+        status = cut_lineage(                          # one small row per unresolved vector
+            unresolved.select(gid, mult).join(have, gid, "left").select(
+                gid, ((F.coalesce("within", F.lit(0)) + F.col(mult) - 1) >= k_eff).alias("done")))
+        parts.append(cand.join(status.where("done").select(gid), gid, "left_semi"))
+        pending = status.where(~F.col("done")).select(gid)
+        if _DEBUG:
+            print(f"knn round radius={radius:.4g}", flush=True)
+        if pending.isEmpty():
             break
+        unresolved = pts.join(pending, gid, "left_semi")
         radius *= 2.0
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
 
     own = pts.where(F.col(mult) > 1).select(gid, F.col(gid).alias("h"),
                                             (F.col(mult) - 1).alias("h_mult"), F.lit(0.0).alias("d2"))

@@ -6,14 +6,14 @@ is 2.0, not 2.5).  This operator combines both:
 
 1. one aggregate per (group, column): ``n``, min, max and approximate
    quantiles just below and above the target rank (rank error <= n/accuracy);
-2. one aggregate counting values below / up to that bracket (checks it);
-3. only values inside the bracket are kept, collapsed to (value, count) pairs
-   (a hot value is one row), and a running count over that small set finds the
-   values at ranks floor((n-1)q) and ceil((n-1)q); linear interpolation as in
-   pandas / DuckDB ``quantile_cont``.
-
-If a bracket fails its check (tiny groups), that group falls back to
-[min, max], which is still exact, only wider.
+2. one more scan counts the values below and above that bracket and keeps
+   only the values inside it, collapsed to (value, count) pairs (a hot value
+   is one row); a running count over that small set finds the values at ranks
+   floor((n-1)q) and ceil((n-1)q); linear interpolation as in pandas / DuckDB
+   ``quantile_cont``.
+
+If a bracket fails its check (tiny groups), that group is redone with the
+[min, max] bracket, which is still exact, only wider.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def _long(df: DataFrame, cols: list[str], group_cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
-                    group_cols: list[str] | None = None, accuracy: int = 100_000) -> DataFrame:
+                    group_cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """Long table ``(group..., column, q, value)`` of exact interpolated quantiles."""
     g = list(group_cols or [])
     keys = g + ["column"]
@@ -55,40 +55,76 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
                .withColumn("r_lo", F.floor("pos"))
                .withColumn("r_hi", F.ceil("pos")))
 
-    # pass 2: check the approximate brackets
-    joined = long.join(targets, keys)
-    check = joined.groupBy(*keys, "q").agg(
-        F.count_if(F.col("value") < F.col("blo")).alias("c_below"),
-        F.count_if(F.col("value") <= F.col("bhi")).alias("c_upto"))
-    ok = (F.col("c_below") <= F.col("r_lo")) & (F.col("c_upto") > F.col("r_hi"))
-    final = (targets.join(check, keys + ["q"])
-             .select(*keys, "q", "pos", "r_lo", "r_hi",
-                     F.when(ok, F.col("blo")).otherwise(F.col("vmin")).alias("lo"),
-                     F.when(ok, F.col("bhi")).otherwise(F.col("vmax")).alias("hi"),
-                     F.when(ok, F.col("c_below")).otherwise(F.lit(0)).alias("c_below")))
-
-    # pass 3: exact ranks inside the bracket, over (value, count) pairs
-    inside = (long.join(final, keys)
-              .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-              .groupBy(*keys, "q", "value")
-              .agg(F.count(F.lit(1)).alias("cnt"),
-                   F.first("c_below").alias("c_below"), F.first("r_lo").alias("r_lo"),
-                   F.first("r_hi").alias("r_hi"), F.first("pos").alias("pos")))
-    w = Window.partitionBy(*keys, "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("end", F.col("c_below") + F.sum("cnt").over(w)) \
-                   .withColumn("start", F.col("end") - F.col("cnt"))
+    if not g:
+        return _ungrouped(long, targets, keys)
+
+    # pass 2 (one scan): rows below / inside / above the approximate bracket;
+    # inside values are collapsed to (value, count) pairs (a hot value is one row)
+    ranked = _bracket_ranks(long, targets, keys, "blo", "bhi")
+    ok = ranked.groupBy(*keys, "q").agg(
+        F.first((F.col("c_below") <= F.col("r_lo")) & (F.col("n") - F.col("c_above") > F.col("r_hi")))
+        .alias("ok"))
+    good = ranked.join(ok.where("ok"), keys + ["q"], "left_semi")
+    bad_targets = targets.join(ok.where(~F.col("ok")), keys + ["q"], "left_semi")
+    # fallback (rare: tiny groups): the exact [min, max] bracket
+    fallback = _bracket_ranks(long.join(bad_targets.select(*keys).distinct(), keys, "left_semi"),
+                              bad_targets, keys, "vmin", "vmax")
+    return _pick(good, keys).unionByName(_pick(fallback, keys))
+
+
+def _ungrouped(long: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole-column quantiles: brackets and results are tiny fitted values, so
+    they are evaluated eagerly (one job each) and the data is scanned once more."""
+    spark = long.sparkSession
+    t = spark.createDataFrame(targets.collect(), targets.schema)      # columns x qs rows
+    res = _pick(_bracket_ranks(long, t, keys, "blo", "bhi"), keys, with_ok=True).collect()
+    bad = [(r["column"], r["q"]) for r in res if not r["ok"]]
+    rows = [(r["column"], r["q"], r["value"]) for r in res if r["ok"]]
+    if bad:
+        tb = t.where(F.array_contains(F.array(*[F.lit(f"{c}|{q!r}") for c, q in bad]),
+                                      F.concat_ws("|", "column", F.col("q").cast("string"))))
+        rows += [(r["column"], r["q"], r["value"])
+                 for r in _pick(_bracket_ranks(long, tb, keys, "vmin", "vmax"), keys).collect()]
+    return spark.createDataFrame(rows, "column string, q double, value double")
+
+
+def _bracket_ranks(long: DataFrame, targets: DataFrame, keys: list[str], lo: str, hi: str
+                   ) -> DataFrame:
+    j = long.join(targets.select(*keys, "q", "n", "pos", "r_lo", "r_hi",
+                                 F.col(lo).alias("lo"), F.col(hi).alias("hi")), keys)
+    side = (F.when(F.col("value") < F.col("lo"), F.lit(-1))
+            .when(F.col("value") > F.col("hi"), F.lit(1)).otherwise(F.lit(0)))
+    g = (j.select(*keys, "q", "n", "pos", "r_lo", "r_hi", side.alias("side"),
+                  F.when(side == 0, F.col("value")).alias("v"))
+         .groupBy(*keys, "q", "side", "v")
+         .agg(F.count(F.lit(1)).alias("cnt"), F.first("n").alias("n"), F.first("pos").alias("pos"),
+              F.first("r_lo").alias("r_lo"), F.first("r_hi").alias("r_hi")))
+    wk = Window.partitionBy(*keys, "q")
+    g = g.select("*",
+                 F.sum(F.when(F.col("side") == -1, F.col("cnt")).otherwise(0)).over(wk).alias("c_below"),
+                 F.sum(F.when(F.col("side") == 1, F.col("cnt")).otherwise(0)).over(wk).alias("c_above"))
+    inside = g.where(F.col("side") == 0)
+    w = wk.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return (inside.withColumn("end", F.col("c_below") + F.sum("cnt").over(w))
+            .withColumn("start", F.col("end") - F.col("cnt")))
+
+
+def _pick(ranked: DataFrame, keys: list[str], with_ok: bool = False) -> DataFrame:
     at_lo = (F.col("start") <= F.col("r_lo")) & (F.col("r_lo") < F.col("end"))
     at_hi = (F.col("start") <= F.col("r_hi")) & (F.col("r_hi") < F.col("end"))
     picked = ranked.groupBy(*keys, "q").agg(
-        F.max(F.when(at_lo, F.col("value"))).alias("v_lo"),
-        F.max(F.when(at_hi, F.col("value"))).alias("v_hi"),
-        F.first("pos").alias("pos"), F.first("r_lo").alias("r_lo"))
+        F.max(F.when(at_lo, F.col("v"))).alias("v_lo"),
+        F.max(F.when(at_hi, F.col("v"))).alias("v_hi"),
+        F.first("pos").alias("pos"), F.first("r_lo").alias("r_lo"),
+        F.first((F.col("c_below") <= F.col("r_lo"))
+                & (F.col("n") - F.col("c_above") > F.col("r_hi"))).alias("ok"))
     frac = F.col("pos") - F.col("r_lo")
     return picked.select(*keys, "q",
-                         (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+                         (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("value"),
+                         *(["ok"] if with_ok else []))
 
 
-def medians_row(df: DataFrame, cols: list[str], accuracy: int = 100_000) -> DataFrame:
+def medians_row(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> DataFrame:
     """One row with one exact median per column (for scalar use)."""
     q = exact_quantiles(df, cols, [0.5], accuracy=accuracy)
     return q.agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in cols])
