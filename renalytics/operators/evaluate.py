@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
-from .rank import prefix_sums_within, range_bucket, ranked_within
+from .rank import prefix_sums_within, range_bucket
 
 GROUP = ["split", "model"]
 METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
@@ -77,7 +77,8 @@ def _distinct_scores(preds: DataFrame, group: list[str], label: str, score: str)
 
 def _bucketed(d: DataFrame, group: list[str], n_buckets: int, descending: bool) -> tuple:
     mm = d.groupBy(*group).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"),
-                               F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+                               F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+                               F.count(F.lit(1)).alias("n_points"))
     j = d.join(mm, group)
     return j, range_bucket("score", F.col("__lo"), F.col("__hi"), n_buckets, descending)
 
@@ -112,15 +113,14 @@ def roc_curve(preds: DataFrame, group: list[str] = GROUP, label: str = "label",
     Neighbours are found by equi-joins on the point index, not by a window
     over a whole model.
     """
-    d = _distinct_scores(preds, group, label, score)
+    d = _distinct_scores(preds, group, label, score).withColumn("one", F.lit(1))
     j, bucket = _bucketed(d, group, n_buckets, descending=True)
-    pre = prefix_sums_within(j, group, [F.col("score").desc()], bucket, ["pos", "neg"])
-    pts = pre.select(*group, "score", "n_pos", "n_neg", "__lo", "__hi",
+    # one pass gives cumulative positives, negatives and the point index
+    pre = prefix_sums_within(j, group, [F.col("score").desc()], bucket, ["pos", "neg", "one"])
+    pts = pre.select(*group, "score", "n_pos", "n_neg", "__lo", "__hi", "n_points",
                      (F.col("pos_before") + F.col("pos")).alias("tps"),
-                     (F.col("neg_before") + F.col("neg")).alias("fps"))
-    desc_bucket = range_bucket("score", F.col("__lo"), F.col("__hi"), n_buckets, descending=True)
-    pts = ranked_within(pts, group, [F.col("score").desc()], desc_bucket,
-                        rank_col="k", size_col="n_points")
+                     (F.col("neg_before") + F.col("neg")).alias("fps"),
+                     F.col("one_before").alias("k"))
     if drop_intermediate:
         prev = pts.select(*group, (F.col("k") + 1).alias("k"), F.col("tps").alias("tps_prev"),
                           F.col("fps").alias("fps_prev"))
@@ -131,8 +131,10 @@ def roc_curve(preds: DataFrame, group: list[str] = GROUP, label: str = "label",
         second_tp = F.col("tps_prev") - 2 * F.col("tps") + F.col("tps_next")
         keep = ((F.col("k") == 0) | (F.col("k") == F.col("n_points") - 1)
                 | (second_fp != 0) | (second_tp != 0))
-        pts = ranked_within(pts.where(keep).drop("k", "n_points"), group,
-                            [F.col("score").desc()], desc_bucket, rank_col="k", size_col=None)
+        kept = pts.where(keep).drop("k").withColumn("one", F.lit(1))
+        desc_bucket = range_bucket("score", F.col("__lo"), F.col("__hi"), n_buckets, descending=True)
+        pts = prefix_sums_within(kept, group, [F.col("score").desc()], desc_bucket, ["one"]) \
+            .withColumnRenamed("one_before", "k")
     r = lambda c: X.round_half_up(c, decimals)
     body = pts.select(*group, (F.col("k") + 1).alias("idx"),
                       r(X.safe_ratio("fps", "n_neg")).alias("fpr"),

@@ -180,36 +180,35 @@ def age_group_by_class(df: DataFrame, spec: ColumnSpec = COHORT_SPEC) -> DataFra
 # B13 / B14 ------------------------------------------------------------------
 def correlation_long(df: DataFrame, cols: list[str], decimals: int = 6,
                      lower_only: bool = False) -> DataFrame:
-    """Pearson r for every pair in ONE aggregate, pairwise-complete rows.
+    """Pearson r for every pair, pairwise-complete rows, in ONE scan.
 
-    ``covar_pop / (std_pop(a | b present) * std_pop(b | a present))`` with
-    ``try_divide``: a constant column gives NULL instead of an ANSI error.
-    Output ``(i, j, x, y, x_name, y_name, r)``; ``lower_only`` keeps i > j (B14).
+    Each row is exploded into its column pairs (j <= i) in memory with two small
+    ``posexplode`` steps and aggregated per pair (map-side partial aggregation
+    leaves pairs x partitions rows to shuffle).  ``covar_pop / (std_pop(a | b present) * std_pop(b | a present))``
+    with ``try_divide``: a constant column gives NULL instead of an ANSI error.
+    Output ``(i, j, x, y, x_name, y_name, r)``; ``lower_only`` keeps i > j.
     """
-    aggs = []
-    for i, j in combinations(range(len(cols)), 2):
-        a, b = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
-        a_p = F.when(b.isNotNull(), a)
-        b_p = F.when(a.isNotNull(), b)
-        aggs.append(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_p) * F.stddev_pop(b_p))
-                    .alias(f"r_{i}_{j}"))
-    for i, c in enumerate(cols):
-        s = F.stddev_pop(F.col(c).cast("double"))
-        aggs.append(F.when(s > 0, F.lit(1.0)).alias(f"r_{i}_{i}"))
-    wide = df.agg(*aggs)
-    cells = []
-    for i in range(len(cols)):
-        for j in range(len(cols)):
-            if lower_only and not i > j:
-                continue
-            key = f"r_{min(i, j)}_{max(i, j)}"
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                  F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
-                                  F.col(key).alias("r")))
-    out = wide.select(F.inline(F.array(*cells)))
-    return out.select("i", "j", "x", "y", X.display_name_expr("x").alias("x_name"),
-                      X.display_name_expr("y").alias("y_name"),
-                      X.round_half_up("r", decimals).alias("r"))
+    vals = F.array(*[F.col(c).cast("double") for c in cols])
+    per_col = df.select(vals.alias("v")).select("v", F.posexplode("v").alias("i", "a"))
+    long = per_col.select("i", "a", F.posexplode(F.slice("v", F.lit(1), F.col("i") + 1))
+                          .alias("j", "b"))
+    a, b = F.col("a"), F.col("b")
+    agg = long.groupBy("i", "j").agg(
+        F.covar_pop(a, b).alias("cov"),
+        F.stddev_pop(F.when(b.isNotNull(), a)).alias("sa"),
+        F.stddev_pop(F.when(a.isNotNull(), b)).alias("sb"))
+    r = (F.when(F.col("i") == F.col("j"), F.when(F.col("sa") > 0, F.lit(1.0)))
+         .otherwise(F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))))
+    low = agg.select("i", "j", r.alias("r"))
+    both = low if lower_only else low.unionByName(
+        low.where(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    if lower_only:
+        both = both.where(F.col("i") > F.col("j"))
+    names = F.array(*[F.lit(c) for c in cols])
+    x = F.element_at(names, F.col("i") + 1)
+    y = F.element_at(names, F.col("j") + 1)
+    return both.select("i", "j", x.alias("x"), y.alias("y"), X.display_name_expr(x).alias("x_name"),
+                       X.display_name_expr(y).alias("y_name"), X.round_half_up("r", decimals).alias("r"))
 
 
 def correlation_wide(long: DataFrame, cols: list[str]) -> DataFrame:
