@@ -48,7 +48,8 @@ def _d2(a: str, b: str, cols: list[str]):
 
 
 def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
-              gid: str = "gid", mult: str = "mult", max_rounds: int = 64) -> DataFrame:
+              gid: str = "gid", mult: str = "mult", max_rounds: int = 64,
+              max_cell: int = 4096) -> DataFrame:
     """``(gid, j, nb_gid, d2)``: the j-th (0-based) nearest neighbour of each vector.
 
     Neighbours are expanded by multiplicity (a vector with 3 copies can fill 3
@@ -81,6 +82,15 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
                         for combo in itertools.product((-1, 0, 1), repeat=len(cont))])
 
     pts = cut_lineage(pts)  # input vectors: read by every round
+    # Dense regions: shrink the starting radius until no grid cell holds more
+    # than ``max_cell`` distinct vectors, so no cell yields a quadratic burst of
+    # pairs (counting job only; dense vectors then resolve in the first rounds).
+    while cont and radius > 1e-9:
+        cells = [F.floor(F.col(c) / F.lit(radius)) for c in cont]
+        occ = pts.groupBy(*cells, "pat").count().agg(F.max("count")).first()[0]
+        if occ is None or occ <= max_cell:
+            break
+        radius /= 4.0
     unresolved = pts
     parts: list[DataFrame] = []
     for _ in range(max_rounds):

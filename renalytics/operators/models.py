@@ -82,7 +82,7 @@ def _retag(model, tag: str):
 def fit_stacking(train: DataFrame, feature_order: list[str], fold_col: str = "fold",
                  max_iter: int = 300, label: str = "label", k: int = fixed.CV_FOLDS,
                  fitted_bases: dict[str, PipelineModel] | None = None,
-                 threads: int = 4) -> PipelineModel:
+                 threads: int = 8) -> PipelineModel:
     """Stacking (M5): out-of-fold base probabilities -> logistic regression.
 
     ``train`` carries a stratified ``fold`` column (see ``split.kfold_assign``).

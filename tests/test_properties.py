@@ -149,3 +149,16 @@ def test_every_patient_gets_one_stage_and_band(spark):
     assert st.where(F.col("ckd_stage").isNull()).count() == 0
     dist = ST.stage_distribution(st).collect()
     assert sum(r["n_patients"] for r in dist) == p.count()
+
+
+def test_grid_knn_dense_cluster_guard_equals_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [(i, 5.0 + rnd.random() * 1e-3, 5.0 + rnd.random() * 1e-3, 1, 0) for i in range(120)]  # dense
+    rows += [(500 + i, rnd.gauss(0, 3), rnd.gauss(0, 3), rnd.randint(0, 1), rnd.randint(0, 1))
+             for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c int, d int")
+    vec = df.groupBy("a", "b", "c", "d").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("mult"))
+    got = {(r["gid"], r["j"]): r["nb_gid"]
+           for r in KN.knn_table(vec, ["a", "b"], ["c", "d"], 5, max_cell=16).collect()}
+    vecs = {r["gid"]: ((r["a"], r["b"], float(r["c"]), float(r["d"])), r["mult"]) for r in vec.collect()}
+    assert got == _brute_knn(vecs, 5)
