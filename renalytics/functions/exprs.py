@@ -31,8 +31,10 @@ def round_half_up(c: ColumnOrName, decimals: int) -> Column:
     """
     c = col(c)
     scale = float(10 ** decimals)
-    return (F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)).cast("double")
-            / F.lit(scale))
+    r = (F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)).cast("double")
+         / F.lit(scale))
+    # -0.0 (a tiny negative rounded away) would hash differently from 0.0
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def safe_ratio(num: ColumnOrName, den: ColumnOrName) -> Column:

@@ -37,7 +37,8 @@ def encoded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rhu(expr: str, d: int) -> str:
     """Half-away-from-zero rounding, same formula as ``exprs.round_half_up``."""
     s = f"{float(10 ** d)!r}"
-    return f"(sign({expr}) * floor(abs({expr}) * {s} + 0.5) / {s})"
+    r = f"(sign({expr}) * floor(abs({expr}) * {s} + 0.5) / {s})"
+    return f"(CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END)"
 
 
 STAGE_CASE = ("CASE " + " ".join(
