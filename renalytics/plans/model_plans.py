@@ -29,6 +29,7 @@ from .smote_plans import BINARY, CONT, FEATS
 
 _CACHE: dict = {}
 LABEL = "label"
+ROWS_PER_PARTITION = 100_000
 
 
 def _key(spark, sf_dir, *rest):
@@ -46,8 +47,13 @@ def training_table(spark, sf_dir):
         synth = syn.select((-(F.col("synthetic_id") + 1)).alias("row_id"), *FEATS, "ckd_diagnosis")
         both = real.unionByName(synth)
         folded = SP.kfold_assign(both, spec=COHORT_SPEC.with_(id="row_id"))
-        t = folded.select("row_id", *FEATS, F.col("ckd_diagnosis").cast("double").alias(LABEL), "fold")
-        _CACHE[k] = cut_lineage(t).persist()
+        t = cut_lineage(folded.select("row_id", *FEATS,
+                                      F.col("ckd_diagnosis").cast("double").alias(LABEL), "fold"))
+        # every boosting round is a few jobs over this table: size its partitions by
+        # its row count (~100k rows each, at least 1, at most 4 x default parallelism)
+        n = t.count()
+        parts = max(1, min(4 * spark.sparkContext.defaultParallelism, n // ROWS_PER_PARTITION))
+        _CACHE[k] = cut_lineage(t.repartition(parts, "row_id")).persist()
     return _CACHE[k]
 
 
@@ -153,14 +159,16 @@ def a7_save_load_models(spark, sf_dir):
 
 
 def _explained_model(spark, sf_dir):
-    """The best non-ensemble model on validation (the attribution fallback)."""
+    """The best non-ensemble model on validation (the attribution fallback), cached."""
     base = [n for n in fixed.MODEL_ORDER if n != fixed.ENSEMBLE_NAME]
     models = fitted(spark, sf_dir, tuple(base))
-    comp = EV.comparison(MD.predictions_long(models, eval_rows(spark, sf_dir, ("validation",)),
-                                             ["split", "patient_id", LABEL]),
-                         model_order=fixed.MODEL_ORDER)
-    best = EV.best_model(comp).first()["model"]
-    return best, models[best]
+    k = _key(spark, sf_dir, "explained")
+    if k not in _CACHE:
+        comp = EV.comparison(MD.predictions_long(models, eval_rows(spark, sf_dir, ("validation",)),
+                                                 ["split", "patient_id", LABEL]),
+                             model_order=fixed.MODEL_ORDER)
+        _CACHE[k] = EV.best_model(comp).first()["model"]
+    return _CACHE[k], models[_CACHE[k]]
 
 
 @register("x10_feature_importance")
