@@ -15,9 +15,26 @@ def patients_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_patients(cohort(spark, sf_dir))
 
 
+_FITS: dict = {}
+
+
+def cached_fit(spark: SparkSession, sf_dir: str, name: str, fit):
+    """Fitted statistics are computed once per Spark application and dataset."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITS:
+        _FITS[key] = fit()
+    return _FITS[key]
+
+
+def hemoglobin_median(spark: SparkSession, sf_dir: str) -> dict:
+    return cached_fit(spark, sf_dir, "hemoglobin_median",
+                      lambda: FE.fit_medians(patients_raw(spark, sf_dir), ["hemoglobin"]))
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned cohort with hemoglobin imputed by its median (loader semantics)."""
-    return FE.prepare_patients(patients_raw(spark, sf_dir))
+    return FE.fill_median(patients_raw(spark, sf_dir), ["hemoglobin"],
+                          medians=hemoglobin_median(spark, sf_dir))
 
 
 def split_patients(spark: SparkSession, sf_dir: str) -> DataFrame:

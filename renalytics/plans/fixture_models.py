@@ -82,9 +82,10 @@ SCALED_NUM = ["age", "hemoglobin"]
 def scaled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded patients with split, numeric features scaled by training statistics."""
     from ..operators import features as FE
-    from .base import encoded_split
+    from .base import cached_fit, encoded_split
     es = encoded_split(spark, sf_dir)
-    stats = FE.collect_stats(FE.fit_scaler(es.where(F.col("split") == "train"), SCALED_NUM))
+    stats = cached_fit(spark, sf_dir, "scaler", lambda: FE.collect_stats(
+        FE.fit_scaler(es.where(F.col("split") == "train"), SCALED_NUM)))
     return FE.apply_scaler(es, stats, SCALED_NUM)
 
 
@@ -119,19 +120,22 @@ LINEAR_CTES = {"scaled": SCALED_SQL, "lin0": LIN_SQL, "lin": LIN_PROB_SQL, "bg":
 
 
 def fixture_artefacts(spark: SparkSession, sf_dir: str):
-    """Fit the scoring artefacts of the fixture linear pipeline (small jobs only)."""
+    """Fit the scoring artefacts of the fixture linear pipeline (small jobs, once)."""
     from ..operators import features as FE
     from ..operators.scoring import ScoringArtefacts
-    from .base import FEATURES, encoded_split, patients_raw
-    medians = FE.fit_medians(patients_raw(spark, sf_dir), ["hemoglobin"])
-    es = encoded_split(spark, sf_dir)
-    train = es.where(F.col("split") == "train")
-    scaler = FE.collect_stats(FE.fit_scaler(train, SCALED_NUM))
-    scaled_train = FE.apply_scaler(train, scaler, SCALED_NUM)
-    means_row = scaled_train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in FEATURES]).first()
-    return ScoringArtefacts(features=tuple(FEATURES), scaler=scaler, weights=dict(LINEAR_WEIGHTS),
-                            intercept=LINEAR_INTERCEPT, means=means_row.asDict(),
-                            scaled=tuple(SCALED_NUM), fill=medians)
+    from .base import FEATURES, cached_fit, encoded_split, hemoglobin_median
+
+    def fit():
+        es = encoded_split(spark, sf_dir)
+        train = es.where(F.col("split") == "train")
+        scaler = cached_fit(spark, sf_dir, "scaler",
+                            lambda: FE.collect_stats(FE.fit_scaler(train, SCALED_NUM)))
+        scaled_train = FE.apply_scaler(train, scaler, SCALED_NUM)
+        means = scaled_train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in FEATURES]).first()
+        return ScoringArtefacts(features=tuple(FEATURES), scaler=scaler, weights=dict(LINEAR_WEIGHTS),
+                                intercept=LINEAR_INTERCEPT, means=means.asDict(),
+                                scaled=tuple(SCALED_NUM), fill=hemoglobin_median(spark, sf_dir))
+    return cached_fit(spark, sf_dir, "artefacts", fit)
 
 
 ATTR_ALL_SQL = " UNION ALL ".join(
