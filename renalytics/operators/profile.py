@@ -17,7 +17,7 @@ from ..functions import exprs as X
 from ..functions import fixed
 from ..functions.spec import COHORT_SPEC, ColumnSpec
 from .quantiles import exact_quantiles
-from .spine import int_spine, literal_spine
+from .spine import value_range, int_spine, literal_spine
 
 
 def _long(wide: DataFrame, names: list[str], fields: dict[str, str]) -> DataFrame:
@@ -131,8 +131,7 @@ def class_histogram(df: DataFrame, value_col: str, n_bins: int = 30,
     """Equal-width histogram of one column split by class, zero-filled."""
     vals = df.select(F.col(value_col).cast("double").alias("x"), F.col(spec.target).alias("cls")) \
              .where(F.col("x").isNotNull())
-    rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
+    lo, hi = value_range(vals, "x")
     counts = (vals.select(X.hist_bin("x", lo, hi, n_bins).alias("bin"), "cls")
               .groupBy("bin", "cls").agg(F.count(F.lit(1)).alias("n")))
     spine = _with_classes(int_spine(df.sparkSession, n_bins, "bin"), counts)
@@ -145,10 +144,10 @@ def class_histogram(df: DataFrame, value_col: str, n_bins: int = 30,
 
 
 def _with_classes(spine: DataFrame, counts: DataFrame) -> DataFrame:
-    """Spine x observed classes.  The class list comes from the already grouped
-    counts (at most spine-size x classes rows) as a scalar subquery, not a join."""
-    classes = counts.agg(F.sort_array(F.collect_set("cls"))).scalar()
-    return spine.select("*", F.explode(classes).alias("cls"))
+    """Spine x observed classes.  The class list is read from the already grouped
+    counts (at most spine-size x classes rows) in one small job, not by a join."""
+    classes = counts.agg(F.sort_array(F.collect_set("cls")).alias("c")).first()["c"] or []
+    return spine.select("*", F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
 
 
 # B10 / B11 ------------------------------------------------------------------

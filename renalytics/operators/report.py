@@ -118,6 +118,6 @@ def run_summary(comparison: DataFrame, best: DataFrame, total_patients: DataFram
     wide = c.groupBy("model").agg(*[
         F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{p}_{m}")
         for s, p in (("validation", "val"), ("test", "test")) for m in keep])
-    total = total_patients.select("total_patients").scalar()
+    total = F.lit(total_patients.select("total_patients").first()[0]).cast("bigint")
     return wide.select(total.alias("total_patients"), F.col("model").alias("best_model"),
                        *[f"{p}_{m}" for p in ("val", "test") for m in keep])

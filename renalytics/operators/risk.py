@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
-from .spine import int_spine, literal_spine
+from .spine import value_range, int_spine, literal_spine
 
 
 def risk_table(scored: DataFrame, id_col: str = "patient_id", prob: str = "probability",
@@ -50,8 +50,7 @@ def probability_histogram(risk: DataFrame, n_bins: int = 20, prob: str = "ckd_pr
                           decimals: int = 6) -> DataFrame:
     """Equal-width histogram of probabilities with band-edge labels per bin (K5)."""
     vals = risk.select(F.col(prob).alias("x")).where(F.col("x").isNotNull())
-    rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
+    lo, hi = value_range(vals, "x")
     counts = (vals.select(X.hist_bin("x", lo, hi, n_bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     width = (hi - lo) / F.lit(float(n_bins))

@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 from ..functions import exprs as X
 from ..functions import fixed
 from ..functions.spec import COHORT_SPEC, ColumnSpec
-from .spine import int_spine, literal_spine
+from .spine import value_range, int_spine, literal_spine
 
 
 def with_egfr(df: DataFrame, spec: ColumnSpec = COHORT_SPEC, female_factor: float = 1.0,
@@ -73,12 +73,11 @@ def _all():
 def egfr_histogram(staged: DataFrame, n_bins: int = 30, value_col: str = "egfr") -> DataFrame:
     """eGFR histogram with ``n_bins`` equal bins and stage boundaries per bin.
 
-    Two passes over the column: a min/max scalar subquery (evaluated once) and a
+    Two passes over the column: the fitted min/max (one small job) and a
     partial-aggregated bin count joined to a bin spine.
     """
     vals = staged.select(F.col(value_col).alias("x")).where(F.col("x").isNotNull())
-    rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
+    lo, hi = value_range(vals, "x")
     binned = vals.select(X.hist_bin("x", lo, hi, n_bins).alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_patients"))
     spine = int_spine(staged.sparkSession, n_bins, "bin")
