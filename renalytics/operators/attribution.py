@@ -43,17 +43,25 @@ def coefficients_of(lr_model, feature_order: list[str]) -> tuple[dict[str, float
 
 
 # X3 -------------------------------------------------------------------------
-def linear_attribution(df: DataFrame, weights: dict[str, float], background: DataFrame
-                       ) -> tuple[DataFrame, Column]:
+def background_means(background: DataFrame, feats: list[str]) -> dict[str, float]:
+    """Fitted feature means of the background rows (one small job)."""
+    row = fit_scaler(background, feats).first().asDict()
+    return {c: row[f"{c}__mean"] for c in feats}
+
+
+def linear_attribution(df: DataFrame, weights: dict[str, float], background: DataFrame | None = None,
+                       means: dict[str, float] | None = None) -> tuple[DataFrame, Column]:
     """``w_i (x_i - mean_i)`` per patient and feature (X3), long layout.
 
-    ``background`` supplies the feature means (the training rows), fitted once.
+    ``background`` supplies the feature means (the training rows), fitted once;
+    pass ``means`` to reuse an earlier fit.
     Returns the long table and the baseline ``sum_i w_i mean_i`` (add the
     intercept to get the expected margin).
     """
     feats = list(weights)
-    means = fit_scaler(background, feats).first().asDict()  # fit: one small job
-    mean = {c: F.lit(means[f"{c}__mean"]) for c in feats}
+    if means is None:
+        means = background_means(background, feats)
+    mean = {c: F.lit(means[c]) for c in feats}
     cells = F.array(*[F.struct(
         F.lit(c).alias("feature"), F.lit(i).alias("feature_ordinal"),
         F.col(c).cast("double").alias("feature_value"),

@@ -15,10 +15,12 @@ _DISPLAY = ("CASE feature " + " ".join(f"WHEN '{c}' THEN '{display_name(c)}'" fo
 
 
 def linear_attr(spark, sf_dir):
+    from .base import cached_fit
     sc = scaled_split(spark, sf_dir)
     val = sc.where(F.col("split") == "validation")
-    bg = sc.where(F.col("split") == "train")
-    return AT.linear_attribution(val, LINEAR_WEIGHTS, bg)
+    means = cached_fit(spark, sf_dir, "background_means", lambda: AT.background_means(
+        sc.where(F.col("split") == "train"), list(LINEAR_WEIGHTS)))
+    return AT.linear_attribution(val, LINEAR_WEIGHTS, means=means)
 
 
 @register("x3_linear_attribution", with_ctes(
