@@ -7,8 +7,6 @@ counts are zero-filled against fixed spines.  Nothing is collected.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions import exprs as X
 from ..functions import fixed
-from ..functions.spec import COHORT_SPEC
 from ..operators import staging as ST
 from .base import patients, patients_raw, rhu, with_ctes
 from .registry import register

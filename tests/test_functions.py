@@ -1,9 +1,6 @@
 """Literal fixtures for column expressions and small operators (FIXTURES section 5)."""
 
-import math
-
 import pytest
-from pyspark.sql import functions as F
 
 from renalytics.functions import exprs as X
 from renalytics.operators import evaluate as EV

@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from renalytics.functions.spec import SURVEY_SPEC
 from renalytics.sources import io as IO

@@ -12,7 +12,6 @@ from renalytics.operators import split as SP
 from renalytics.operators import tree_shap as TS
 from renalytics.plans.base import FEATURES
 from renalytics.plans.fixture_models import scaled_split
-from renalytics.functions.spec import COHORT_SPEC
 
 from .conftest import SMALL_SF
 

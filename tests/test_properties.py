@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from renalytics.functions.spec import COHORT_SPEC
 from renalytics.operators import evaluate as EV
 from renalytics.operators import knn as KN
 from renalytics.operators import quantiles as Q

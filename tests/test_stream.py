@@ -2,7 +2,6 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from renalytics.operators.scoring import score_patients
 from renalytics.plans.base import patients_raw
