@@ -15,8 +15,11 @@ which is the path-dependent Shapley value of the tree (summing over leaves
 gives ``f(x) - E f``).  Rows are attributed batch by batch in ``mapInPandas``
 (Spark partitions the rows; no shuffle): per leaf the row's o-pattern is an
 integer, the sum is evaluated once per distinct pattern in the batch and
-scattered back.  GBT attributions are on the margin (``rawPrediction[1]``);
-random-forest ones on the class-1 probability.
+scattered back.  When the per-leaf pattern tables fit under a size cap they are
+precomputed once on the driver and broadcast with the leaves; a batch then
+processes blocks of leaves at once (pattern per row and leaf, table lookup).
+GBT attributions are on the margin (``rawPrediction[1]``); random-forest ones on
+the class-1 probability.
 """
 
 from __future__ import annotations
@@ -44,6 +47,47 @@ class LeafTable:
     n_feat: np.ndarray     # (L,) number of distinct features
     baseline: float        # expected value of the ensemble output
     n_features: int
+    tables: dict | None = None   # d -> (leaf ids, (L_d, 2^d, d) contributions per o-pattern)
+
+
+MAX_TABLE_CELLS = 20_000_000  # pattern tables are used only below this size (~160 MB)
+
+
+def pattern_tables(t: "LeafTable") -> dict | None:
+    """Contribution of every leaf for every o-pattern, grouped by path length d.
+
+    Bounded by the model (sum over leaves of 2^d * d); None above the cap, in
+    which case batches fall back to evaluating only the patterns they meet.
+    """
+    sizes = {}
+    for d in np.unique(t.n_feat):
+        if d > 0:
+            sizes[int(d)] = int((t.n_feat == d).sum())
+    if sum(n * (1 << d) * d for d, n in sizes.items()) > MAX_TABLE_CELLS:
+        return None
+    out = {}
+    for d in sizes:
+        ids = np.nonzero((t.n_feat == d) & (t.value != 0.0))[0]
+        if len(ids) == 0:
+            continue
+        P = 1 << d
+        ob = ((np.arange(P)[:, None] >> np.arange(d)) & 1).astype(float)   # (P, d)
+        z = t.z[ids, :d]                                                   # (L, d)
+        v = t.value[ids]
+        w = _shapley_weights(d)
+        c = np.zeros((len(ids), P, d))
+        for i in range(d):
+            poly = np.zeros((len(ids), P, d))
+            poly[:, :, 0] = 1.0
+            for j in range(d):
+                if j == i:
+                    continue
+                nxt = poly * z[:, None, j, None]
+                nxt[:, :, 1:] += poly[:, :, :-1] * ob[None, :, j, None]
+                poly = nxt
+            c[:, :, i] = v[:, None] * (ob[None, :, i] - z[:, None, i]) * (poly @ w)
+        out[d] = (ids, c)
+    return out
 
 
 def _read_nodes(spark: SparkSession, tree_model) -> tuple[pd.DataFrame, list[float], bool]:
@@ -114,8 +158,10 @@ def _shapley_weights(d: int) -> np.ndarray:
                      for s in range(d)])
 
 
-def attribute_batch(x: np.ndarray, t: LeafTable) -> np.ndarray:
+def attribute_batch(x: np.ndarray, t: LeafTable, block: int = 16) -> np.ndarray:
     """Attributions (n, n_features) for a batch of rows."""
+    if t.tables is not None:
+        return _attribute_with_tables(x, t, block)
     n = x.shape[0]
     phi = np.zeros((n, t.n_features))
     weights = {}
@@ -151,13 +197,32 @@ def attribute_batch(x: np.ndarray, t: LeafTable) -> np.ndarray:
     return phi
 
 
+def _attribute_with_tables(x: np.ndarray, t: LeafTable, block: int) -> np.ndarray:
+    """Blocks of leaves at once: o-pattern per (row, leaf), then a table lookup."""
+    n = x.shape[0]
+    phi = np.zeros((n, t.n_features))
+    for d, (ids, tab) in t.tables.items():
+        bits = 1 << np.arange(d)
+        for s0 in range(0, len(ids), block):
+            leaf = ids[s0:s0 + block]
+            fs = t.feat[leaf, :d]                                   # (B, d)
+            xs = x[:, fs]                                           # (n, B, d)
+            o = (xs > t.lo[leaf, :d]) & (xs <= t.hi[leaf, :d])
+            pat = (o * bits).sum(axis=2)                            # (n, B)
+            vals = tab[s0:s0 + block][np.arange(len(leaf))[None, :], pat]   # (n, B, d)
+            for f in np.unique(fs):
+                phi[:, f] += (vals * (fs == f)).sum(axis=(1, 2))
+    return phi
+
+
 def tree_attributions(df: DataFrame, model: PipelineModel, id_col: str = "patient_id",
                       stage: int = -1) -> tuple[DataFrame, float]:
     """Wide attributions ``(id, shap__<feature>...)`` for every row, and the baseline."""
     spark = df.sparkSession
     feats = list(model.stages[0].getInputCols())
     table = leaf_table(spark, model.stages[stage], len(feats))
-    bc = spark.sparkContext.broadcast(table)  # bounded by the model size
+    table.tables = pattern_tables(table)
+    bc = spark.sparkContext.broadcast(table)  # bounded by the model size (tables capped)
 
     def run(batches):
         t = bc.value
