@@ -116,3 +116,27 @@ def test_round_half_up_matches_sql_twin(spark):
     df = spark.createDataFrame([(1.005,), (-2.5,), (2.675,)], "x double")
     out = df.select(X.round_half_up("x", 0).alias("r")).collect()
     assert [r["r"] for r in out] == [1.0, -3.0, 3.0]
+
+
+def test_histogram_last_bin_is_closed_and_edges_labelled(spark):
+    from renalytics.operators import risk as RK
+    df = spark.createDataFrame([(i, p, 1) for i, p in enumerate([0.0, 0.25, 0.3, 0.5, 0.7, 1.0])],
+                               "patient_id long, ckd_probability double, actual_label int")
+    h = sorted(RK.probability_histogram(df, n_bins=10).collect(), key=lambda r: r["bin"])
+    assert len(h) == 10 and sum(r["n"] for r in h) == 6
+    assert h[-1]["n"] == 1  # the maximum lands in the last bin, not in an 11th
+    # edges are lo + b * width in floating point (3 * 0.1 > 0.3), as in the SQL twin
+    def bin_of(v):
+        return next(b for b in range(10) if b * 0.1 <= v < (b + 1) * 0.1)
+    low, high = bin_of(0.3), bin_of(0.7)
+    assert h[low]["boundaries"] == "Low/Medium" and h[high]["boundaries"] == "Medium/High"
+    assert all(r["boundaries"] == "" for r in h if r["bin"] not in (low, high))
+
+
+def test_gauge_zones(spark):
+    from renalytics.operators import risk as RK
+    df = spark.createDataFrame([(1, 0.1), (2, 0.3), (3, 0.69999), (4, 1.0)], "patient_id long, probability double")
+    g = {r["patient_id"]: r for r in RK.gauge(df).collect()}
+    assert [g[i]["gauge_zone"] for i in (1, 2, 3, 4)] == ["0-30", "30-70", "30-70", "70-100"]
+    assert [g[i]["risk_category"] for i in (1, 2, 3, 4)] == ["Low", "Medium", "Medium", "High"]
+    assert g[4]["gauge_value"] == 100.0 and g[4]["bar_colour"] == "#e74c3c"
