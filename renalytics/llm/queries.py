@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renalytics.llm import binary_records, bpe, line_dedup
+from renalytics.llm import binary_records, bpe, line_dedup, syncmers
 from renalytics.llm.common import documents
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "n_bytes")
 
 
+@register
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @register
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir, "doc_id", "text"), digests=True)
