@@ -54,3 +54,46 @@ def labelled_sample(docs: DataFrame, labels_df: DataFrame, label_col: str, max_r
     if share < 1.0:
         lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     return docs.join(F.broadcast(lab), "doc_id")
+
+
+def fit_on_sample(sample: DataFrame, fit, *columns: str) -> object:
+    """``fit(*lists)`` over the named columns of a bounded sample, run in one task; the returned model.
+
+    The caller bounds the sample; the model comes back pickled, so it must be small.
+    """
+    import pickle
+
+    import pyarrow as pa
+
+    def run(batches):
+        lists: list[list] = [[] for _ in columns]
+        for batch in batches:
+            for values, column in zip(lists, batch.columns, strict=True):
+                values.extend(column.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*lists))], pa.binary())], names=["model"])
+
+    # One row in ascending order of text, so that the fit does not depend on partitions.
+    ordered = sample.select(*columns).repartition(1).sortWithinPartitions(*columns)
+    return pickle.loads(ordered.mapInArrow(run, "model binary").first()["model"])
+
+
+def scored_columns(docs: DataFrame, score, columns: list[str], added: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` plus what ``score(model inputs of a batch)`` returns per row.
+
+    ``score`` gets one list per name in ``columns`` and returns Arrow arrays for the schema ``added``.
+    """
+    import pyarrow as pa
+
+    names = [a.split()[0] for a in added.split(", ")]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    inner = [f"_in{i}" for i in range(len(columns))]
+
+    def run(batches):
+        for batch in batches:
+            made = score(*(batch.column(c).to_pylist() for c in inner))
+            yield pa.RecordBatch.from_arrays([batch.column(f"_keep{i}") for i in range(len(keep))] + made,
+                                             names=[*keep, *names])
+
+    narrow = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
+                         *[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True)])
+    return narrow.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [added]))
