@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from renalytics.llm.common import DEFAULT_TOKENIZER, tokenizer_path
+from renalytics.llm.common import DEFAULT_TOKENIZER, slices, tokenizer_path
 from renalytics.session import shared_path
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the masking rule
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 MEMO_CHUNK = 64
+TAIL = ".,!?;:$*&#%|"  # marks that never join a letter into one piece
 
 
 def masked(data: bytes) -> int:
@@ -59,52 +60,99 @@ def parse(buffer: bytes, offset: int = 0) -> tuple[int | None, int, bytes, int]:
     return (None if null else doc_id), width, payload[10:], start + n + 4
 
 
+class ByteLetters(dict):
+    """Memo letter -> its UTF-8 bytes as the byte-level alphabet writes them."""
+
+    def __missing__(self, letter: str) -> str:
+        from tokenizers import pre_tokenizers
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(letter)[0][0]
+        self[letter] = written
+        return written
+
+
 class ChunkIds(dict):
     """Memo chunk -> ids of the tokenizers library, in the file's id width.
 
-    The tokenizer treats blanks, tabs and line ends as separators only, so a text's ids are those of
-    its chunks one after another.
+    Where the vocabulary marks word ends, the tokenizer drops blanks, tabs and line ends as separators, so
+    a text's ids are those of its chunks one after another, and a chunk of letters with a tail of marks
+    is the letters' ids followed by the tail's.  New runs of letters are encoded many at a time as one
+    string: every word closes with its only id that carries the word-end suffix, which gives the cuts.
+    Only letters whose lower case and normal form are simple (below U+0130) take that way; everything
+    else goes through the whole tokenizer.  With other vocabularies whole texts are encoded.
     """
 
     def __init__(self, path: str):
+        import numpy as np
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 0xFFFF else 4
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values()) <= 0xFFFF else 4
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.words = Tokenizer.from_file(path)
+        self.words.no_truncation()
+        self.words.no_padding()
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.byte_letters = ByteLetters()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.closes[i] = bool(self.suffix) and token.endswith(self.suffix)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
 
-    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case runs of letters."""
         import numpy as np
-        kind = f"<u{self.width}"
+        out = {}
+        for start in range(0, len(words), 2000):
+            part = words[start:start + 2000]
+            joined = " ".join([w if w.isascii() else "".join(map(self.byte_letters.__getitem__, w)) for w in part])
+            ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, ((np.flatnonzero(self.closes[ids]) + 1) * self.width).tolist(), strict=True):
+                out[word] = raw[at:end]
+                at = end
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        cut, rest = [], []
+        for chunk in chunks:
+            core = chunk.rstrip(TAIL)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                cut.append((chunk, core.lower(), chunk[len(core):]))
+            else:
+                rest.append(chunk)
+        rest = list({*rest, *(tail for _, _, tail in cut)}.difference(self))
+        self.update(zip(rest, self._library(rest), strict=True))
+        letters = self._letters(list({core for _, core, _ in cut}))
+        for chunk, core, tail in cut:
+            self[chunk] = letters[core] + self[tail]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts; null is empty."""
+        if not self.suffix:
+            return self._library([t or "" for t in texts])
         cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self)) if cut else []
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(e.ids, kind).tobytes()
-        for chunks in cut:
-            yield b"".join(map(self.__getitem__, chunks))
+        new = list(set().union(*cut).difference(self))
+        self._learn(new)
+        made = [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
         if len(self) > MEMO_ENTRIES:
             self.clear()
         else:
             for chunk in new:
                 if len(chunk) > MEMO_CHUNK:
                     del self[chunk]
+        return made
 
 
 _MEMOS: dict[str, ChunkIds] = {}
-SLICE_CHARS = 4_000_000  # texts whose chunks are held at once
-
-
-def _slices(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_CHARS:
-            yield ids[start:i + 1], texts[start:i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 1,
@@ -124,10 +172,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER
             _MEMOS[place] = ChunkIds(place)
         memo = _MEMOS[place]
         end = struct.pack("<H" if memo.width == 2 else "<I", end_id)
-        for batch in batches:
-            for ids, texts in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                frames = [frame(i, memo.width, b + end) for i, b in zip(ids, memo.texts(texts), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+        for batch in (part for whole in batches for part in slices(whole, ["text"])):
+            made = memo.texts(batch.column("text").to_pylist())
+            frames = [frame(i, memo.width, b + end) for i, b in zip(batch.column("id").to_pylist(), made, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     (narrow.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
      .mapInArrow(run, "frame binary").select(F.col("frame").cast("string"))

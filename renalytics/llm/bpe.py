@@ -4,9 +4,10 @@ Encoding runs a priority queue of merge ranks over a doubly linked list of symbo
 leaves stale entries in the queue; they are recognised by the symbols they were made for and
 skipped.  Decoding concatenates the vocabulary strings of the ids.
 
-A text is cut at blanks, tabs and line ends into chunks.  The tokenizer's normaliser and
-pre-tokeniser treat those characters as separators, so chunks are independent and each distinct
-chunk is encoded once per Python worker while the (bounded) memo holds it.  Whole texts are
+A text is cut at blanks, tabs and line ends into chunks where the vocabulary marks word ends: the
+tokenizer's normaliser and pre-tokeniser then drop those characters as separators, so chunks are
+independent and each distinct chunk is encoded once per Python worker while the (bounded) memo holds it.
+With other vocabularies a whole text is one chunk.  Whole texts are
 encoded; memory is bounded by the memo and one Arrow batch.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from renalytics.llm.common import DEFAULT_TOKENIZER, free_name, tokenizer_path
+from renalytics.llm.common import DEFAULT_TOKENIZER, free_name, slices, tokenizer_path
 
 MEMO_ENTRIES = 200_000  # chunks kept per Python worker
 MEMO_CHUNK = 64         # longer chunks are encoded each time
@@ -78,7 +79,7 @@ class BpeCodec(dict):
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # Text to pieces is the file's own normaliser and pre-tokeniser; merging is done here.
         loaded = Tokenizer.from_file(path)
-        self.normalise = loaded.normalizer.normalize_str
+        self.normalise = loaded.normalizer.normalize_str if loaded.normalizer else str
         self.pieces = loaded.pre_tokenizer.pre_tokenize_str
         strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
@@ -112,6 +113,8 @@ class BpeCodec(dict):
         """Ids of a whole text as little-endian unsigned 32-bit integers; null is empty."""
         if not text:
             return b""
+        if not self.suffix:
+            return self[text]
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         ids = b"".join(map(self.__getitem__, chunks))
         if len(self) > MEMO_ENTRIES:
@@ -158,7 +161,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", tokenizer: str = D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, [source])):
             made = [bpe.encode(t) for t in batch.column(source).to_pylist()]
             n = pa.array([len(b) // 4 for b in made], pa.int64())
             if digests:

@@ -88,8 +88,10 @@ def scored_columns(docs: DataFrame, score, columns: list[str], added: str, keep:
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     inner = [f"_in{i}" for i in range(len(columns))]
 
+    texts = [n for c, n in zip(columns, inner, strict=True) if types.get(c) == "string"]
+
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, texts)):
             made = score(*(batch.column(c).to_pylist() for c in inner))
             yield pa.RecordBatch.from_arrays([batch.column(f"_keep{i}") for i in range(len(keep))] + made,
                                              names=[*keep, *names])
@@ -97,3 +99,21 @@ def scored_columns(docs: DataFrame, score, columns: list[str], added: str, keep:
     narrow = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
                          *[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True)])
     return narrow.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [added]))
+
+
+def slices(batch, columns: list[str], most_bytes: int = 2_000_000):
+    """Parts of an Arrow batch whose texts in ``columns`` take about ``most_bytes``; one row at least.
+
+    Python copies of a part are made one part at a time, which bounds a worker's memory.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        size += np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0))
+    part = np.cumsum(size) // most_bytes
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
