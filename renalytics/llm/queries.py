@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renalytics.llm import binary_records, bpe, kdtree, line_dedup, syncmers
-from renalytics.llm.common import documents
+from renalytics.llm import binary_records, bpe, factorisation, kdtree, langid, line_dedup, syncmers, toxicity
+from renalytics.llm.common import documents, fold, labels
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "n_bytes")
 
 
+@register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = toxicity.train(docs, labels(spark, sf_dir), fold("doc_id", 4) != 2)
+    return toxicity.score_documents(docs, model, ["doc_id", "held_out"])
+
+
 @register
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
@@ -37,6 +44,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir, "doc_id", "text"), digests=True)
 
 
+@register
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "n_chars").withColumn("held_out", fold("doc_id", 5) == 0)
+    machine = factorisation.train(docs, labels(spark, sf_dir), fold("doc_id", 5) != 0)
+    return factorisation.score_documents(docs, machine, ["doc_id", "held_out"])
+
+
 @register
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir, "doc_id", "text"))
@@ -66,6 +80,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+@register
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = langid.train(docs, fold("doc_id", 3) != 1)
+    return langid.predict_documents(docs, model, ["doc_id", "held_out"])
+
+
 @register
 def op10_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")

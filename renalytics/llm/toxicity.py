@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from renalytics.llm.common import fit_on_sample, labelled_sample, scored_columns
 
-FIT_ROWS = 8000      # labelled documents that a model is fitted on, about
+FIT_ROWS = 12_000      # labelled documents that a model is fitted on, about
 LEAST_SUPPORT = 3
 LEAST_WEIGHT = 1.5
 THRESHOLD = 0.3
