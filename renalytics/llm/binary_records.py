@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from renalytics.llm.bpe import TAIL, ByteLetters, simple_letters
 from renalytics.llm.common import DEFAULT_TOKENIZER, slices, tokenizer_path
 from renalytics.session import shared_path
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the masking rule
 MEMO_ENTRIES = 400_000
 MEMO_CHUNK = 64
-TAIL = ".,!?;:$*&#%|"  # marks that never join a letter into one piece
 
 
 def masked(data: bytes) -> int:
@@ -60,16 +60,6 @@ def parse(buffer: bytes, offset: int = 0) -> tuple[int | None, int, bytes, int]:
     return (None if null else doc_id), width, payload[10:], start + n + 4
 
 
-class ByteLetters(dict):
-    """Memo letter -> its UTF-8 bytes as the byte-level alphabet writes them."""
-
-    def __missing__(self, letter: str) -> str:
-        from tokenizers import pre_tokenizers
-        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(letter)[0][0]
-        self[letter] = written
-        return written
-
-
 class ChunkIds(dict):
     """Memo chunk -> ids of the tokenizers library, in the file's id width.
 
@@ -125,7 +115,7 @@ class ChunkIds(dict):
         cut, rest = [], []
         for chunk in chunks:
             core = chunk.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+            if simple_letters(core):
                 cut.append((chunk, core.lower(), chunk[len(core):]))
             else:
                 rest.append(chunk)

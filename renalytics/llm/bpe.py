@@ -1,7 +1,7 @@
 """BPE encoding and decoding (operator 6).
 
 Encoding runs a priority queue of merge ranks over a doubly linked list of symbols.  A merge
-leaves stale entries in the queue; they are recognised by the symbols they were made for and
+leaves stale entries in the queue; they are recognised by their rank, which names one pair, and
 skipped.  Decoding concatenates the vocabulary strings of the ids.
 
 A text is cut at blanks, tabs and line ends into chunks where the vocabulary marks word ends: the
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,44 +24,66 @@ from pyspark.sql import DataFrame
 
 from renalytics.llm.common import DEFAULT_TOKENIZER, free_name, slices, tokenizer_path
 
-MEMO_ENTRIES = 200_000  # chunks kept per Python worker
+MEMO_ENTRIES = 400_000  # chunks kept per Python worker
 MEMO_CHUNK = 64         # longer chunks are encoded each time
+TAIL = ".,!?;:$*&#%|"   # marks that never join a letter into one piece
 
 
-def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges in order of rank, leftmost first among equals, until none applies."""
+def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """Apply merges in order of rank, leftmost first among equals, until none applies.
+
+    ``merges`` maps a pair (left << 17 | right) to (rank << 17 | merged).  Queue entries are
+    (rank << 24 | place); an entry is stale when the pair now at its place has another rank.
+    """
     n = len(symbols)
-    if n < 2:
-        return symbols
-    sym: list[str | None] = list(symbols)
-    left = list(range(-1, n - 1))
-    right = list(range(1, n + 1))
+    find = merges.get
     queue = []
     for i in range(n - 1):
-        rank = ranks.get((sym[i], sym[i + 1]))
-        if rank is not None:
-            queue.append((rank, i, sym[i], sym[i + 1]))
+        m = find(symbols[i] << 17 | symbols[i + 1])
+        if m is not None:
+            queue.append((m >> 17) << 24 | i)
+    if not queue:
+        return symbols
     heapq.heapify(queue)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     while queue:
-        _, i, a, b = heapq.heappop(queue)
+        entry = heapq.heappop(queue)
+        i = entry & 0xFFFFFF
         j = right[i]
-        if sym[i] != a or j >= n or sym[j] != b:
-            continue  # stale: one side was merged meanwhile
-        merged = a + b
-        sym[i], sym[j] = merged, None
-        after = right[j]
-        right[i] = after
+        if symbols[i] < 0 or j >= n:
+            continue
+        m = find(symbols[i] << 17 | symbols[j])
+        if m is None or m >> 17 != entry >> 24:
+            continue
+        merged = symbols[i] = m & 0x1FFFF
+        symbols[j] = -1
+        after = right[i] = right[j]
         if after < n:
             left[after] = i
-            rank = ranks.get((merged, sym[after]))
-            if rank is not None:
-                heapq.heappush(queue, (rank, i, merged, sym[after]))
+            m = find(merged << 17 | symbols[after])
+            if m is not None:
+                heapq.heappush(queue, (m >> 17) << 24 | i)
         before = left[i]
         if before >= 0:
-            rank = ranks.get((sym[before], merged))
-            if rank is not None:
-                heapq.heappush(queue, (rank, before, sym[before], merged))
-    return [s for s in sym if s is not None]
+            m = find(symbols[before] << 17 | merged)
+            if m is not None:
+                heapq.heappush(queue, (m >> 17) << 24 | before)
+    return [x for x in symbols if x >= 0]
+
+
+class ByteLetters(dict):
+    """Memo letter -> its UTF-8 bytes as the byte-level alphabet writes them."""
+
+    def __missing__(self, letter: str) -> str:
+        from tokenizers import pre_tokenizers
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(letter)[0][0]
+        self[letter] = written
+        return written
+
+
+def simple_letters(word: str) -> bool:
+    """Letters only, all with a simple lower case and normal form (below U+0130)."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0130")
 
 
 class BpeCodec(dict):
@@ -73,8 +96,9 @@ class BpeCodec(dict):
             spec = json.load(f)
         model = spec["model"]
         self.ids = dict(model["vocab"])
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r
-                      for r, m in enumerate(model["merges"])}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        self.merges = {self.ids[a] << 17 | self.ids[b]: rank << 17 | self.ids[a + b]
+                       for rank, (a, b) in enumerate(pairs)}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # Text to pieces is the file's own normaliser and pre-tokeniser; merging is done here.
@@ -83,6 +107,25 @@ class BpeCodec(dict):
         self.pieces = loaded.pre_tokenizer.pre_tokenize_str
         strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
+        self.letters: dict[str, list[int]] = {}
+        self.byte_letters = ByteLetters()
+
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token, written in the vocabulary's alphabet."""
+        known = self.ids
+        symbols = [known[c] for c in piece[:-1] if c in known]
+        last = known.get(piece[-1] + self.suffix)
+        return merge_symbols(symbols + [last] if last is not None else symbols, self.merges)
+
+    def encode_letters(self, word: str) -> list[int]:
+        """Ids of a lower-case run of simple letters, which is one pre-token."""
+        ids = self.letters.get(word)
+        if ids is None:
+            piece = word if word.isascii() else "".join(map(self.byte_letters.__getitem__, word))
+            ids = self.encode_piece(piece)
+            if len(word) <= MEMO_CHUNK:
+                self.letters[word] = ids
+        return ids
 
     def encode_chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
@@ -94,17 +137,20 @@ class BpeCodec(dict):
                 if 0 <= at < hit or at == hit and len(content) > len(token):
                     hit, token = at, content
             for piece, _ in self.pieces(self.normalise(chunk[start:hit])):
-                symbols = list(piece)
-                symbols[-1] += self.suffix
-                out.extend(self.ids[s] for s in merge_symbols(symbols, self.ranks) if s in self.ids)
+                out.extend(self.encode_piece(piece))
             if token:
                 out.append(self.special[token])
             start = hit + len(token)
         return out
 
     def __missing__(self, chunk: str) -> bytes:
-        import numpy as np
-        ids = np.array(self.encode_chunk(chunk), "<u4").tobytes()
+        core = chunk.rstrip(TAIL) if self.suffix else ""
+        if simple_letters(core):
+            ids = array("I", self.encode_letters(core.lower())).tobytes()
+            if len(core) < len(chunk):
+                ids += self[chunk[len(core):]]
+        else:
+            ids = array("I", self.encode_chunk(chunk)).tobytes()
         if len(chunk) <= MEMO_CHUNK:
             self[chunk] = ids
         return ids
@@ -119,6 +165,7 @@ class BpeCodec(dict):
         ids = b"".join(map(self.__getitem__, chunks))
         if len(self) > MEMO_ENTRIES:
             self.clear()
+            self.letters.clear()
         return ids
 
     def decode(self, ids: bytes) -> str:
