@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renalytics.llm import binary_records, bpe, factorisation, kdtree, langid, line_dedup, syncmers, toxicity
+from renalytics.llm import binary_records, bpe, factorisation, kdtree, langid, line_dedup, mixing, order_minhash, syncmers, toxicity
 from renalytics.llm.common import documents, fold, labels
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model, ["doc_id", "held_out"])
 
 
+@register
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @register
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@register
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"), target_entropy=0.9, max_epochs=4.0)
+    return mixing.slots(mixed).select("block", "slot", "doc_id", "source", "epoch", "n_tokens", "start")
+
+
 @register
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir, "doc_id", "text"), digests=True)
