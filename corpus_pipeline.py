@@ -1,21 +1,55 @@
-"""The corpus pipeline: documents in, token ids of the training mix out."""
+"""The corpus pipeline: documents in, token ids of the training mix out.
+
+Stages, in order: toxicity, line dedup, near-dedup, mixing, BPE.  Every stage works on all that the one
+before kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from renalytics.llm import bpe
-from renalytics.llm.common import documents
+from renalytics.llm import bpe, line_dedup, mixing, order_minhash, toxicity
+from renalytics.llm.common import documents, fold, labels
 from renalytics.session import shared_path
 
+REJECT_FROM = 0.5     # toxicity score from which a document goes
+MAX_EPOCHS = 2.0      # repetition limit of the mix
+TARGET_ENTROPY = 0.9  # share of the entropy of equal source weights
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays under ``REJECT_FROM``; labels of the held-out fold are not learned."""
+    model = toxicity.train(documents(spark, sf_dir, "doc_id", "text"), labels(spark, sf_dir), fold("doc_id", 4) != 2)
+    scored = toxicity.score_documents(docs, model, docs.columns)
+    return scored.where(F.col("score") < REJECT_FROM).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document holds; ``n_chars`` follows the text."""
+    kept = line_dedup.drop_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the smallest id."""
+    return order_minhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them: every one at least once, none over the repetition limit."""
+    return mixing.mix(docs, target_entropy=TARGET_ENTROPY, max_epochs=MAX_EPOCHS).select(*docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that the stages before kept."""
+    """Token ids of every row of the mix."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies),
+          ("mixing", mix_sources), ("bpe", encode)]
 
+# Learned scores, near-duplicate components and BPE merges have no SQL form; the stages are tested one by one.
 ORACLE_SQL = None
 
 

@@ -86,7 +86,7 @@ def scored_columns(docs: DataFrame, score, columns: list[str], added: str, keep:
 
     names = [a.split()[0] for a in added.split(", ")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    inner = [f"_in{i}" for i in range(len(columns))]
+    inner = [f"_keep{keep.index(c)}" if c in keep else f"_in{i}" for i, c in enumerate(columns)]
 
     texts = [n for c, n in zip(columns, inner, strict=True) if types.get(c) == "string"]
 
@@ -97,7 +97,7 @@ def scored_columns(docs: DataFrame, score, columns: list[str], added: str, keep:
                                              names=[*keep, *names])
 
     narrow = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
-                         *[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True)])
+                         *[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True) if c not in keep])
     return narrow.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [added]))
 
 
