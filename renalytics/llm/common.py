@@ -74,17 +74,20 @@ def fit_on_sample(sample: DataFrame, fit, *columns: str) -> object:
 
     # One row in ascending order of text, so that the fit does not depend on partitions.
     ordered = sample.select(*columns).repartition(1).sortWithinPartitions(*columns)
-    return pickle.loads(ordered.mapInArrow(run, "model binary").first()["model"])
+    row = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row is not None else fit(*([] for _ in columns))
 
 
 def scored_columns(docs: DataFrame, score, columns: list[str], added: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` plus what ``score(model inputs of a batch)`` returns per row.
 
     ``score`` gets one list per name in ``columns`` and returns Arrow arrays for the schema ``added``.
+    A kept column with the name of an added one is replaced.
     """
     import pyarrow as pa
 
     names = [a.split()[0] for a in added.split(", ")]
+    keep = [c for c in keep if c.lower() not in names]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     inner = [f"_keep{keep.index(c)}" if c in keep else f"_in{i}" for i, c in enumerate(columns)]
 

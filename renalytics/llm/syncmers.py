@@ -119,7 +119,7 @@ def _bucket(ids: Column, knots: list[int], parts: int) -> Column:
         part = F.floor((ids - F.lit(knots[lo])).cast("double") / span * parts).cast("int")
         return F.lit(lo * parts) + F.greatest(F.lit(0), F.least(part, F.lit(parts - 1)))
 
-    return F.coalesce(interval(0, len(knots) - 1), F.lit(0))
+    return F.when(ids.isNull(), F.lit(0)).otherwise(interval(0, len(knots) - 1))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, tuple[str, ...]]:
