@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from renalytics.llm.common import free_name
+from renalytics.session import cut_lineage
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_KEY = 10                 # code points
@@ -146,8 +147,9 @@ def repeated_keys(docs: DataFrame, least: int = MIN_KEY) -> DataFrame:
     filter_bytes, bits = twice_seen_filter(docs, least)
     shared = spark.sparkContext.broadcast(filter_bytes)
     suspects = _suspects(docs, shared, bits, least)
-    first = (suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-             .where("first < last").select("key", "first"))
+    # Cut, so that the join shuffles both sides itself and can split the partition of a very common line.
+    first = cut_lineage(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                        .where("first < last").select("key", "first"))
     return (suspects.join(first, "key").where("id > first")
             .groupBy("id").agg(F.collect_set("key").alias("drops")))
 
