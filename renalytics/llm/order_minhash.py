@@ -211,12 +211,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = table.select(F.col("id").alias("node"), "digest", "keys").join(texts, ["node", "digest"])
     keyed = cut_lineage(nodes.where("n > 0").select("node", "n", "keys"))
     met = keyed.select("node", F.explode("keys").alias("key"))
-    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Aggregates are cut before they are joined, so that the join shuffles both sides and can split hot keys.
+    crowded = cut_lineage(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = cut_lineage(met.join(crowded, "key"))
     company = met.groupBy("node").agg(F.sum("members").alias("company"))
-    centres = (met.join(company, "node").groupBy("key")
-               .agg(F.max(F.struct("company", (-F.col("node")).alias("rank"))).alias("best"))
-               .select("key", (-F.col("best.rank")).alias("a")))
+    centres = cut_lineage(met.join(company, "node").groupBy("key")
+                          .agg(F.max(F.struct("company", (-F.col("node")).alias("rank"))).alias("best"))
+                          .select("key", (-F.col("best.rank")).alias("a")))
     pairs = cut_lineage(met.join(centres, "key").where("a != node").select("a", F.col("node").alias("b")).distinct())
 
     def sequences(of: DataFrame) -> DataFrame:
@@ -231,8 +232,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = keyed.select("node", "n", F.transform("keys", lambda k: F.pmod(k, F.lit(1 << 15)).cast("short")).alias("marks"))
     labelled = met.select("key", "node").join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-             .where("low != high").select("key"))
+    mixed = cut_lineage(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                        .where("low != high").select("key"))
     open_rows = cut_lineage(labelled.join(mixed, "key").join(marks, "node"))
     one = open_rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "marks")])
     two = open_rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "marks")])
