@@ -27,14 +27,16 @@ def round_half_up(c: ColumnOrName, decimals: int) -> Column:
     """Sign-aware half-away-from-zero rounding, identical in DuckDB.
 
     ``round`` differs between engines on ties (1.005); this form is written the
-    same way in the oracle SQL so both sides agree bit for bit.
+    same way in the oracle SQL so both sides agree bit for bit.  From 2**53 / 10**decimals
+    on a double has no digits left to round, and ``floor`` would saturate: it stays.
     """
     c = col(c)
     scale = float(10 ** decimals)
     r = (F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)).cast("double")
          / F.lit(scale))
     # -0.0 (a tiny negative rounded away) would hash differently from 0.0
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+    return (F.when(F.abs(c) >= F.lit(2.0 ** 53 / scale), c.cast("double"))
+            .when(r == 0, F.lit(0.0)).otherwise(r))
 
 
 def safe_ratio(num: ColumnOrName, den: ColumnOrName) -> Column:

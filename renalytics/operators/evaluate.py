@@ -3,8 +3,8 @@
 Input: ``(split, model, id, label, probability, prediction)`` for every model
 and split at once, so one ``groupBy(split, model)`` evaluates everything in a
 single job.  AUC and the ROC curve are exact (ties averaged) and never put a
-whole model's scores in one task: scores are collapsed to distinct values,
-bucketed by score range and ranked with the two-level prefix sums.
+whole model's scores in one task: scores are collapsed to distinct values once and
+dealt into equal ranges for two-level running sums.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
-from .rank import prefix_sums_within, range_bucket
+from ..session import cut_lineage
+from .rank import cumulative_within
 
 GROUP = ["split", "model"]
 METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
@@ -69,34 +70,28 @@ def metrics(cm: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 # E3 -------------------------------------------------------------------------
 def _distinct_scores(preds: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
-    y = F.col(label)
-    return preds.groupBy(*group, F.col(score).alias("score")).agg(
-        F.count_if(y == 1).cast("bigint").alias("pos"),
-        F.count_if(y == 0).cast("bigint").alias("neg"))
-
+    """Positives and negatives per distinct score, checkpointed.
 
-def _bucketed(d: DataFrame, group: list[str], n_buckets: int, descending: bool) -> tuple:
-    mm = d.groupBy(*group).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"),
-                               F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-                               F.count(F.lit(1)).alias("n_points"))
-    j = d.join(mm, group)
-    return j, range_bucket("score", F.col("__lo"), F.col("__hi"), n_buckets, descending)
+    Rows with a NULL label or score take no part in E3 and E4, as they are in no cell of E1.
+    """
+    y = F.col(label)
+    return cut_lineage(preds.where(y.isNotNull() & F.col(score).isNotNull())
+                       .groupBy(*group, F.col(score).alias("score")).agg(
+                           F.count_if(y == 1).cast("bigint").alias("pos"),
+                           F.count_if(y == 0).cast("bigint").alias("neg")))
 
 
 def roc_auc(preds: DataFrame, group: list[str] = GROUP, label: str = "label",
-            score: str = "probability", n_buckets: int = 4096,
-            decimals: int | None = fixed.METRIC_DECIMALS) -> DataFrame:
+            score: str = "probability", decimals: int | None = fixed.METRIC_DECIMALS) -> DataFrame:
     """Exact ROC-AUC with tied scores counted one half.
 
     ``sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)``; NULL when a class
     is absent.
     """
-    d = _distinct_scores(preds, group, label, score)
-    j, bucket = _bucketed(d, group, n_buckets, descending=False)
-    pre = prefix_sums_within(j, group, ["score"], bucket, ["neg"])
-    auc = pre.groupBy(*group).agg(
+    d = cumulative_within(_distinct_scores(preds, group, label, score), group, "score", ["neg"])
+    auc = d.groupBy(*group).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)),
-                     (F.first("n_pos") * F.first("n_neg")).cast("double")).alias("roc_auc"))
+                     (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
     if decimals is not None:
         auc = auc.withColumn("roc_auc", X.round_half_up("roc_auc", decimals))
     return auc
@@ -104,46 +99,32 @@ def roc_auc(preds: DataFrame, group: list[str] = GROUP, label: str = "label",
 
 # E4 -------------------------------------------------------------------------
 def roc_curve(preds: DataFrame, group: list[str] = GROUP, label: str = "label",
-              score: str = "probability", drop_intermediate: bool = True,
-              n_buckets: int = 4096, decimals: int = 6) -> DataFrame:
+              score: str = "probability", drop_intermediate: bool = True, decimals: int = 6) -> DataFrame:
     """ROC points ``(idx, fpr, tpr, threshold)`` from (0, 0), thresholds descending.
 
     ``drop_intermediate`` removes points collinear with both neighbours (zero
-    second difference of fps and tps), as the usual library default does.
-    Neighbours are found by equi-joins on the point index, not by a window
-    over a whole model.
+    second difference of fps and tps), as the usual library default does: a point stays
+    where the next score adds other counts than its own, and at both ends.
     """
-    d = _distinct_scores(preds, group, label, score).withColumn("one", F.lit(1))
-    j, bucket = _bucketed(d, group, n_buckets, descending=True)
-    # one pass gives cumulative positives, negatives and the point index
-    pre = prefix_sums_within(j, group, [F.col("score").desc()], bucket, ["pos", "neg", "one"])
-    pts = pre.select(*group, "score", "n_pos", "n_neg", "__lo", "__hi", "n_points",
-                     (F.col("pos_before") + F.col("pos")).alias("tps"),
-                     (F.col("neg_before") + F.col("neg")).alias("fps"),
-                     F.col("one_before").alias("k"))
-    if drop_intermediate:
-        prev = pts.select(*group, (F.col("k") + 1).alias("k"), F.col("tps").alias("tps_prev"),
-                          F.col("fps").alias("fps_prev"))
-        nxt = pts.select(*group, (F.col("k") - 1).alias("k"), F.col("tps").alias("tps_next"),
-                         F.col("fps").alias("fps_next"))
-        pts = pts.join(prev, group + ["k"], "left").join(nxt, group + ["k"], "left")
-        second_fp = F.col("fps_prev") - 2 * F.col("fps") + F.col("fps_next")
-        second_tp = F.col("tps_prev") - 2 * F.col("tps") + F.col("tps_next")
-        keep = ((F.col("k") == 0) | (F.col("k") == F.col("n_points") - 1)
-                | (second_fp != 0) | (second_tp != 0))
-        kept = pts.where(keep).drop("k").withColumn("one", F.lit(1))
-        desc_bucket = range_bucket("score", F.col("__lo"), F.col("__hi"), n_buckets, descending=True)
-        pts = prefix_sums_within(kept, group, [F.col("score").desc()], desc_bucket, ["one"]) \
-            .withColumnRenamed("one_before", "k")
+    d = cumulative_within(_distinct_scores(preds, group, label, score), group, "score", ["pos", "neg"],
+                          descending=True)
+    first = (F.col("pos_before") == 0) & (F.col("neg_before") == 0)
+    pts = d.select(*group, "score", (F.col("pos_before") + F.col("pos")).alias("tps"),
+                   (F.col("neg_before") + F.col("neg")).alias("fps"),
+                   (first | F.col("pos_next").isNull() | (F.col("pos") != F.col("pos_next"))
+                    | (F.col("neg") != F.col("neg_next"))).alias("corner"))
+    totals = pts.groupBy(*group).agg(F.max("tps").alias("n_pos"), F.max("fps").alias("n_neg"))
+    kept = pts.where("corner") if drop_intermediate else pts
+    kept = cut_lineage(kept.select(*group, "score", "tps", "fps", F.lit(1).cast("bigint").alias("one")))
+    placed = cumulative_within(kept, group, "score", ["one"], descending=True).join(totals, group)
     r = lambda c: X.round_half_up(c, decimals)
-    body = pts.select(*group, (F.col("k") + 1).alias("idx"),
-                      r(X.safe_ratio("fps", "n_neg")).alias("fpr"),
-                      r(X.safe_ratio("tps", "n_pos")).alias("tpr"),
-                      F.col("score").alias("threshold"))
-    origin = pts.select(*group).distinct().select(
-        *group, F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
-    return origin.unionByName(body.withColumn("idx", F.col("idx").cast("long")))
+    body = placed.select(*group, (F.col("one_before") + 1).cast("long").alias("idx"),
+                         r(X.safe_ratio("fps", "n_neg")).alias("fpr"),
+                         r(X.safe_ratio("tps", "n_pos")).alias("tpr"),
+                         F.col("score").alias("threshold"))
+    origin = totals.select(*group, F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("fpr"),
+                           F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
+    return origin.unionByName(body)
 
 
 # E5-E10 ---------------------------------------------------------------------

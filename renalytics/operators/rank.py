@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HASH_BITS = 60
 
 
@@ -35,13 +37,21 @@ def hash_bucket(h: Column | str, bucket_bits: int = 12) -> Column:
     return F.shiftright(h, HASH_BITS - bucket_bits).cast("int")
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where a NULL key equals NULL, so a NULL group keeps its rows."""
+    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
+                           *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
+
+
 def ranked_within(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
                   bucket: Column, rank_col: str = "rank", size_col: str | None = "group_size"
                   ) -> DataFrame:
     """Add a 0-based exact rank within ``group_cols`` ordered by ``order_cols``.
 
     ``bucket`` must be non-decreasing in ``order_cols`` order.  Optionally adds
-    the group size, taken from the same small count table.
+    the group size, taken from the same small count table.  NULL is a group of its own.
     """
     b = df.withColumn("__bucket", bucket)
     counts = b.groupBy(*group_cols, "__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
@@ -55,39 +65,37 @@ def ranked_within(df: DataFrame, group_cols: list[str], order_cols: list[Column
     # ``offsets`` has at most groups x buckets rows; AQE broadcasts it when its
     # runtime size is under the broadcast threshold, else it is shuffled.
     rn = F.row_number().over(Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols))
-    return (b.join(offsets, [*group_cols, "__bucket"])
+    return (_join_null_safe(b, offsets, [*group_cols, "__bucket"])
             .withColumn(rank_col, F.col("__offset") + rn - 1)
             .drop("__bucket", "__offset"))
 
 
-def prefix_sums_within(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
-                       bucket: Column, value_cols: list[str], suffix: str = "_before"
-                       ) -> DataFrame:
-    """Exclusive running sums of ``value_cols`` within groups, in ``order_cols`` order.
+def cumulative_within(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
+                      descending: bool = False, rows_per_part: int = 50_000) -> DataFrame:
+    """``df`` with running totals along ``order_col`` (distinct values) within each group.
 
-    Same two-level scheme as :func:`ranked_within`: per-bucket totals, offsets
-    over the small bucket table, then a window per (group, bucket).
+    Adds ``<v>_before`` (exclusive running sum) and ``<v>_next`` (the value of the next row, NULL at
+    the end) for every value column.  Rows are dealt into ranges of (group, order) of equal size, as
+    Spark samples them, so a skewed value distribution cannot fill one task; the part number is
+    checkpointed with the rows.  Parts are joined to the running sum of their totals, and the
+    window only runs inside a part.  ``df`` is read twice (a count and the deal): pass a checkpointed one.
     """
-    b = df.withColumn("__bucket", bucket)
-    tot = b.groupBy(*group_cols, "__bucket").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
-    w = Window.partitionBy(*group_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = tot.select(*group_cols, "__bucket", *[
-        (F.sum(f"__t_{v}").over(w) - F.col(f"__t_{v}")).alias(f"__o_{v}") for v in value_cols])
-    wi = (Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols)
-          .rowsBetween(Window.unboundedPreceding, 0))
-    out = b.join(offsets, [*group_cols, "__bucket"])
-    for v in value_cols:
-        out = out.withColumn(f"{v}{suffix}",
-                             F.col(f"__o_{v}") + F.sum(v).over(wi) - F.col(v))
-    return out.drop("__bucket", *[f"__o_{v}" for v in value_cols])
-
-
-def range_bucket(x: Column | str, lo: Column, hi: Column, n_buckets: int = 4096,
-                 descending: bool = False) -> Column:
-    """Bucket 0..n-1 of ``x`` over [lo, hi]; non-decreasing in x (or in -x)."""
-    x = F.col(x) if isinstance(x, str) else x
-    span = hi - lo
-    frac = F.when(span > 0, (x - lo) / span).otherwise(F.lit(0.0))
-    if descending:
-        frac = F.lit(1.0) - frac
-    return F.least(F.floor(frac * F.lit(float(n_buckets))), F.lit(n_buckets - 1)).cast("int")
+    parts = max(1, -(-df.count() // rows_per_part))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    dealt = cut_lineage(df.repartitionByRange(parts, *group_cols, order)
+                        .withColumn("__part", F.spark_partition_id()))
+    first = F.max_by if descending else F.min_by
+    totals = dealt.groupBy(*group_cols, "__part").agg(
+        *[F.sum(v).alias(f"__t_{v}") for v in value_cols],
+        *[first(v, order_col).alias(f"__f_{v}") for v in value_cols])
+    by_part = Window.partitionBy(*group_cols).orderBy("__part")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group_cols, "__part", *[c for v in value_cols for c in (
+        F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}"),
+        F.lead(f"__f_{v}").over(by_part).alias(f"__n_{v}"))])
+    inside = Window.partitionBy(*group_cols, "__part").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = _join_null_safe(dealt, totals, [*group_cols, "__part"])
+    return out.select(*df.columns, *[c for v in value_cols for c in (
+        (F.col(f"__o_{v}") + F.coalesce(F.sum(v).over(upto), F.lit(0))).alias(f"{v}_before"),
+        F.coalesce(F.lead(v).over(inside), F.col(f"__n_{v}")).alias(f"{v}_next"))])

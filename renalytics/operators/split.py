@@ -11,7 +11,9 @@ demographics and predictions can never be paired with the wrong patient.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -20,26 +22,67 @@ from ..functions.spec import COHORT_SPEC, ColumnSpec
 from .rank import hash60, hash_bucket, ranked_within
 
 
-def _round_half_up_count(x):
-    return F.floor(x + F.lit(0.5))
+ROWS_PER_BUCKET = 2000
+
+
+def _cut_offs(df: DataFrame, spec: ColumnSpec, h: Column, sizes: dict, wanted: dict) -> dict:
+    """For each (class, rank) in ``wanted``: the ``(hash, id)`` of the row with that rank.
+
+    Rows are counted per (class, hash prefix); a running sum finds the bucket that holds each
+    wanted rank, and only the rows of those buckets are ranked.  One row per wanted rank comes back.
+    """
+    largest = max(sizes.values(), default=1)
+    bits = max(1, min(20, math.ceil(math.log2(max(2, largest // ROWS_PER_BUCKET)))))
+    spark = df.sparkSession
+    target = df.schema[spec.target].dataType.simpleString()
+    want = spark.createDataFrame([(c, r) for c, ranks in wanted.items() for r in ranks],
+                                 f"w_class {target}, w_rank long")
+    hashed = df.select(F.col(spec.target).alias("c"), h.alias("h"), F.col(spec.id).alias("i"))
+    hashed = hashed.withColumn("b", hash_bucket("h", bits))
+    counts = hashed.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.withColumn("end", F.sum("n").over(upto))
+    # The wanted ranks are two per class: a broadcast of a few rows.
+    hit = spans.join(F.broadcast(want), F.col("c").eqNullSafe(F.col("w_class"))
+                     & (F.col("w_rank") < F.col("end")) & (F.col("w_rank") >= F.col("end") - F.col("n")))
+    hit = hit.select("w_class", "w_rank", F.col("b").alias("w_b"), (F.col("end") - F.col("n")).alias("before"))
+    rows = hashed.join(F.broadcast(hit), F.col("c").eqNullSafe(F.col("w_class")) & (F.col("b") == F.col("w_b")))
+    within = Window.partitionBy("w_class", "w_rank").orderBy("h", "i")
+    at = (rows.withColumn("r", F.col("before") + F.row_number().over(within) - 1)
+          .where("r = w_rank").select("w_class", "w_rank", "h", "i"))
+    return {(r["w_class"], r["w_rank"]): (r["h"], r["i"]) for r in at.collect()}
 
 
 def stratified_split(df: DataFrame, spec: ColumnSpec = COHORT_SPEC, seed: int = fixed.RANDOM_STATE,
-                     test_size: float = fixed.TEST_SIZE, val_size: float = fixed.VAL_SIZE_OF_REST,
-                     bucket_bits: int = 12) -> DataFrame:
-    """Add ``split`` in {'train', 'validation', 'test'}."""
+                     test_size: float = fixed.TEST_SIZE, val_size: float = fixed.VAL_SIZE_OF_REST
+                     ) -> DataFrame:
+    """Add ``split`` in {'train', 'validation', 'test'}.
+
+    Two cut-offs per class are fitted (see :func:`_cut_offs`); the split itself compares
+    ``(hash, id)`` with them in a projection, without a shuffle.  A NULL label is a class of its own.
+    """
     h = hash60(F.lit(str(seed)), spec.id)
-    ranked = ranked_within(df.withColumn("__h", h), [spec.target], ["__h", spec.id],
-                           hash_bucket("__h", bucket_bits), rank_col="__rank",
-                           size_col="__n")
-    n = F.col("__n").cast("double")
-    n_test = _round_half_up_count(n * F.lit(test_size))
-    n_val = _round_half_up_count((n - n_test) * F.lit(val_size))
-    r = F.col("__rank")
-    split = (F.when(r < n_test, F.lit("test"))
-             .when(r < n_test + n_val, F.lit("validation"))
-             .otherwise(F.lit("train")))
-    return ranked.withColumn("split", split).drop("__h", "__rank", "__n")
+    sizes = {r[0]: r[1] for r in df.groupBy(spec.target).agg(F.count(F.lit(1))).collect()}  # classes
+    wanted = {}
+    for c, n in sizes.items():
+        n_test = math.floor(float(n) * test_size + 0.5)
+        wanted[c] = (n_test, n_test + math.floor((float(n) - n_test) * val_size + 0.5))
+    found = _cut_offs(df, spec, h, sizes, wanted)
+
+    def before(cut) -> Column:
+        """Rows whose (hash, id) lies before a cut-off; a rank beyond the last row has none."""
+        if cut is None:
+            return F.lit(True)
+        i = F.col(spec.id)
+        return (F.col("__h") < F.lit(cut[0])) | ((F.col("__h") == F.lit(cut[0])) & (i < F.lit(cut[1])))
+
+    split = F.lit(None).cast("string")
+    for c, (test_end, val_end) in wanted.items():
+        own = F.col(spec.target).isNull() if c is None else F.col(spec.target) == F.lit(c)
+        part = (F.when(before(found.get((c, test_end))), F.lit("test"))
+                .when(before(found.get((c, val_end))), F.lit("validation")).otherwise(F.lit("train")))
+        split = F.when(own, part).otherwise(split)
+    return df.withColumn("__h", h).withColumn("split", split).drop("__h")
 
 
 def split_sizes(split_df: DataFrame, spec: ColumnSpec = COHORT_SPEC) -> DataFrame:
@@ -56,7 +99,10 @@ def remaining_after(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
 
 def kfold_assign(df: DataFrame, k: int = fixed.CV_FOLDS, spec: ColumnSpec = COHORT_SPEC,
                  seed: int = fixed.RANDOM_STATE, bucket_bits: int = 12) -> DataFrame:
-    """Stratified fold 0..k-1: within-class rank of ``md5(seed|kfold|id)`` mod k (M7)."""
+    """Stratified fold 0..k-1: within-class rank of ``md5(seed|kfold|id)`` mod k (M7).
+
+    A NULL label is a class of its own; no row is lost.
+    """
     h = hash60(F.lit(str(seed)), F.lit("kfold"), spec.id)
     ranked = ranked_within(df.withColumn("__h", h), [spec.target], ["__h", spec.id],
                            hash_bucket("__h", bucket_bits), rank_col="__rank", size_col=None)

@@ -55,7 +55,8 @@ def rhu(expr: str, d: int) -> str:
     """Half-away-from-zero rounding, same formula as ``exprs.round_half_up``."""
     s = f"{float(10 ** d)!r}"
     r = f"(sign({expr}) * floor(abs({expr}) * {s} + 0.5) / {s})"
-    return f"(CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END)"
+    big = f"{2.0 ** 53 / 10 ** d!r}"
+    return f"(CASE WHEN abs({expr}) >= {big} THEN CAST({expr} AS DOUBLE) WHEN {r} = 0 THEN 0e0 ELSE {r} END)"
 
 
 STAGE_CASE = ("CASE " + " ".join(
