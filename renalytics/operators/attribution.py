@@ -49,47 +49,68 @@ def background_means(background: DataFrame, feats: list[str]) -> dict[str, float
     return {c: row[f"{c}__mean"] for c in feats}
 
 
-def linear_attribution(df: DataFrame, weights: dict[str, float], background: DataFrame | None = None,
-                       means: dict[str, float] | None = None) -> tuple[DataFrame, Column]:
-    """``w_i (x_i - mean_i)`` per patient and feature (X3), long layout.
+def _cells(values: dict[str, Column], shaps: dict[str, Column]) -> Column:
+    """One struct per feature, in feature order: the attributions of a row as an array."""
+    return F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ordinal"),
+                              values[c].cast("double").alias("feature_value"),
+                              shaps[c].cast("double").alias("shap_value"))
+                     for i, c in enumerate(values)])
+
+
+def linear_cells(df: DataFrame, weights: dict[str, float], background: DataFrame | None = None,
+                 means: dict[str, float] | None = None) -> tuple[DataFrame, Column]:
+    """``(id, cells)``: ``w_i (x_i - mean_i)`` of each feature as an array in the patient's row.
 
     ``background`` supplies the feature means (the training rows), fitted once;
-    pass ``means`` to reuse an earlier fit.
-    Returns the long table and the baseline ``sum_i w_i mean_i`` (add the
-    intercept to get the expected margin).
+    pass ``means`` to reuse an earlier fit.  Also returns the baseline
+    ``sum_i w_i mean_i`` (add the intercept to get the expected margin).
     """
     feats = list(weights)
     if means is None:
         means = background_means(background, feats)
     mean = {c: F.lit(means[c]) for c in feats}
-    cells = F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.lit(i).alias("feature_ordinal"),
-        F.col(c).cast("double").alias("feature_value"),
-        (F.lit(float(weights[c])) * (F.col(c).cast("double") - mean[c])).alias("shap_value"))
-        for i, c in enumerate(feats)])
-    long = df.select(ID, F.inline(cells))
+    shaps = {c: F.lit(float(weights[c])) * (F.col(c).cast("double") - mean[c]) for c in feats}
     baseline = X.add_all([F.lit(float(weights[c])) * mean[c] for c in feats])
-    return long, baseline
+    return df.select(ID, _cells({c: F.col(c) for c in feats}, shaps).alias("cells")), baseline
+
+
+def linear_attribution(df: DataFrame, weights: dict[str, float], background: DataFrame | None = None,
+                       means: dict[str, float] | None = None) -> tuple[DataFrame, Column]:
+    """:func:`linear_cells` as a long table, one row per patient and feature."""
+    rows, baseline = linear_cells(df, weights, background, means)
+    return rows.select(ID, F.inline("cells")), baseline
+
+
+def wide_to_cells(df: DataFrame, feats: list[str], shap_cols: list[str]) -> DataFrame:
+    """Wide ``(id, x_i..., shap_i...)`` to ``(id, cells)``."""
+    cells = _cells({c: F.col(c) for c in feats}, {c: F.col(s) for c, s in zip(feats, shap_cols)})
+    return df.select(ID, cells.alias("cells"))
 
 
 def wide_to_long(df: DataFrame, feats: list[str], shap_cols: list[str]) -> DataFrame:
     """Wide ``(id, x_i..., shap_i...)`` to the long attribution layout."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ordinal"),
-                               F.col(c).cast("double").alias("feature_value"),
-                               F.col(s).cast("double").alias("shap_value"))
-                      for i, (c, s) in enumerate(zip(feats, shap_cols))])
-    return df.select(ID, F.inline(cells))
+    return wide_to_cells(df, feats, shap_cols).select(ID, F.inline("cells"))
 
 
 # X4 / X6 --------------------------------------------------------------------
-def top_factors(long: DataFrame, n: int = 3, decimals: int = 4) -> DataFrame:
+def _by_size(cells: Column | str, descending: bool) -> Column:
+    """The row's cells by |attribution|, ties in feature order."""
+    c = F.col(cells) if isinstance(cells, str) else cells
+    size = (lambda s: -F.abs(s["shap_value"])) if descending else (lambda s: F.abs(s["shap_value"]))
+    return F.array_sort(F.transform(c, lambda s: F.struct(
+        size(s).alias("size"), s["feature_ordinal"].alias("ordinal"), s["feature"].alias("feature"),
+        s["shap_value"].alias("shap_value"))))
+
+
+def top_factors(rows: DataFrame, n: int = 3, decimals: int = 4) -> DataFrame:
     """Top-``n`` features per patient by |attribution| (ties: feature order).
 
+    ``rows`` are ``(id, cells)``; the choice is made inside each row, without a shuffle.
     ``direction`` is "increases" for a positive value, else "decreases"; the
     description reads ``<feature> <direction> CKD risk (SHAP = +0.1234)``.
     """
-    w = Window.partitionBy(ID).orderBy(F.abs("shap_value").desc(), F.col("feature_ordinal").asc())
-    ranked = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = rows.select(ID, F.posexplode(F.slice(_by_size("cells", True), 1, n)).alias("pos", "cell")) \
+                 .select(ID, (F.col("pos") + 1).alias("rank"), "cell.feature", "cell.shap_value")
     direction = F.when(F.col("shap_value") > 0, F.lit("increases")).otherwise(F.lit("decreases"))
     rounded = X.round_half_up("shap_value", decimals)
     # the text shows the rounded value so that every engine prints the same digits
@@ -99,18 +120,12 @@ def top_factors(long: DataFrame, n: int = 3, decimals: int = 4) -> DataFrame:
                         rounded).alias("description"))
 
 
-def factor_lists(long: DataFrame, n: int = 5) -> DataFrame:
+def factor_lists(rows: DataFrame, n: int = 5) -> DataFrame:
     """Display names of risk-increasing (>0) and decreasing (<0) factors in the top ``n``."""
-    top = top_factors(long, n)
-    raw = long.select(ID, "feature", F.col("shap_value").alias("raw"))
-    t = top.join(raw, [ID, "feature"]).select(
-        ID, "rank", X.display_name_expr("feature").alias("name"), "raw")
-    agg = t.groupBy(ID).agg(
-        F.array_sort(F.collect_list(F.when(F.col("raw") > 0, F.struct("rank", "name")))).alias("inc"),
-        F.array_sort(F.collect_list(F.when(F.col("raw") < 0, F.struct("rank", "name")))).alias("dec"))
-    return agg.select(ID,
-                      F.array_join(F.transform("inc", lambda s: s["name"]), ", ").alias("increasing"),
-                      F.array_join(F.transform("dec", lambda s: s["name"]), ", ").alias("decreasing"))
+    def names(keep) -> Column:
+        top = F.filter(F.slice(_by_size("cells", True), 1, n), lambda s: keep(s["shap_value"]))
+        return F.array_join(F.transform(top, lambda s: X.display_name_expr(s["feature"])), ", ")
+    return rows.select(ID, names(lambda v: v > 0).alias("increasing"), names(lambda v: v < 0).alias("decreasing"))
 
 
 # X5 -------------------------------------------------------------------------
@@ -138,21 +153,30 @@ def beeswarm(long: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 # X8 / X9 --------------------------------------------------------------------
-def waterfall(long: DataFrame, baseline: Column, decimals: int = 6) -> DataFrame:
-    """Running total from the baseline, smallest |attribution| first."""
-    w = Window.partitionBy(ID).orderBy(F.abs("shap_value").asc(), F.col("feature_ordinal").asc())
-    end = baseline + F.sum("shap_value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    stepped = long.select(ID, "feature", "shap_value", F.row_number().over(w).alias("step"),
-                          end.alias("end"))
+def waterfall(rows: DataFrame, baseline: Column, decimals: int = 6) -> DataFrame:
+    """Running total from the baseline, smallest |attribution| first (X8), inside each row."""
+    ordered = rows.select(ID, _by_size("cells", False).alias("ordered"))
+
+    def total(i):
+        return F.aggregate(F.slice(F.col("ordered"), F.lit(1), i + 1), F.lit(0.0),
+                           lambda acc, s: acc + s["shap_value"])
+
+    steps = F.transform("ordered", lambda s, i: F.struct(
+        (i + 1).alias("step"), s["feature"].alias("feature"), s["shap_value"].alias("shap_value"),
+        (baseline + total(i)).alias("end")))
     r = lambda c: X.round_half_up(c, decimals)
-    return stepped.select(ID, "step", "feature", r("shap_value").alias("shap_value"),
-                          r(F.col("end") - F.col("shap_value")).alias("start"), r("end").alias("end"))
+    return ordered.select(ID, F.inline(steps)).select(
+        ID, "step", "feature", r("shap_value").alias("shap_value"),
+        r(F.col("end") - F.col("shap_value")).alias("start"), r("end").alias("end"))
 
 
-def force_totals(long: DataFrame, baseline: Column, decimals: int = 6) -> DataFrame:
+def force_totals(rows: DataFrame, baseline: Column, decimals: int = 6) -> DataFrame:
     """Per patient: sum of positive and of negative attributions, and the output."""
+    def total(pick) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda acc, s: acc + pick(s["shap_value"]))
     r = lambda c: X.round_half_up(c, decimals)
-    return long.groupBy(ID).agg(
-        r(F.sum(F.when(F.col("shap_value") > 0, F.col("shap_value")).otherwise(0.0))).alias("positive_total"),
-        r(F.sum(F.when(F.col("shap_value") < 0, F.col("shap_value")).otherwise(0.0))).alias("negative_total"),
-        r(baseline + F.sum("shap_value")).alias("output"))
+    return rows.select(
+        ID,
+        r(total(lambda v: F.greatest(v, F.lit(0.0)))).alias("positive_total"),
+        r(total(lambda v: F.least(v, F.lit(0.0)))).alias("negative_total"),
+        r(baseline + total(lambda v: v)).alias("output"))

@@ -10,7 +10,8 @@ any iterative Spark algorithm):
 * grid cells of width R in the continuous dimensions, plus the 0/1 pattern;
 * every unresolved vector probes the 3^c neighbouring cells and the 0/1
   patterns within Hamming distance R^2 (a tiny pattern-pair table of 4^b
-  rows, b = number of 0/1 columns, fixed by the schema);
+  rows); c and b count at most the three widest continuous and the first six
+  0/1 columns, the others only enter the distance;
 * every vector within distance R is found this way, so a vector whose
   candidates within R already hold k neighbours (counting multiplicities and
   its own copies) has its exact k nearest; the others go to the next round;
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..session import cut_lineage
 
-MAX_BINARY_COLUMNS = 10
-_DEBUG = bool(os.environ.get("RENALYTICS_DEBUG"))
+GRID_COLUMNS = 3     # continuous columns that form grid cells: 27 neighbouring cells
+PATTERN_COLUMNS = 6  # 0/1 columns that form patterns: 4096 pairs
 
 
 def _pattern(binary: list[str]):
@@ -48,20 +48,18 @@ def _d2(a: str, b: str, cols: list[str]):
 
 
 def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
-              gid: str = "gid", mult: str = "mult", max_rounds: int = 64,
-              max_cell: int = 4096) -> DataFrame:
+              gid: str = "gid", mult: str = "mult", max_cell: int = 4096) -> DataFrame:
     """``(gid, j, nb_gid, d2)``: the j-th (0-based) nearest neighbour of each vector.
 
     Neighbours are expanded by multiplicity (a vector with 3 copies can fill 3
     ranks; a vector's own other copies come first at distance 0).  ``k`` is
     capped at ``total rows - 1`` (the usual library raises instead).
     """
-    if len(binary) > MAX_BINARY_COLUMNS:
-        raise ValueError("too many 0/1 columns for the pattern table; treat them as continuous")
     spark = points.sparkSession
     feats = cont + binary
+    pats = binary[:PATTERN_COLUMNS]
     pts = points.select(gid, mult, *[F.col(c).cast("double").alias(c) for c in feats],
-                        _pattern(binary).alias("pat"))
+                        _pattern(pats).alias("pat"))
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(mult).alias("rows")]
     for c in cont:
         aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
@@ -71,32 +69,34 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
     if k_eff <= 0:
         return spark.createDataFrame([], schema)
     ranges = [float(st[f"hi_{c}"] - st[f"lo_{c}"]) for c in cont]
+    # the widest columns form the grid; the others only enter the distance, which stays exact
+    axes = sorted(cont, key=lambda c: -ranges[cont.index(c)])[:GRID_COLUMNS]
     diameter2 = sum(r * r for r in ranges) + len(binary)
     spread = max(ranges) if ranges and max(ranges) > 0 else 1.0
     radius = max(spread * math.sqrt(k_eff / max(st["n"], 1)), 1e-6)
 
-    nb = len(binary)
+    nb = len(pats)
     pair_rows = [(p, q, bin(p ^ q).count("1")) for p in range(1 << nb) for q in range(1 << nb)]
     pattern_pairs = spark.createDataFrame(pair_rows, "pat int, q int, ham int")
     offsets = F.array(*[F.array(*[F.lit(o) for o in combo])
-                        for combo in itertools.product((-1, 0, 1), repeat=len(cont))])
+                        for combo in itertools.product((-1, 0, 1), repeat=len(axes))])
 
     pts = cut_lineage(pts)  # input vectors: read by every round
     # Dense regions: shrink the starting radius until no grid cell holds more
     # than ``max_cell`` distinct vectors, so no cell yields a quadratic burst of
     # pairs (counting job only; dense vectors then resolve in the first rounds).
-    while cont and radius > 1e-9:
-        cells = [F.floor(F.col(c) / F.lit(radius)) for c in cont]
+    while axes and radius > spread * 1e-9:
+        cells = [F.floor(F.col(c) / F.lit(radius)) for c in axes]
         occ = pts.groupBy(*cells, "pat").count().agg(F.max("count")).first()[0]
         if occ is None or occ <= max_cell:
             break
         radius /= 4.0
     unresolved = pts
     parts: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:  # the radius doubles, so some round covers the diameter and is the last
         last = radius * radius >= diameter2
         r2 = radius * radius
-        cell = [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in cont]
+        cell = [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in axes]
         grid = pts.select(F.col(gid).alias("h"), F.col(mult).alias("h_mult"),
                           *[F.col(c).alias(f"h_{c}") for c in feats],
                           F.col("pat").alias("q"), *[v.alias(f"cell{i}") for i, v in enumerate(cell)])
@@ -104,14 +104,18 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
                                     *[v.alias(f"c{i}") for i, v in enumerate(cell)],
                                     F.explode(offsets).alias("off"))
                   .select("*", *[(F.col(f"c{i}") + F.col("off")[i]).alias(f"cell{i}")
-                                 for i in range(len(cont))])
+                                 for i in range(len(axes))])
                   .join(F.broadcast(pattern_pairs.where(F.col("ham") <= F.lit(r2))), "pat"))
-        cand = (probes.join(grid, [f"cell{i}" for i in range(len(cont))] + ["q"])
+        cand = (probes.join(grid, [f"cell{i}" for i in range(len(axes))] + ["q"])
                 .where(F.col("h") != F.col(gid))
                 .select(gid, "h", "h_mult", _d2("g_", "h_", feats).alias("d2raw"))
                 .where(F.col("d2raw") <= F.lit(r2))
                 .select(gid, "h", "h_mult", X.round_half_up("d2raw", 9).alias("d2")))
-        cand = cut_lineage(cand)                       # candidate pairs of this round
+        # Only the k nearest of each vector are kept: the rank limit runs inside the tasks that join,
+        # before the shuffle, and again after it.  They tell as well whether k lie within the radius.
+        nearest = Window.partitionBy(gid).orderBy("d2", "h")
+        cand = cut_lineage(cand.withColumn("at", F.row_number().over(nearest))
+                           .where(F.col("at") <= k_eff).drop("at"))
         if last:
             parts.append(cand)
             break
@@ -121,8 +125,6 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
                 gid, ((F.coalesce("within", F.lit(0)) + F.col(mult) - 1) >= k_eff).alias("done")))
         parts.append(cand.join(status.where("done").select(gid), gid, "left_semi"))
         pending = status.where(~F.col("done")).select(gid)
-        if _DEBUG:
-            print(f"knn round radius={radius:.4g}", flush=True)
         if pending.isEmpty():
             break
         unresolved = pts.join(pending, gid, "left_semi")

@@ -100,8 +100,8 @@ def _names(arr: Column, positive: bool) -> Column:
     return F.array_join(F.transform(kept, lambda s: X.display_name_expr(s["feature"])), ", ")
 
 
-def guidance(scored: DataFrame, art: ScoringArtefacts, top_n: int = 5) -> DataFrame:
-    """Clinical guidance lines per scored row (R5), joined by newlines."""
+def guidance_text(art: ScoringArtefacts, top_n: int = 5) -> Column:
+    """Clinical guidance lines of a scored row, joined by newlines: a projection of that row."""
     spec = art.spec
     top = top_k(art, top_n)
     inc, dec = _names(top, True), _names(top, False)
@@ -123,8 +123,12 @@ def guidance(scored: DataFrame, art: ScoringArtefacts, top_n: int = 5) -> DataFr
         F.format_string("CKD Probability: %.1f%% — %s risk category.", pct, F.col("risk_category")),
         *[F.lit(t) for t in fixed.GUIDANCE_NEGATIVE])
     lines = F.when(F.col("prediction") == 1, pos).otherwise(neg)
-    return scored.select(spec.id, F.col("prediction"),
-                         F.concat_ws("\n", F.array_compact(lines)).alias("guidance"))
+    return F.concat_ws("\n", F.array_compact(lines))
+
+
+def guidance(scored: DataFrame, art: ScoringArtefacts, top_n: int = 5) -> DataFrame:
+    """Clinical guidance per scored row."""
+    return scored.select(art.spec.id, F.col("prediction"), guidance_text(art, top_n).alias("guidance"))
 
 
 def readable_values(df: DataFrame, spec: ColumnSpec = COHORT_SPEC) -> DataFrame:

@@ -13,6 +13,9 @@ Steps (all distributed):
 5. two equi-joins fetch base and neighbour, and every feature becomes
    ``x + gap * (neighbour - x)``.
 
+A NULL or NaN feature in a minority row is refused with a count, as the feature
+assembler does: it has no neighbours and could not be interpolated.
+
 0/1 columns are interpolated too (fractions), as the original does; pass
 ``binary_mode="vote"`` to round them instead.  If the ratio is already met no
 rows are added (the usual library raises).
@@ -31,7 +34,9 @@ TWO_60 = float(1 << 60)
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Rows per class; rows without a label belong to none."""
+    return {r[label]: r["n"] for r in df.where(F.col(label).isNotNull())
+            .groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def smote(train: DataFrame, cont: list[str], binary: list[str], label: str, id_col: str,
@@ -54,6 +59,9 @@ def smote(train: DataFrame, cont: list[str], binary: list[str], label: str, id_c
         return spark.createDataFrame([], mino.select(F.lit(0).cast("long").alias("synthetic_id"),
                                                      *feats, F.lit(minority).alias(label)).schema)
     k_eff = min(k, m - 1)
+    empty = mino.where(" OR ".join(f"`{c}` IS NULL OR isnan(`{c}`)" for c in feats)).count()
+    if empty:
+        raise ValueError(f"{empty} minority rows have a NULL or NaN feature; impute them before oversampling")
 
     # dense index over minority rows
     hcol = hash60(F.lit(str(seed)), F.lit("smote"), id_col)

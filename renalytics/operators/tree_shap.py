@@ -217,7 +217,7 @@ def _attribute_with_tables(x: np.ndarray, t: LeafTable, block: int) -> np.ndarra
 
 def tree_attributions(df: DataFrame, model: PipelineModel, id_col: str = "patient_id",
                       stage: int = -1) -> tuple[DataFrame, float]:
-    """Wide attributions ``(id, shap__<feature>...)`` for every row, and the baseline."""
+    """Wide attributions ``(id, shap__<feature>..., <feature>...)`` for every row, and the baseline."""
     spark = df.sparkSession
     feats = list(model.stages[0].getInputCols())
     table = leaf_table(spark, model.stages[stage], len(feats))
@@ -229,11 +229,11 @@ def tree_attributions(df: DataFrame, model: PipelineModel, id_col: str = "patien
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
             phi = attribute_batch(x, t)
-            out = pd.DataFrame(phi, columns=[f"shap__{c}" for c in feats])
+            out = pd.DataFrame(np.hstack([phi, x]), columns=[f"shap__{c}" for c in feats] + feats)
             out.insert(0, id_col, pdf[id_col].to_numpy())
             yield out
 
-    schema = f"{id_col} long, " + ", ".join(f"shap__{c} double" for c in feats)
+    schema = f"{id_col} long, " + ", ".join([f"shap__{c} double" for c in feats] + [f"{c} double" for c in feats])
     return df.select(id_col, *[F.col(c).cast("double") for c in feats]).mapInPandas(run, schema), \
         table.baseline
 

@@ -14,13 +14,19 @@ _DISPLAY = ("CASE feature " + " ".join(f"WHEN '{c}' THEN '{display_name(c)}'" fo
             + " END")
 
 
-def linear_attr(spark, sf_dir):
+def linear_rows(spark, sf_dir):
+    """``(patient_id, cells)`` of the validation patients, and the baseline."""
     from .base import cached_fit
     sc = scaled_split(spark, sf_dir)
     val = sc.where(F.col("split") == "validation")
     means = cached_fit(spark, sf_dir, "background_means", lambda: AT.background_means(
         sc.where(F.col("split") == "train"), list(LINEAR_WEIGHTS)))
-    return AT.linear_attribution(val, LINEAR_WEIGHTS, means=means)
+    return AT.linear_cells(val, LINEAR_WEIGHTS, means=means)
+
+
+def linear_attr(spark, sf_dir):
+    rows, baseline = linear_rows(spark, sf_dir)
+    return rows.select("patient_id", F.inline("cells")), baseline
 
 
 @register("x3_linear_attribution", with_ctes(
@@ -48,8 +54,13 @@ FROM t WHERE rank <= {n}
 
 @register("x4_top_factors", with_ctes(_top_sql(3), "enc_split", extra=LINEAR_CTES))
 def x4_top_factors(spark, sf_dir):
-    long, _ = linear_attr(spark, sf_dir)
-    return AT.top_factors(long, 3)
+    return AT.top_factors(linear_rows(spark, sf_dir)[0], 3)
+
+
+@register("x4_top_factors_all", with_ctes(_top_sql(10), "enc_split", extra=LINEAR_CTES))
+def x4_top_factors_all(spark, sf_dir):
+    """Up to ten factors, as the patient page lists them."""
+    return AT.top_factors(linear_rows(spark, sf_dir)[0], 10)
 
 
 @register("x5_global_importance", with_ctes(
@@ -74,8 +85,7 @@ FROM t WHERE rank <= 5 GROUP BY patient_id
 
 @register("x6_factor_lists", with_ctes(_X6, "enc_split", extra=LINEAR_CTES))
 def x6_factor_lists(spark, sf_dir):
-    long, _ = linear_attr(spark, sf_dir)
-    return AT.factor_lists(long, 5)
+    return AT.factor_lists(linear_rows(spark, sf_dir)[0], 5)
 
 
 _X7 = f"""
@@ -106,8 +116,7 @@ SELECT patient_id, step, feature, {rhu('shap_value', 6)} AS shap_value, {rhu('"e
 
 @register("x8_waterfall", with_ctes(_X8, "enc_split", extra=LINEAR_CTES))
 def x8_waterfall(spark, sf_dir):
-    long, baseline = linear_attr(spark, sf_dir)
-    return AT.waterfall(long, baseline)
+    return AT.waterfall(*linear_rows(spark, sf_dir))
 
 
 _X9 = f"""
@@ -121,5 +130,4 @@ FROM attr CROSS JOIN bg GROUP BY patient_id, {', '.join('bg.' + c for c in LINEA
 
 @register("x9_force_totals", with_ctes(_X9, "enc_split", extra=LINEAR_CTES))
 def x9_force_totals(spark, sf_dir):
-    long, baseline = linear_attr(spark, sf_dir)
-    return AT.force_totals(long, baseline)
+    return AT.force_totals(*linear_rows(spark, sf_dir))

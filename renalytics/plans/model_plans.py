@@ -30,6 +30,7 @@ from .smote_plans import BINARY, CONT, FEATS
 _CACHE: dict = {}
 LABEL = "label"
 ROWS_PER_PARTITION = 100_000
+EXPLAINED = "XGBoost"
 
 
 def _key(spark, sf_dir, *rest):
@@ -49,10 +50,8 @@ def training_table(spark, sf_dir):
         folded = SP.kfold_assign(both, spec=COHORT_SPEC.with_(id="row_id"))
         t = cut_lineage(folded.select("row_id", *FEATS,
                                       F.col("ckd_diagnosis").cast("double").alias(LABEL), "fold"))
-        # every boosting round is a few jobs over this table: size its partitions by
-        # its row count (~100k rows each, at least 1, at most 4 x default parallelism)
-        n = t.count()
-        parts = max(1, min(4 * spark.sparkContext.defaultParallelism, n // ROWS_PER_PARTITION))
+        # every boosting round is a few jobs over this table: about 100k rows in each partition
+        parts = max(1, -(-t.count() // ROWS_PER_PARTITION))
         _CACHE[k] = cut_lineage(t.repartition(parts, "row_id")).persist()
     return _CACHE[k]
 
@@ -140,35 +139,46 @@ def e5_fitted_model_comparison(spark, sf_dir):
     return EV.comparison(preds, model_order=fixed.MODEL_ORDER)
 
 
+def _cv_recall(spark, sf_dir, name):
+    """Recall over the folds of one base model, refit on each of them (M8)."""
+    preds = MD.cv_fold_predictions(training_table(spark, sf_dir), FEATS, lambda: MD.estimators(label=LABEL)[name],
+                                   label=LABEL)
+    return EV.cv_recall(preds.withColumn("model", F.lit(name)))
+
+
+@register("m8_cv_recall_fitted_leaf_wise")
+def m8_cv_recall_fitted_leaf_wise(spark, sf_dir):
+    return _cv_recall(spark, sf_dir, "LightGBM")
+
+
+@register("m8_cv_recall_fitted_symmetric")
+def m8_cv_recall_fitted_symmetric(spark, sf_dir):
+    return _cv_recall(spark, sf_dir, "CatBoost")
+
+
+@register("m8_cv_recall_fitted_level_wise")
+def m8_cv_recall_fitted_level_wise(spark, sf_dir):
+    return _cv_recall(spark, sf_dir, "XGBoost")
+
+
 @register("m8_cv_recall_fitted_forest")
 def m8_cv_recall_fitted_forest(spark, sf_dir):
-    train = training_table(spark, sf_dir)
-    preds = MD.cv_fold_predictions(train, FEATS, lambda: MD.estimators(label=LABEL)["RandomForest"],
-                                   label=LABEL)
-    return EV.cv_recall(preds.withColumn("model", F.lit("RandomForest")))
+    return _cv_recall(spark, sf_dir, "RandomForest")
 
 
 @register("a7_save_load_models")
 def a7_save_load_models(spark, sf_dir):
-    models = fitted(spark, sf_dir)
+    """A saved model scores every row as the fitted one does; only the model that it returns is trained."""
     base = shared_path(spark, "models")
-    MD.save_models(models, base)
-    loaded = MD.load_models(spark, base)
+    MD.save_models(fitted(spark, sf_dir, (EXPLAINED,)), base)
+    loaded = MD.load_models(spark, base, (EXPLAINED,))
     return MD.predictions_long(loaded, eval_rows(spark, sf_dir, ("validation",)),
                                ["patient_id", LABEL])
 
 
 def _explained_model(spark, sf_dir):
-    """The best non-ensemble model on validation (the attribution fallback), cached."""
-    base = [n for n in fixed.MODEL_ORDER if n != fixed.ENSEMBLE_NAME]
-    models = fitted(spark, sf_dir, tuple(base))
-    k = _key(spark, sf_dir, "explained")
-    if k not in _CACHE:
-        comp = EV.comparison(MD.predictions_long(models, eval_rows(spark, sf_dir, ("validation",)),
-                                                 ["split", "patient_id", LABEL]),
-                             model_order=fixed.MODEL_ORDER)
-        _CACHE[k] = EV.best_model(comp).first()["model"]
-    return _CACHE[k], models[_CACHE[k]]
+    """The model that the attribution plans explain; they train no other."""
+    return EXPLAINED, fitted(spark, sf_dir, (EXPLAINED,))[EXPLAINED]
 
 
 @register("x10_feature_importance")
@@ -181,9 +191,8 @@ def x10_feature_importance(spark, sf_dir):
 def x1_tree_attribution(spark, sf_dir):
     _name, model = _explained_model(spark, sf_dir)
     rows = eval_rows(spark, sf_dir, ("validation",))
-    wide, _base = TS.tree_attributions(rows, model)
-    return AT.wide_to_long(wide.join(rows.select("patient_id", *FEATS), "patient_id"), FEATS,
-                           [f"shap__{c}" for c in FEATS])
+    wide, _base = TS.tree_attributions(rows, model)  # carries the feature values along
+    return AT.wide_to_long(wide, FEATS, [f"shap__{c}" for c in FEATS])
 
 
 @register("x2_expected_value")

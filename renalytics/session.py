@@ -3,8 +3,8 @@
 On a cluster the session is created by the platform; these helpers only fill in
 settings that are *unset* (local tests, bench) and never override what the
 cluster configured.  Lineage is cut with ``checkpoint()`` into the shared folder
-named by ``spark.checkpoint.dir``; no machine-local temporary folder is used
-unless the session has no checkpoint folder at all (local mode, tests).
+named by ``spark.checkpoint.dir``; a session on a cluster without one is refused,
+as a machine-local folder would lose the data there.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     # Local mode only (tests): a fresh scratch folder per session.
     scratch = tempfile.mkdtemp(prefix="renalytics-ckpt-")
     sc.setCheckpointDir(scratch)

@@ -92,6 +92,14 @@ def read_table_or_empty(spark: SparkSession, path: str, schema: StructType | str
     return reader.format(fmt).load(path)
 
 
+RECORD_SEPARATOR = "\x1e"  # ASCII record separator: a report card has line ends of its own
+
+
 def write_report_text(reports: DataFrame, path: str, text_col: str = "report_text") -> None:
     """Report cards as text records, one per patient."""
-    reports.select(text_col).write.mode("overwrite").text(path)
+    reports.select(text_col).write.mode("overwrite").option("lineSep", RECORD_SEPARATOR).text(path)
+
+
+def read_report_text(spark: SparkSession, path: str) -> DataFrame:
+    """The records of :func:`write_report_text`, one report card per row (``value``)."""
+    return spark.read.option("lineSep", RECORD_SEPARATOR).text(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.scoring import ScoringArtefacts, guidance, score_patients
+from ..operators.scoring import ScoringArtefacts, guidance_text, score_patients
 
 OUTPUT_COLUMNS = ["patient_id", "probability", "prediction", "risk_category",
                   "egfr_estimated", "ckd_stage", "stage_description"]
@@ -32,9 +32,8 @@ def start_scoring(spark: SparkSession, source_path: str, schema: StructType,
                   available_now: bool = True, with_guidance: bool = False) -> StreamingQuery:
     """Start the scoring stream into a parquet sink (file sink: exactly once)."""
     scored = scored_stream(spark, source_path, schema, art)
-    out = scored.select(*OUTPUT_COLUMNS)
-    if with_guidance:
-        out = out.join(guidance(scored, art).drop("prediction"), "patient_id")
+    extra = [guidance_text(art).alias("guidance")] if with_guidance else []
+    out = scored.select(*OUTPUT_COLUMNS, *extra)
     w = (out.writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint_path).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
