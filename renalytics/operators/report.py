@@ -22,8 +22,8 @@ def _num_str(c: Column) -> Column:
 
 
 def report_rows(scored: DataFrame, art: ScoringArtefacts, n_top: int = 3,
-                split: str | None = None) -> DataFrame:
-    """Flattened report row per patient.
+                split_col: str | None = None) -> DataFrame:
+    """Flattened report row per patient (R1); ``split_col`` adds the patient's own split.
 
     Stage and description only for predicted positives ("N/A" otherwise), from
     the stored eGFR; band left-closed as for a single patient; top factors by
@@ -42,8 +42,8 @@ def report_rows(scored: DataFrame, art: ScoringArtefacts, n_top: int = 3,
                  F.when(cell["shap"] > 0, F.lit("increases")).otherwise(F.lit("decreases"))
                  .alias(f"top{i + 1}_direction")]
     cols = [F.col(spec.id).alias("patient_id")]
-    if split is not None:
-        cols.append(F.lit(split).alias("split"))
+    if split_col is not None:
+        cols.append(F.col(split_col).alias("split"))
     return scored.select(
         *cols,
         F.col(spec.age).alias("age"),
@@ -62,7 +62,11 @@ def report_rows(scored: DataFrame, art: ScoringArtefacts, n_top: int = 3,
 
 
 def report_text(rows: DataFrame, n_top: int = 3, split_label: str = "Validation") -> DataFrame:
-    """Report card text per patient (R2), labelled by the split it came from."""
+    """Report card text per patient (R2), labelled by the split it came from.
+
+    Rows with a ``split`` column are labelled by it, others by ``split_label``.
+    """
+    label = F.initcap("split") if "split" in rows.columns else F.lit(split_label)
     def explanation(i: int) -> Column:
         return F.format_string("  %d. %s %s CKD risk (SHAP = %+.4f)", F.lit(i),
                                F.col(f"top{i}_feature"), F.col(f"top{i}_direction"),
@@ -70,7 +74,7 @@ def report_text(rows: DataFrame, n_top: int = 3, split_label: str = "Validation"
     egfr = _num_str(F.col("egfr"))
     lines = [
         F.lit(fixed.REPORT_RULE), F.lit(fixed.REPORT_TITLE), F.lit(fixed.REPORT_RULE), F.lit(""),
-        F.format_string(f"  Patient ID ({split_label} Set): %s", F.col("patient_id").cast("string")),
+        F.format_string("  Patient ID (%s Set): %s", label, F.col("patient_id").cast("string")),
         F.lit(""), F.lit("--- DEMOGRAPHICS ---"),
         F.format_string("  Age:         %s", F.col("age").cast("string")),
         F.format_string("  Gender:      %s", F.col("gender")),

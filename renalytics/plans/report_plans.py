@@ -67,6 +67,22 @@ def r1_patient_report_rows(spark, sf_dir):
     return RP.report_rows(scored, art)
 
 
+def _report_rows_all(spark, sf_dir):
+    art = fixture_artefacts(spark, sf_dir)
+    scored = SC.score_patients(split_patients(spark, sf_dir), art)
+    return RP.report_rows(scored, art, split_col="split")
+
+
+_R1_ALL = _R1_CTE.replace("SELECT p.patient_id,", "SELECT p.patient_id, l.split,", 1).replace("WHERE l.split = 'validation'", "")
+_R1_ALL_EXTRA = dict(LINEAR_CTES, attr=ATTR_ALL_SQL, r1=_R1_ALL)
+
+
+@register("r1_patient_report_rows_all", with_ctes("SELECT * FROM r1", "enc_split", extra=_R1_ALL_EXTRA))
+def r1_patient_report_rows_all(spark, sf_dir):
+    """Every patient, of every split."""
+    return _report_rows_all(spark, sf_dir)
+
+
 # R2 -------------------------------------------------------------------------
 def _s(e: str) -> str:
     return f"coalesce(CAST({e} AS VARCHAR), 'nan')"
@@ -98,6 +114,15 @@ def r2_report_text(spark, sf_dir):
     return RP.report_text(RP.report_rows(scored, art))
 
 
+_R2_ALL = _R2.replace("'  Patient ID (Validation Set): '",
+                      "'  Patient ID (' || upper(substr(split, 1, 1)) || substr(split, 2) || ' Set): '")
+
+
+@register("r2_report_text_all", with_ctes(_R2_ALL, "enc_split", extra=_R1_ALL_EXTRA))
+def r2_report_text_all(spark, sf_dir):
+    return RP.report_text(_report_rows_all(spark, sf_dir))
+
+
 # R3 -------------------------------------------------------------------------
 _R3_STAGES = f"""SELECT sp.ckd_stage AS key, CAST(coalesce(c.n, 0) AS DOUBLE) AS value FROM (
   {' UNION ALL '.join(f"SELECT '{s}' AS ckd_stage" for s in fixed.STAGE_ORDER)}) sp

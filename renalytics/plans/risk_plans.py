@@ -77,6 +77,14 @@ def k5_probability_histogram(spark, sf_dir):
     return RK.probability_histogram(_risk(spark, sf_dir), 20)
 
 
+_K5_25 = _K5.replace("20e0", "25e0").replace(", 19)", ", 24)").replace("range(20)", "range(25)")
+
+
+@register("k5_probability_histogram_25", with_ctes(_K5_25, "split", extra=_RISK))
+def k5_probability_histogram_25(spark, sf_dir):
+    return RK.probability_histogram(_risk(spark, sf_dir), 25)
+
+
 @register("k6_band_colours", with_ctes(f"SELECT *, {_COLOUR} AS colour FROM risk", "split", extra=_RISK))
 def k6_band_colours(spark, sf_dir):
     return RK.with_colours(_risk(spark, sf_dir))
