@@ -15,7 +15,7 @@ from renalytics.llm import bpe, line_dedup, mixing, order_minhash, toxicity
 from renalytics.llm.common import documents, fold, labels
 from renalytics.session import shared_path
 
-REJECT_FROM = 0.5     # toxicity score from which a document goes
+REJECT_FROM = 0.4     # toxicity score from which a document goes
 MAX_EPOCHS = 2.0      # repetition limit of the mix
 TARGET_ENTROPY = 0.9  # share of the entropy of equal source weights
 
