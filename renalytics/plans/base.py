@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..operators import features as FE
 from ..sources.cohort import COHORT_SQL, cohort
 from ..sources.io import clean_patients
+from ..sources.tables import tables_version
 
 
 def patients_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +19,14 @@ def patients_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FITS: dict = {}
 
 
+def forget_fits() -> None:
+    """Drop every cached fit (the bench times each plan with its own fits)."""
+    _FITS.clear()
+
+
 def cached_fit(spark: SparkSession, sf_dir: str, name: str, fit):
-    """Fitted statistics are computed once per Spark application and dataset."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Fitted statistics are computed once per Spark application and version of the tables."""
+    key = (spark.sparkContext.applicationId, tables_version(spark, sf_dir), name)
     if key not in _FITS:
         _FITS[key] = fit()
     return _FITS[key]

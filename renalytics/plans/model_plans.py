@@ -23,6 +23,7 @@ from ..operators import split as SP
 from ..operators import tree_shap as TS
 from ..functions.spec import COHORT_SPEC
 from ..session import cut_lineage, shared_path
+from ..sources.tables import tables_version
 from .fixture_models import scaled_split
 from .registry import register
 from .smote_plans import BINARY, CONT, FEATS
@@ -34,7 +35,7 @@ EXPLAINED = "XGBoost"
 
 
 def _key(spark, sf_dir, *rest):
-    return (spark.sparkContext.applicationId, sf_dir, *rest)
+    return (spark.sparkContext.applicationId, tables_version(spark, sf_dir), *rest)
 
 
 def training_table(spark, sf_dir):

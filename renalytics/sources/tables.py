@@ -19,6 +19,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def tables_version(spark: SparkSession, sf_dir: str, names=("orders", "customer")) -> tuple:
+    """Files, lengths and modification times of the tables: what a cached fit depends on."""
+    found = []
+    for n in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, n))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)]
+    return tuple(sorted(found))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
