@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from renalytics.llm.common import free_name
-from renalytics.llm.syncmers import symbols
+from renalytics.llm.syncmers import words
 from renalytics.session import cut_lineage, shared_path
 
 BLOCK_TOKENS = 200_000
@@ -32,7 +32,7 @@ STEPS = 4            # halvings that one job settles
 
 def token_count(text: Column) -> Column:
     """Blank-separated words of a text and one end mark; null and empty texts count the mark."""
-    return (F.size(symbols(F.coalesce(text, F.lit("")))) + 1).cast("long")
+    return (F.size(words(F.coalesce(text, F.lit("")))) + 1).cast("long")
 
 
 def _bisect(reaches, low: float, high: float) -> float:

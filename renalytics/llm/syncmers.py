@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers (operator 4), in DataFrame functions only.
 
-A text's symbols are its runs of non-blank characters.  A k-mer of ``K`` symbols is a closed syncmer
+A text's symbols are its runs of non-blank characters, or single characters where a text has hardly any
+blanks, as in scripts without them.  A k-mer of ``K`` symbols is a closed syncmer
 when the smallest hash among its inner substrings of ``S`` symbols lies at its first or last place.
 The choice looks at the k-mer alone, not at what surrounds it, so an edit changes only the anchors that
 it touches.  A fingerprint keeps the ``ANCHORS`` smallest distinct anchors: 40 bits of the k-mer's
@@ -25,6 +26,8 @@ POSITION_BITS = 24
 BUCKET_ROWS = 512        # rows that find their next neighbour in one window partition
 MAX_BUCKETS = 1 << 16    # bounds the broadcast table of first rows (two numbers each)
 KNOTS = 64
+BLANKS = "\n\t\r\x0b\x0c"
+RARE_BLANKS = 20         # characters per word from which a text is taken by characters
 
 
 def _let(value: Column, body) -> Column:
@@ -38,9 +41,15 @@ def _packed(hashed: Column, position: Column) -> Column:
     return F.shiftleft(F.shiftright(hashed, POSITION_BITS), POSITION_BITS).bitwiseOR(place)
 
 
-def symbols(text: Column) -> Column:
+def words(text: Column) -> Column:
     """Runs of non-blank characters of a text, in order."""
-    return F.filter(F.split(F.translate(text, "\n\t\r\x0b\x0c", "     "), " "), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
+
+
+def symbols(text: Column) -> Column:
+    """What k-mers are made of: the words of a text, or its characters where blanks are rare."""
+    characters = F.filter(F.split(F.translate(text, BLANKS + " ", ""), ""), lambda c: c != "")
+    return _let(words(text), lambda w: F.when(F.length(text) > RARE_BLANKS * F.size(w), characters).otherwise(w))
 
 
 def closed_syncmers(words: Column) -> Column:

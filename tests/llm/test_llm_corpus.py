@@ -154,6 +154,16 @@ def test_edited_likeness(spark):
     assert syncmers.edited_likeness(frame(spark, []).select("doc_id", "text")).count() == 0
 
 
+def test_texts_without_blanks_go_by_characters(spark):
+    rng = random.Random(12)
+    long = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    rows = [(1, long, "s"), (2, long[:200] + "新" + long[200:], "s"), (3, long[::-1], "s")]
+    got = {r.doc_id: r.sketch for r in frame(spark, rows).select("doc_id", syncmers.sketch(F.col("text")).alias("sketch")).collect()}
+    df = spark.createDataFrame([(got[1], got[2], got[3])], "a array<long>, b array<long>, c array<long>")
+    near, far = df.select(syncmers.likeness(F.col("a"), F.col("b")), syncmers.likeness(F.col("a"), F.col("c"))).first()
+    assert near > 0.85 and far < 0.1
+
+
 def test_fingerprints_stay_native(spark):
     plan = queries.QUERIES["op4_closed_syncmers"](spark, SF)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
