@@ -7,7 +7,7 @@ counts are zero-filled against fixed spines.  Nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -110,7 +110,8 @@ def value_counts(df: DataFrame, c: str, with_share: bool = False, decimals: int
     counts = (df.where(F.col(c).isNotNull()).groupBy(c)
               .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     if with_share:
-        total = F.sum("n").over(Window.partitionBy())
+        # one value, read as a scalar: no window that would gather all values in one task
+        total = counts.agg(F.sum("n").alias("total")).scalar()
         counts = counts.withColumn("share", X.round_half_up(X.safe_ratio("n", total), decimals))
     return counts
 
