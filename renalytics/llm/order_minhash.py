@@ -11,14 +11,15 @@ than a quarter of the shorter one, so the alignment looks at a band of that widt
 
 Equal texts are one node.  In each bucket every node is compared with the bucket's centre, the node with
 the most company over all its buckets (the original of a group of edited copies, say), so pairs grow with
-the members and not with their square.  Nodes that still lie in different classes after that and share at
-least two buckets are then compared directly, which is the exact way for what the centres leave open.
+the members and not with their square.  Members of buckets that still hold different classes after that are
+matched by an exact prefix filter over their k-mers (see ``_prefix_pairs``), which leaves no link open.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ SKETCHES = 24
 PICKED = 4
 SIMILARITY = 0.8
 MEMO_WORDS = 300_000
+MAX_CELLS = 1 << 24     # bounds the broadcast table of k-mer counts: 32 MiB
+SEGMENT_CELLS = 1 << 16
 
 WORDS = re.compile(r"\w+")
 
@@ -111,8 +114,7 @@ def similarity(a, b, least: float = SIMILARITY) -> float:
         return 0.0
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
-    la = _mix(a.astype(np.uint64) + occurrences(a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    lb = _mix(b.astype(np.uint64) + occurrences(b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    la, lb = (_mix(x.astype(np.uint64) + occurrences(x).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for x in (a, b))
     _, at_a, at_b = np.intersect1d(la, lb, assume_unique=False, return_indices=True)
     band = (1 - least) / least * min(len(a), len(b)) + 1
     near = np.abs(at_a - at_b) <= band
@@ -151,6 +153,89 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest binary, n int, keys array<long>, kmers binary")
 
 
+def labelled_kmers(stored: bytes):
+    """64-bit hashes of the occurrence-labelled k-mers of a stored sequence."""
+    import numpy as np
+    hashes = np.frombuffer(stored, np.uint32)
+    return _mix(hashes.astype(np.uint64) + occurrences(hashes).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _cell_counts(rest: DataFrame, cells: int):
+    """How many labelled k-mers of all rows fall into each of ``cells`` cells, as uint16 up to 65535.
+
+    Partitions send the counts of the cells that they meet; the merged table is collected, and
+    ``cells`` bounds it.
+    """
+    import numpy as np
+    step = min(cells, SEGMENT_CELLS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(labelled_kmers(k) & np.uint64(cells - 1)).astype(np.int64)
+                 for batch in batches for k in batch.column("kmers").to_pylist()]
+        if not found:
+            return
+        at, times = np.unique(np.concatenate(found), return_counts=True)
+        cuts = np.searchsorted(at, np.arange(0, cells + 1, step))
+        rows = [(s, (at[a:b] - s * step).astype("<u4").tobytes(), np.minimum(times[a:b], 65535).astype("<u2").tobytes())
+                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
+            names=["segment", "at", "times"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(step, np.int64)
+        for at, times in zip(table.column("at").to_pylist(), table.column("times").to_pylist(), strict=True):
+            total[np.frombuffer(at, "<u4")] += np.frombuffer(times, "<u2")
+        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()),
+                         "counts": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
+
+    merged = (rest.select("kmers").mapInArrow(count, "segment int, at binary, times binary")
+              .groupBy("segment").applyInArrow(merge, "segment int, counts binary"))
+    counts = np.zeros(cells, "<u2")
+    for row in merged.toLocalIterator():
+        counts[row["segment"] * step:(row["segment"] + 1) * step] = np.frombuffer(row["counts"], "<u2")
+    return counts
+
+
+def _prefix_pairs(rest: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of different classes among ``rest`` (node, label, n, kmers) that can be similar.
+
+    With the labelled k-mers of all texts in one order, two texts whose common k-mers make up the share
+    ``least`` have one in common among the first n - ceil(least * n) + 1 of each, and the places
+    of the first common one bound how many can follow.  This loses no pair, whatever the order; the
+    order by rarity, from a table of approximate counts, makes the first ones of an edited or unrelated
+    text its own, so groups with a shared passage or a common ancestor yield few pairs.
+    """
+    size = rest.agg(F.sum("n")).first()[0] or 1
+    cells = min(MAX_CELLS, max(1 << 16, 1 << (4 * size - 1).bit_length()))
+    shared = rest.sparkSession.sparkContext.broadcast(_cell_counts(rest, cells))  # 32 MiB at most
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["token", "node", "label", "n", "place"]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        counts = shared.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for node, label, k in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "kmers")), strict=True):
+                hashes = labelled_kmers(k)
+                n, times = len(hashes), counts[hashes & np.uint64(cells - 1)]
+                order = np.lexsort((hashes, times))[:n - math.ceil(least * n - 1e-9) + 1]
+                for place in np.flatnonzero(times[order] > 1).tolist():  # a single one has no partner
+                    rows.append((int(hashes[order[place]].view(np.int64)), node, label, n, place))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    first = cut_lineage(rest.select("node", "label", "kmers").mapInArrow(
+        prefixes, "token long, node long, label long, n int, place int"))
+    one, two = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names[1:]]) for side in "ab")
+    can_follow = 1 + F.least(F.col("n_a") - F.col("place_a") - 1, F.col("n_b") - F.col("place_b") - 1)
+    needed = F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return (one.join(two, (one["token"] == two["token"]) & (F.col("node_a") < F.col("node_b"))
+                     & (F.col("label_a") != F.col("label_b")) & (can_follow >= needed))
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
 def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """The (a, b) among ``pairs`` whose texts are similar; each pair carries two k-mer sequences to one task."""
 
@@ -209,7 +294,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One node per text, named after its smallest id.
     texts = table.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"))
     nodes = table.select(F.col("id").alias("node"), "digest", "keys").join(texts, ["node", "digest"])
-    keyed = cut_lineage(nodes.where("n > 0").select("node", "n", "keys"))
+    keyed = cut_lineage(nodes.where("n > 0").select("node", "keys"))
     met = keyed.select("node", F.explode("keys").alias("key"))
     # Aggregates are cut before they are joined, so that the join shuffles both sides and can split hot keys.
     crowded = cut_lineage(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
@@ -228,23 +313,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut_lineage(_verified(pairs, sequences(pairs), least))
     labels = components(links)
 
-    # What the centres leave open: members of one bucket in different classes that share two buckets.
-    marks = keyed.select("node", "n", F.transform("keys", lambda k: F.pmod(k, F.lit(1 << 15)).cast("short")).alias("marks"))
+    # What the centres leave open: nodes of a bucket that holds several classes.
     labelled = met.select("key", "node").join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label"))
     mixed = cut_lineage(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                         .where("low != high").select("key"))
-    open_rows = cut_lineage(labelled.join(mixed, "key").join(marks, "node"))
-    one = open_rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "marks")])
-    two = open_rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "marks")])
-    agreeing = F.size(F.filter(F.zip_with("marks_a", "marks_b", lambda x, y: x == y), lambda same: same))
-    rest = (one.join(two, (one["key"] == two["key"]) & (F.col("node_a") < F.col("node_b"))
-                     & (F.col("label_a") != F.col("label_b"))
-                     & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (agreeing >= 2))
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti")
-                       .join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    more = cut_lineage(_verified(rest, sequences(rest), least))
+    left = labelled.join(mixed, "key").select("node", "label").distinct()
+    known = texts.select("node", "digest", "n").join(left, "node")
+    rest = cut_lineage(table.select(F.col("id").alias("node"), "digest", "kmers").join(known, ["node", "digest"])
+                       .select("node", "label", "n", "kmers"))
+    more = cut_lineage(_verified(_prefix_pairs(rest, least), rest.select("node", "kmers"), least))
     if more.limit(1).count():
         labels = components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
                             .union(more))
