@@ -305,12 +305,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           .select("key", (-F.col("best.rank")).alias("a")))
     pairs = cut_lineage(met.join(centres, "key").where("a != node").select("a", F.col("node").alias("b")).distinct())
 
-    def sequences(of: DataFrame) -> DataFrame:
-        wanted = of.select(F.col("a").alias("id")).union(of.select("b")).distinct()
-        known = texts.select(F.col("node").alias("id"), "digest").join(wanted, "id")
-        return table.select("id", "digest", "kmers").join(known, ["id", "digest"]).select(F.col("id").alias("node"), "kmers")
-
-    links = cut_lineage(_verified(pairs, sequences(pairs), least))
+    # The k-mer sequences of all nodes with company, shuffled once and cut: every later step reads these.
+    known = texts.select(F.col("node").alias("id"), "digest", "n").join(
+        company.select(F.col("node").alias("id")), "id")
+    sequences = cut_lineage(table.select("id", "digest", "kmers").join(known, ["id", "digest"])
+                            .select(F.col("id").alias("node"), "n", "kmers"))
+    links = cut_lineage(_verified(pairs, sequences, least))
     labels = components(links)
 
     # What the centres leave open: nodes of a bucket that holds several classes.
@@ -319,10 +319,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = cut_lineage(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                         .where("low != high").select("key"))
     left = labelled.join(mixed, "key").select("node", "label").distinct()
-    known = texts.select("node", "digest", "n").join(left, "node")
-    rest = cut_lineage(table.select(F.col("id").alias("node"), "digest", "kmers").join(known, ["node", "digest"])
-                       .select("node", "label", "n", "kmers"))
-    more = cut_lineage(_verified(_prefix_pairs(rest, least), rest.select("node", "kmers"), least))
+    rest = cut_lineage(sequences.join(left, "node").select("node", "label", "n", "kmers"))
+    more = cut_lineage(_verified(_prefix_pairs(rest, least), rest, least))
     if more.limit(1).count():
         labels = components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
                             .union(more))
