@@ -5,9 +5,10 @@ A text's k-mers are its runs of ``K`` words, each labelled with its occurrence n
 order: it follows edit similarity and not only the set of k-mers.  ``SKETCHES`` independent sketches make
 texts with similarity 0.8 meet in some bucket but for about three pairs in a million.
 
-Similarity is c / (a + b - c), with a and b the k-mer counts of the two texts and c the k-mers that an
-alignment of the two sequences matches in order.  Similar texts cannot be shifted against each other by more
-than a quarter of the shorter one, so the alignment looks at a band of that width only.
+Similarity is c / (a + b - c), with a and b the k-mer counts of the two texts and c the most k-mers that an
+alignment of the two sequences can match in order; a k-mer may match any equal one, whatever its occurrence
+number.  The k-mers that a similar pair leaves out are few, so the alignment looks at the band that they allow.
+The common labelled k-mers bound c from above and save the alignment of most pairs.
 
 Equal texts are one node.  In each bucket every node is compared with the bucket's centre, the node with
 the most company over all its buckets (the original of a group of edited copies, say), so pairs grow with
@@ -17,7 +18,6 @@ matched by an exact prefix filter over their k-mers (see ``_prefix_pairs``), whi
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 import re
@@ -107,8 +107,35 @@ def sketch_keys(hashes) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def _in_order(a, b, needed: int) -> int:
+    """Length of the longest common subsequence of two sequences; 0 where it stays under ``needed``.
+
+    Bit-parallel over rows of the alignment, a zero bit for each place of ``b`` that gains a match.  Matches
+    that leave more than len(a) - needed of ``a`` or len(b) - needed of ``b`` out lie outside the band.
+    """
+    import numpy as np
+    back, ahead = len(a) - needed, len(b) - needed
+    if back < 0 or ahead < 0:
+        return 0
+    low = high = found = open_ = 0
+    for i in range(len(a)):
+        first, last = max(0, i - back), min(len(b), i + ahead + 1)
+        open_ |= ((1 << (last - high)) - 1) << (high - low)
+        if first > low:  # columns that leave the band keep their matches
+            found += first - low - (open_ & ((1 << (first - low)) - 1)).bit_count()
+            open_ >>= first - low
+        low, high = first, last
+        hits = int.from_bytes(np.packbits(b[low:high] == a[i], bitorder="little").tobytes(), "little") & open_
+        if hits:
+            open_ = ((open_ + hits) | (open_ - hits)) & ((1 << (high - low)) - 1)
+        if i % 64 == 63 and found + high - low - open_.bit_count() + len(a) - i - 1 < needed:
+            return 0
+    found += high - low - open_.bit_count()
+    return found if found >= needed else 0
+
+
 def similarity(a, b, least: float = SIMILARITY) -> float:
-    """Similarity of two k-mer sequences by banded alignment; 0 where it cannot reach ``least``."""
+    """Similarity of two k-mer sequences by banded alignment; 0 where it does not reach ``least``."""
     import numpy as np
     if not len(a) or not len(b):
         return 0.0
@@ -116,21 +143,19 @@ def similarity(a, b, least: float = SIMILARITY) -> float:
         return 0.0
     la, lb = (_mix(x.astype(np.uint64) + occurrences(x).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for x in (a, b))
     _, at_a, at_b = np.intersect1d(la, lb, assume_unique=False, return_indices=True)
-    band = (1 - least) / least * min(len(a), len(b)) + 1
-    near = np.abs(at_a - at_b) <= band
-    at_a, at_b = at_a[near], at_b[near]
-    if len(at_a) / (len(a) + len(b) - len(at_a)) < least:
+    needed = math.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9)
+    matched = len(at_a)  # no alignment matches more
+    if matched < needed:
         return 0.0
     chain = at_b[np.argsort(at_a)]
-    if np.all(chain[1:] > chain[:-1]):
-        matched = len(chain)
-    else:  # longest run of matches that keeps the order in both texts
-        tails: list[int] = []
-        for p in chain.tolist():
-            i = bisect.bisect_left(tails, p)
-            tails[i:i + 1] = [p]
-        matched = len(tails)
-    return matched / (len(a) + len(b) - matched)
+    if not np.all(chain[1:] > chain[:-1]):  # equal k-mers may match at other occurrences
+        short = min(len(a), len(b))
+        differ = np.flatnonzero(a[:short] != b[:short])
+        head = int(differ[0]) if len(differ) else short
+        differ = np.flatnonzero(a[len(a) - short + head:][::-1] != b[len(b) - short + head:][::-1])
+        tail = int(differ[0]) if len(differ) else short - head
+        matched = head + tail + _in_order(a[head:len(a) - tail], b[head:len(b) - tail], needed - head - tail)
+    return matched / (len(a) + len(b) - matched) if matched >= needed else 0.0
 
 
 def _sketched(docs: DataFrame) -> DataFrame:

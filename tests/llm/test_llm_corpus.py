@@ -105,6 +105,35 @@ def test_alignment_needs_order_and_band():
     assert order_minhash.similarity(a, order_minhash.kmers(words[:50])) == 0.0
 
 
+def plain_similarity(a, b):
+    """By the longest common subsequence of the k-mers, without band, labels or bits."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_alignment_of_texts_that_repeat_themselves():
+    rng = random.Random(21)
+    linked = crossed = 0
+    for _ in range(150):
+        lines = [sentence(rng, rng.randint(3, 12)).split() for _ in range(rng.randint(1, 6))]
+        a = [w for _ in range(rng.randint(4, 20)) for w in rng.choice(lines)]
+        b = list(a)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice([["new"], [], [rng.choice(a)]])
+        one, two = (order_minhash.kmers(x) for x in (a, b))
+        want = plain_similarity(one.tolist(), two.tolist())
+        assert order_minhash.similarity(one, two) == pytest.approx(want if want >= 0.8 else 0.0)
+        assert order_minhash.similarity(two, one) == pytest.approx(want if want >= 0.8 else 0.0)
+        linked += want >= 0.8
+        crossed += want >= 0.8 and len(set(one.tolist())) < 0.7 * len(one)
+    assert linked > 50 and crossed > 20
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (300, 300)]
     rng = random.Random(2)
