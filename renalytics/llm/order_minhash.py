@@ -3,7 +3,9 @@
 A text's k-mers are its runs of ``K`` words, each labelled with its occurrence number.  A sketch is the
 ``PICKED`` k-mers of smallest hash, kept in text order, so it agrees for texts that share k-mers in the same
 order: it follows edit similarity and not only the set of k-mers.  ``SKETCHES`` independent sketches make
-texts with similarity 0.8 meet in some bucket but for about three pairs in a million.
+texts with similarity 0.8 meet in some bucket but for three to eight pairs in a million, where the longer one has
+more than ``FEW`` k-mers.  Shorter texts draw so many of their k-mers that more pairs would miss each other;
+they need no bucket, as all of them go through the exact prefix filter below.
 
 Similarity is c / (a + b - c), with a and b the k-mer counts of the two texts and c the most k-mers that an
 alignment of the two sequences can match in order; a k-mer may match any equal one, whatever its occurrence
@@ -12,8 +14,9 @@ The common labelled k-mers bound c from above and save the alignment of most pai
 
 Equal texts are one node.  In each bucket every node is compared with the bucket's centre, the node with
 the most company over all its buckets (the original of a group of edited copies, say), so pairs grow with
-the members and not with their square.  Members of buckets that still hold different classes after that are
-matched by an exact prefix filter over their k-mers (see ``_prefix_pairs``), which leaves no link open.
+the members and not with their square.  Members of buckets that still hold different classes after that, and
+all texts of up to ``FEW`` k-mers, are matched by an exact prefix filter over their k-mers (see
+``_prefix_pairs``), which leaves no link open.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ K = 5
 SKETCHES = 24
 PICKED = 4
 SIMILARITY = 0.8
+FEW = 25                # k-mers up to which a text needs no bucket
 MEMO_WORDS = 300_000
 MAX_CELLS = 1 << 24     # bounds the broadcast table of k-mer counts: 32 MiB
 SEGMENT_CELLS = 1 << 16
@@ -330,20 +334,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           .select("key", (-F.col("best.rank")).alias("a")))
     pairs = cut_lineage(met.join(centres, "key").where("a != node").select("a", F.col("node").alias("b")).distinct())
 
-    # The k-mer sequences of all nodes with company, shuffled once and cut: every later step reads these.
-    known = texts.select(F.col("node").alias("id"), "digest", "n").join(
-        company.select(F.col("node").alias("id")), "id")
+    # The k-mer sequences of all nodes with company or few k-mers, shuffled once and cut: every later step reads these.
+    known = (texts.select(F.col("node").alias("id"), "digest", "n")
+             .join(company.select(F.col("node").alias("id"), "company"), "id", "left")
+             .where(F.col("company").isNotNull() | F.col("n").between(1, FEW)).drop("company"))
     sequences = cut_lineage(table.select("id", "digest", "kmers").join(known, ["id", "digest"])
                             .select(F.col("id").alias("node"), "n", "kmers"))
     links = cut_lineage(_verified(pairs, sequences, least))
     labels = components(links)
 
-    # What the centres leave open: nodes of a bucket that holds several classes.
+    # What the centres leave open: nodes of a bucket that holds several classes, and short texts without a bucket.
     labelled = met.select("key", "node").join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label"))
     mixed = cut_lineage(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                         .where("low != high").select("key"))
-    left = labelled.join(mixed, "key").select("node", "label").distinct()
+    few = sequences.where(F.col("n") <= FEW).select("node").join(labels, "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"))
+    left = labelled.join(mixed, "key").select("node", "label").union(few).distinct()
     rest = cut_lineage(sequences.join(left, "node").select("node", "label", "n", "kmers"))
     more = cut_lineage(_verified(_prefix_pairs(rest, least), rest, least))
     if more.limit(1).count():

@@ -134,6 +134,19 @@ def test_alignment_of_texts_that_repeat_themselves():
     assert linked > 50 and crossed > 20
 
 
+def test_short_texts_need_no_bucket(spark):
+    rng = random.Random(22)
+    texts, n = {}, 0
+    while n < 6:  # texts of 8 and 9 words that share 4 of 5 k-mers and yet no sketch
+        long = sentence(rng, 9)
+        one, two = (order_minhash.kmers(long.split()[:k]) for k in (8, 9))
+        if not set(order_minhash.sketch_keys(one)) & set(order_minhash.sketch_keys(two)):
+            texts |= {n: " ".join(long.split()[:8]), n + 1: long}
+            n += 2
+    got = order_minhash.classes(frame(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in texts}
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (300, 300)]
     rng = random.Random(2)
