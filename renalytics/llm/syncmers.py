@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers (operator 4), in DataFrame functions only.
 
-A text's symbols are its runs of non-blank characters, or single characters where a text has hardly any
-blanks, as in scripts without them.  A k-mer of ``K`` symbols is a closed syncmer
-when the smallest hash among its inner substrings of ``S`` symbols lies at its first or last place.
+A text's symbols are its non-blank characters, whatever its script, so any two fingerprints are comparable.
+A k-mer of ``TEXT_K`` symbols is a closed syncmer when the smallest hash among its inner substrings of ``TEXT_S``
+symbols lies at its first or last place; ``closed_syncmers`` takes other symbols and lengths as well.
 The choice looks at the k-mer alone, not at what surrounds it, so an edit changes only the anchors that
 it touches.  A fingerprint keeps the ``ANCHORS`` smallest distinct anchors: 40 bits of the k-mer's
 hash and 24 bits of its position.  Two fingerprints are alike in the share of the smallest anchors of
@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 
 from renalytics.llm.common import free_name
 
-K = 5
+K = 5                    # of symbol arrays, such as the words of a text
 S = 2
+TEXT_K = 8               # of the characters of a text
+TEXT_S = 3
 ANCHORS = 48
 POSITION_BITS = 24
 BUCKET_ROWS = 512        # rows that find their next neighbour in one window partition
@@ -46,15 +48,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
 
 
+def characters(text: Column) -> Column:
+    """Non-blank code points of a text, in order."""
+    return F.filter(F.split(F.translate(text, BLANKS + " ", ""), ""), lambda c: c != "")
+
+
 def symbols(text: Column) -> Column:
-    """What k-mers are made of: the words of a text, or its characters where blanks are rare."""
-    characters = F.filter(F.split(F.translate(text, BLANKS + " ", ""), ""), lambda c: c != "")
-    return _let(words(text), lambda w: F.when(F.length(text) > RARE_BLANKS * F.size(w), characters).otherwise(w))
+    """Coarser symbols: the words of a text, or its characters where blanks are rare."""
+    return _let(words(text), lambda w: F.when(F.length(text) > RARE_BLANKS * F.size(w), characters(text)).otherwise(w))
 
 
-def closed_syncmers(words: Column) -> Column:
+def closed_syncmers(words: Column, k: int = K, s: int = S) -> Column:
     """Packed anchors of a symbol array in text order; the whole array is the anchor if it has none."""
-    w = K - S + 1
+    w = k - s + 1
 
     def chosen(inner: Column) -> Column:
         def at(i, j):
@@ -64,13 +70,13 @@ def closed_syncmers(words: Column) -> Column:
             last = at(i, w - 1)
             first_least = reduce(lambda a, b: a & b, [x <= at(i, j) for j in range(1, w)])
             last_least = reduce(lambda a, b: a & b, [last <= at(i, j) for j in range(w - 1)])
-            hashed = F.xxhash64(*[at(i, j) for j in sorted({*range(0, w - 1, S), w - 1})])
+            hashed = F.xxhash64(*[at(i, j) for j in sorted({*range(0, w - 1, s), w - 1})])
             return F.when(last.isNotNull() & (first_least | last_least), _packed(hashed, i))
 
         return F.filter(F.transform(inner, pick), lambda a: a.isNotNull())
 
-    inner = F.transform(words, lambda x, i: F.when(i + S <= F.size(words),
-                                                   F.xxhash64(*[F.get(words, i + j) for j in range(S)])))
+    inner = F.transform(words, lambda x, i: F.when(i + s <= F.size(words),
+                                                   F.xxhash64(*[F.get(words, i + j) for j in range(s)])))
     anchors = _let(inner, chosen)
     whole = F.array(_packed(F.xxhash64(words), F.lit(0)))
     return _let(anchors, lambda a: F.when(F.size(words) == 0, F.array().cast("array<bigint>"))
@@ -79,7 +85,7 @@ def closed_syncmers(words: Column) -> Column:
 
 def sketch(text: Column) -> Column:
     """The fingerprint as an array: smallest anchors with distinct hashes, ascending."""
-    ordered = F.sort_array(_let(symbols(F.coalesce(text, F.lit(""))), closed_syncmers))
+    ordered = F.sort_array(_let(characters(F.coalesce(text, F.lit(""))), lambda c: closed_syncmers(c, TEXT_K, TEXT_S)))
     distinct = _let(ordered, lambda a: F.filter(a, lambda x, i: (i == 0) | (
         F.shiftright(x, POSITION_BITS) != F.shiftright(F.get(a, i - 1), POSITION_BITS))))
     return F.slice(distinct, 1, ANCHORS)
@@ -163,8 +169,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, t
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``fingerprint`` string of the whole text.
 
-    A null text counts as empty; a text without a symbol has the empty fingerprint; a text too short
-    for a syncmer has one anchor, its whole symbol list.  Equal texts have equal fingerprints; repeated
+    A null text counts as empty; a text without a symbol has the empty fingerprint; a text without
+    a syncmer, as all below ``TEXT_K`` symbols, has one anchor, its whole symbol list.  Equal texts have equal fingerprints; repeated
     rows stay; an empty table gives an empty one; an input column named fingerprint is replaced.
     """
     keep = [c for c in docs.columns if c not in (text_col, "fingerprint")]

@@ -206,6 +206,18 @@ def test_texts_without_blanks_go_by_characters(spark):
     assert near > 0.85 and far < 0.1
 
 
+def test_short_and_mixed_texts_have_likeness(spark):
+    rng = random.Random(13)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    rows = [(i, sentence(rng, 5 + i % 2), "s") for i in range(100)]  # five or six words
+    rows += [(1000, han, "s"), (1001, sentence(rng, 100), "s")]  # without blanks, edited by a text with many
+    got = {r.doc_id: r for r in syncmers.edited_likeness(frame(spark, rows).select("doc_id", "text")).collect()}
+    short = [got[i] for i in range(99)]
+    assert np.mean([r.near_edited > 0 for r in short]) > 0.9 and np.mean([r.near_edited for r in short]) > 0.3
+    assert np.mean([r.near_next for r in short]) < 0.05
+    assert got[1000].near_edited > 0.4
+
+
 def test_fingerprints_stay_native(spark):
     plan = queries.QUERIES["op4_closed_syncmers"](spark, SF)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
