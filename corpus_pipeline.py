@@ -15,7 +15,6 @@ from renalytics.llm import bpe, line_dedup, mixing, order_minhash, toxicity
 from renalytics.llm.common import documents, fold, labels
 from renalytics.session import shared_path
 
-REJECT_FROM = 0.4     # toxicity score from which a document goes
 MAX_EPOCHS = 2.0      # repetition limit of the mix
 TARGET_ENTROPY = 0.9  # share of the entropy of equal source weights
 
@@ -38,10 +37,10 @@ def whole_rows(stage):
 
 @whole_rows
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under ``REJECT_FROM``; labels of the held-out fold are not learned."""
+    """Documents that operator 2 does not predict toxic; labels of the held-out fold are not learned."""
     model = toxicity.train(documents(spark, sf_dir, "doc_id", "text"), labels(spark, sf_dir), fold("doc_id", 4) != 2)
     scored = toxicity.score_documents(docs, model, docs.columns)
-    return scored.where(F.col("score") < REJECT_FROM).select(*docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns)
 
 
 @whole_rows

@@ -394,6 +394,15 @@ def test_pipeline_stages(spark):
     assert len(stages["bpe"][1]) == len(b)
 
 
+def test_pipeline_rejects_what_operator_2_predicts(spark, monkeypatch):
+    from renalytics.llm import toxicity
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for score, kept in ((0.35, 0), (0.25, 20)):
+        model = toxicity.ToxicityModel({}, {}, (math.log(score / (1 - score)), 0.0, 0.0, 0.0))
+        monkeypatch.setattr(toxicity, "train", lambda *_, model=model: model)
+        assert corpus_pipeline.reject_toxic(spark, docs, SF).count() == kept
+
+
 def test_registered():
     names = E.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
