@@ -85,23 +85,27 @@ ODD = ["", None, " ", "  ", "\n", "a", "a ", " a", "a  b", "a   b\n\n c \n d", "
 
 
 def test_gallop_finds_common_ends():
+    import numpy as np
     rng = random.Random(3)
-    for _ in range(300):
-        a, b = (sorted(rng.sample(range(60), rng.randint(0, 40))) for _ in range(2))
-        assert token_alignment.common_ends(a, b) == [(a.index(x), b.index(x)) for x in sorted(set(a) & set(b))]
+    for _ in range(60):
+        chunks = [tuple(sorted(rng.sample(range(60), rng.randint(1, 40))) for _ in range(2)) for _ in range(rng.randint(1, 6))]
+        sides = [np.array([100 * c + x for c, pair in enumerate(chunks) for x in pair[s]]) for s in (0, 1)]
+        counts = [np.array([len(pair[s]) for pair in chunks]) for s in (0, 1)]
+        a, b = token_alignment.common_ends(*sides, *counts)
+        both = sorted(set(sides[0].tolist()) & set(sides[1].tolist()))
+        assert sides[0][a].tolist() == sides[1][b].tolist() == both
 
 
 def test_chunks_align_as_whole_texts(both, plain):
     rng = random.Random(8)
     alphabet = [" ", " ", " ", "\n", "\t", "\r", " ", " ", "\x1c", "a", "the", "Étion", "'s", "'", "語", "1", ".", "▁", "é", "́"]
     texts = [t for t in ODD if t] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
-    for t in texts:
-        chunks = both.chunks(t)
-        assert "".join(chunks) == " " + t
-        parts = [both.learn(chunks)[c] for c in chunks]
-        made = "" if None in parts else ";".join(p.groups for p in parts)
+    found = both.documents(texts)
+    for t, digest in zip(texts, found["groups_sha256"], strict=True):
+        assert "".join(both.chunks(t)) == " " + t
         groups = brute_groups(plain, t)
-        assert made == ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups), repr(t)
+        written = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)
+        assert digest == (hashlib.sha256(written.encode()).hexdigest() if groups else ""), repr(t)
 
 
 def test_alignment_against_brute_force(spark, plain, monkeypatch):
@@ -111,9 +115,9 @@ def test_alignment_against_brute_force(spark, plain, monkeypatch):
     rows += [(500, "the quick the quick")] * 1
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, codes string, block int").repartition(3)
     want = brute_alignment(plain, rows)
-    for pairs in (token_alignment.BLOCK_PAIRS, 40):  # one block a task, and many
-        monkeypatch.setattr(token_alignment, "BLOCK_PAIRS", pairs)
-        got = token_alignment.link_counts(token_alignment.align(docs)).collect()
+    for big, parts in ((token_alignment.BIG_GROUP, 3), (1, 40)):  # few blocks and many; groups by occurrence and by distinct ids
+        monkeypatch.setattr(token_alignment, "BIG_GROUP", big)
+        got = token_alignment.link_counts(token_alignment.align(docs.repartition(parts))).collect()
         assert len(got) == len(rows)
         assert {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"])
                 for r in got} == want
@@ -128,15 +132,15 @@ def test_alignment_of_null_ids_repeats_and_empty_table(spark):
     assert token_alignment.link_counts(token_alignment.align(docs.select("doc_id", F.lit("").alias("text")))).count() == 4
 
 
-def test_memo_generations_keep_results(both, monkeypatch):
-    monkeypatch.setattr(token_alignment, "MEMO_ENTRIES", 5)
-    texts = [f"w{i % 9} common word{i % 4}" for i in range(40)]
-    for t in texts:
-        chunks = both.chunks(t)
-        known = both.learn(chunks)
-        fresh = dict(zip(chunks, both.encode(chunks), strict=True))
-        assert [known[c].groups for c in chunks] == [fresh[c].groups for c in chunks]
-        assert len(both.new) <= 8
+def test_memo_forgets_without_changing_results(both, monkeypatch):
+    texts = [f"w{i % 9} common word{i % 4} " + "long" * (30 * (i % 3)) for i in range(40)] + ["", "▁", "isn't 東京都"]
+    want = [both.documents([t]) for t in texts]
+    monkeypatch.setattr(token_alignment, "MEMO_ENTRIES", 6)
+    for t, w in zip(texts, want, strict=True):
+        got = both.documents([t])
+        assert len(both.rows) <= 12
+        for c, v in w.items():
+            assert list(got[c]) == list(v)
 
 
 # ---- prefix trie ----------------------------------------------------------------------------------------
