@@ -1,38 +1,50 @@
-"""Spark ML training, stacking, prediction and persistence.
-
-The five classifiers of the original are re-aimed to Spark ML:
-
-* three boosted-tree configurations ("leaf-wise", "symmetric", "level-wise") as
-  ``GBTClassifier`` with the shared settings (300 rounds, step 0.05, depth 6)
-  and the per-configuration row/column subsampling and minimum leaf sizes;
-* a 300-tree ``RandomForestClassifier`` (depth 10, at least 2 rows per leaf);
-* stacking: 5-fold out-of-fold probabilities of the three boosted models feed a
-  ``LogisticRegression``; the boosted models are then refit on all rows and
-  the whole ensemble is one ``PipelineModel``.
-
-L1/L2 penalties, ordered boosting, leaf-count limits and a minimum number of
-rows per *split* have no Spark ML parameter, and column subsampling is per
-node rather than per tree: metric parity with other engines is not claimed.
-Fits run as Spark jobs; the five fits may be submitted from a small driver
-thread pool so their jobs share the cluster.
+"""Training, stacking, prediction and persistence.
+
+* Three boosted-tree configurations ("leaf-wise", "symmetric", "level-wise") with the settings of the original: 300
+  rounds, step 0.05, depth 6, their L1/L2 penalties, minimum rows or weight per leaf, leaf limit, row and column
+  shares.  All fits that training and evaluation need (whole table, folds, folds inside folds) grow together in
+  :mod:`.boosting` and become Spark ML models.
+* A 300-tree ``RandomForestClassifier`` (depth 10, at least 2 rows per leaf).
+* Stacking: out-of-fold probabilities of the three boosted models feed a ``LogisticRegression`` with the original's
+  unit L2 penalty; the whole ensemble is one ``PipelineModel``.
+
+Ordered boosting, categorical statistics and a minimum number of rows per *split* of the forest are not built, so metric
+parity with other engines is not claimed.
 """
 
 from __future__ import annotations
 
+import warnings
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..functions import fixed
+from ..functions.spec import COHORT_SPEC, ColumnSpec
+from . import boosting as B
+from .model_registry import Registry, exists
+from .split import kfold_assign
 
 SEED = fixed.RANDOM_STATE
-BASE_FOR_STACKING = ["LightGBM", "CatBoost", "XGBoost"]
+
+# FIXED VALUES: settings of the boosted models in the order of the model list
+BOOSTED = {
+    "LightGBM": {"min_rows": 20, "l1": 0.1, "l2": 0.1, "row_share": 0.8, "column_share": 0.8, "max_leaves": 31},
+    "CatBoost": {"l2": 3.0, "symmetric": True},
+    "XGBoost": {"min_weight": 5.0, "l1": 0.1, "l2": 1.0, "row_share": 0.8, "column_share": 0.8},
+}
+ROUNDS, STEP, DEPTH, N_TREES = 300, 0.05, 6, 300
+META_PENALTY = 1.0  # sum of losses plus half the squared weights
+
+FOREST = "RandomForest"
+TAGS = {"LightGBM": "lgbm", "CatBoost": "cat", "XGBoost": "xgb"}
 
 
 def assembler(features: list[str], out: str = "features") -> VectorAssembler:
@@ -40,106 +52,156 @@ def assembler(features: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
 
 
-def estimators(max_iter: int = 300, n_trees: int = 300, label: str = "label",
-               features: str = "features", tagged: bool = False) -> dict:
-    """The four base estimators (M1-M4) keyed by the original model names."""
-    # At these depths the node-id cache costs more than the tree walks it saves.
-    common = dict(labelCol=label, featuresCol=features, seed=SEED, cacheNodeIds=False)
-    out = {
-        "LightGBM": GBTClassifier(maxIter=max_iter, stepSize=0.05, maxDepth=6,
-                                  minInstancesPerNode=20, subsamplingRate=0.8,
-                                  featureSubsetStrategy="0.8", **common),
-        "CatBoost": GBTClassifier(maxIter=max_iter, stepSize=0.05, maxDepth=6, **common),
-        "XGBoost": GBTClassifier(maxIter=max_iter, stepSize=0.05, maxDepth=6,
-                                 minInstancesPerNode=5, subsamplingRate=0.8,
-                                 featureSubsetStrategy="0.8", **common),
-        "RandomForest": RandomForestClassifier(numTrees=n_trees, maxDepth=10,
-                                               minInstancesPerNode=2, **common),
-    }
-    if tagged:
-        for name, est in out.items():
-            t = _TAGS.get(name, "rf")
-            est.setProbabilityCol(f"prob_{t}").setRawPredictionCol(f"raw_{t}") \
-               .setPredictionCol(f"pred_{t}")
-    return out
+def forest(n_trees: int = N_TREES, label: str = "label") -> RandomForestClassifier:
+    """The random forest (M4)."""
+    return RandomForestClassifier(numTrees=n_trees, maxDepth=10, minInstancesPerNode=2, labelCol=label, seed=SEED)
 
 
-_TAGS = {"LightGBM": "lgbm", "CatBoost": "cat", "XGBoost": "xgb"}
+def fit_pipeline(train: DataFrame, feature_order: list[str], estimator) -> PipelineModel:
+    return Pipeline(stages=[assembler(feature_order), estimator]).fit(train)
 
 
-def fit_pipeline(train: DataFrame, feature_order: list[str], estimator, label: str = "label"
-                 ) -> PipelineModel:
-    return Pipeline(stages=[assembler(feature_order), estimator]).fit(train)
+def with_folds(df: DataFrame, spec: ColumnSpec = COHORT_SPEC, k: int = fixed.CV_FOLDS) -> DataFrame:
+    """``fold`` and, for the rows outside outer fold f, ``inner_<f>``: stratified folds of what is left of it.
 
+    Both come from one rank within the class, so no second ranking is needed: without outer fold f the rank falls by the
+    number of that fold's rows before it.
+    """
+    ranked = kfold_assign(df, k, spec, rank_col="fold_rank")
 
-def _retag(model, tag: str):
-    """Copy of a fitted classifier writing its outputs to tagged column names."""
-    m = model.copy()
-    m.setProbabilityCol(f"prob_{tag}").setRawPredictionCol(f"raw_{tag}").setPredictionCol(f"pred_{tag}")
-    return m
+    def inner(f: int) -> Column:
+        left = F.col("fold_rank") - F.floor((F.col("fold_rank") - f + k - 1) / k)
+        return F.when(F.col("fold") == f, -1).otherwise(left % k).cast("int").alias(f"inner_{f}")
 
+    return ranked.select("*", *[inner(f) for f in range(k)]).drop("fold_rank")
 
-def fit_stacking(train: DataFrame, feature_order: list[str], fold_col: str = "fold",
-                 max_iter: int = 300, label: str = "label", k: int = fixed.CV_FOLDS,
-                 fitted_bases: dict[str, PipelineModel] | None = None,
-                 threads: int = 8) -> PipelineModel:
-    """Stacking (M5): out-of-fold base probabilities -> logistic regression.
 
-    ``train`` carries a stratified ``fold`` column (see ``split.kfold_assign``).
-    Each fold's base models are fit on the other folds (the k x 3 fits are
-    independent and run concurrently) and score the held-out fold; the union
-    of held-out scores trains the meta model.  The final model is
-    [assembler, bases refit on all rows, class-1 slices, meta assembler, LR];
-    ``fitted_bases`` reuses already fitted full-data base models.
+class Training:
+    """One training run over a table of rows with label and folds; members are fitted once and kept in a registry.
+
+    ``train`` has ``row_id``, the features, ``label`` (0/1) and the columns of :func:`with_folds`.
     """
-    tags = [_TAGS[n] for n in BASE_FOR_STACKING]
-    meta_cols = [f"p_{t}" for t in tags]
-    # class-1 probability of each base model as a 1-element vector (persistable stages)
-    extract = [VectorSlicer(inputCol=f"prob_{t}", outputCol=f"p_{t}", indices=[1]) for t in tags]
-    asm = assembler(feature_order)
-
-    def fit_one(rows: DataFrame, name: str):
-        est = estimators(max_iter, label=label, tagged=True)[name]
-        return Pipeline(stages=[asm, est]).fit(rows).stages[-1]
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        futs = {(f, n): pool.submit(fit_one, train.where(F.col(fold_col) != f), n)
-                for f in range(k) for n in BASE_FOR_STACKING}
-        fold_models = {key: fu.result() for key, fu in futs.items()}
-    oof = None
-    for f in range(k):
-        chain = PipelineModel(stages=[asm] + [fold_models[(f, n)] for n in BASE_FOR_STACKING] + extract)
-        part = chain.transform(train.where(F.col(fold_col) == f)).select(label, *meta_cols)
-        oof = part if oof is None else oof.unionByName(part)
-    meta_asm = VectorAssembler(inputCols=meta_cols, outputCol="meta_features")
-    lr = LogisticRegression(maxIter=1000, labelCol=label, featuresCol="meta_features")
-    meta = Pipeline(stages=[meta_asm, lr]).fit(oof)
-    if fitted_bases:
-        final = [_retag(fitted_bases[n].stages[-1], _TAGS[n]) for n in BASE_FOR_STACKING]
-    else:
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            final = [f.result() for f in [pool.submit(fit_one, train, n) for n in BASE_FOR_STACKING]]
-    return PipelineModel(stages=[asm] + final + extract + list(meta.stages))
-
-
-def train_all(train: DataFrame, feature_order: list[str], max_iter: int = 300,
-              n_trees: int = 300, label: str = "label", with_stacking: bool = True,
-              threads: int = 4) -> dict[str, PipelineModel]:
-    """Fit every model (M6); independent fits are submitted concurrently."""
-    ests = estimators(max_iter, n_trees, label=label)
-    jobs = {n: (lambda e=e: fit_pipeline(train, feature_order, e, label)) for n, e in ests.items()}
-    if with_stacking:
-        jobs["Stacking"] = lambda: fit_stacking(train, feature_order, max_iter=max_iter, label=label)
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        futures = {n: pool.submit(fn) for n, fn in jobs.items()}
-        return {n: futures[n].result() for n in fixed.MODEL_ORDER if n in futures}
+
+    def __init__(self, train: DataFrame, features: list[str], registry: Registry, rounds: int = ROUNDS, n_trees: int = N_TREES,
+                 label: str = "label", row_id: str = "row_id", k: int = fixed.CV_FOLDS):
+        self.train, self.features, self.registry = train, list(features), registry
+        self.rounds, self.n_trees, self.label, self.row_id, self.k = rounds, n_trees, label, row_id, k
+
+    def fits(self, inner: bool = False) -> list[B.Fit]:
+        """Whole-table and fold fits, or the folds inside folds; fold columns are fold, inner_0, inner_1, ..."""
+        out = []
+        for name, settings in BOOSTED.items():
+            common = {"rounds": self.rounds, "step": STEP, "depth": DEPTH, "seed": SEED} | settings
+            if inner:
+                out += [B.Fit(f"{name}-{f}-{j}", ((0, f), (1 + f, j)), **common) for f in range(self.k) for j in range(self.k)]
+            else:
+                out += [B.Fit(name, (), **common)] + [B.Fit(f"{name}-{f}", ((0, f),), **common) for f in range(self.k)]
+        return out
+
+    def thresholds(self) -> list[list[float]]:
+        def make() -> DataFrame:
+            found = B.fit_bins(self.train, self.features)
+            return self.train.sparkSession.createDataFrame(list(enumerate(found)), "feature int, thresholds array<double>")
+        return [list(r["thresholds"]) for r in self.registry.table("bins", make).orderBy("feature").collect()]
+
+    def grown(self, inner: bool = False) -> DataFrame:
+        """Trees and held-out margins of :meth:`fits`."""
+        def make() -> DataFrame:
+            thresholds = self.thresholds()
+            folds = ["fold", *(f"inner_{f}" for f in range(self.k))] if inner else ["fold"]
+            return B.grow(B.blocks(self.train, self.features, thresholds, self.label, folds, self.row_id), self.fits(inner), thresholds)
+        return self.registry.table("boosted-inner" if inner else "boosted", make)
+
+    def held_out(self) -> DataFrame:
+        """(row_id, fold, label, p_<tag> ...): out-of-fold probabilities of the boosted models."""
+        def make() -> DataFrame:
+            scores = B.held_out_scores(self.grown())
+            wide = scores.groupBy("row_id").agg(*[F.max(F.when(F.col("fit").startswith(f"{n}-"), F.col("probability"))).alias(f"p_{TAGS[n]}")
+                                                  for n in BOOSTED])
+            return self.train.select(F.col(self.row_id).alias("row_id"), "fold", F.col(self.label).alias("label")).join(wide, "row_id")
+        return self.registry.table("held-out", make)
+
+    def held_out_inner(self) -> DataFrame:
+        """(outer, row_id, label, p_<tag> ...): the same inside what is left of each outer fold."""
+        def make() -> DataFrame:
+            scores = B.held_out_scores(self.grown(inner=True)).withColumn("outer", F.split_part("fit", F.lit("-"), F.lit(2)).cast("int"))
+            wide = scores.groupBy("outer", "row_id").agg(*[
+                F.max(F.when(F.col("fit").startswith(f"{n}-"), F.col("probability"))).alias(f"p_{TAGS[n]}") for n in BOOSTED])
+            return wide.join(self.train.select(F.col(self.row_id).alias("row_id"), F.col(self.label).alias("label")), "row_id")
+        return self.registry.table("held-out-inner", make)
+
+    def _meta(self, rows: DataFrame):
+        """[assembler, logistic regression] over base probabilities."""
+        n = max(1, rows.count())
+        stages = [VectorAssembler(inputCols=[f"p_{t}" for t in TAGS.values()], outputCol="meta_features"),
+                  LogisticRegression(maxIter=1000, labelCol="label", featuresCol="meta_features", regParam=META_PENALTY / n, standardization=False)]
+        return Pipeline(stages=stages).fit(rows)
+
+    def _stacked(self) -> PipelineModel:
+        bases = [self.model(n).stages[-1].copy() for n in BOOSTED]
+        for m, tag in zip(bases, TAGS.values(), strict=True):
+            m.setProbabilityCol(f"prob_{tag}").setRawPredictionCol(f"raw_{tag}").setPredictionCol(f"pred_{tag}")
+        slices = [VectorSlicer(inputCol=f"prob_{t}", outputCol=f"p_{t}", indices=[1]) for t in TAGS.values()]
+        return PipelineModel(stages=[assembler(self.features), *bases, *slices, *self._meta(self.held_out()).stages])
+
+    def _boosted(self, name: str) -> PipelineModel:
+        fit = next(f for f in self.fits() if f.name == name)
+        trees = self.grown().where((F.col("fit") == name) & (F.col("tree") >= 0)).collect()  # bounded by the model
+        model = B.as_spark_model(self.train.sparkSession, trees, self.thresholds(), fit, self.label)
+        return PipelineModel(stages=[assembler(self.features), model])
+
+    def model(self, name: str) -> PipelineModel:
+        """One of the five models, fitted on the whole table (M1-M5)."""
+        make = {fixed.ENSEMBLE_NAME: self._stacked, FOREST: lambda: fit_pipeline(self.train, self.features, forest(self.n_trees, self.label))}
+        return self.registry.model(name, make.get(name, lambda: self._boosted(name)))
+
+    def models(self, names=tuple(fixed.MODEL_ORDER)) -> dict[str, PipelineModel]:
+        """All models in order (M6); the forest is fitted while the boosted ones grow."""
+        names = [n for n in fixed.MODEL_ORDER if n in names]
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            side = pool.submit(self.model, FOREST) if FOREST in names else None
+            done = {n: self.model(n) for n in names if n != FOREST}
+            if side:
+                done[FOREST] = side.result()
+        return {n: done[n] for n in names}
+
+    def fold_predictions(self, names=tuple(fixed.MODEL_ORDER)) -> DataFrame:
+        """Held-out ``(model, row_id, fold, label, probability, prediction)`` of models refitted per fold (M8)."""
+        parts = []
+        if any(n in BOOSTED for n in names):
+            wide = self.held_out()
+            parts += [wide.select(F.lit(n).alias("model"), "row_id", "fold", "label", F.col(f"p_{TAGS[n]}").alias("probability"))
+                      for n in names if n in BOOSTED]
+        if FOREST in names:
+            parts.append(self.registry.table("folds-forest", self._forest_folds))
+        if fixed.ENSEMBLE_NAME in names:
+            parts.append(self.registry.table("folds-stacking", self._stacking_folds))
+        both = reduce(DataFrame.unionByName, parts)
+        return both.withColumn("prediction", (F.col("probability") > fixed.DECISION_THRESHOLD).cast("int"))
+
+    def _forest_folds(self) -> DataFrame:
+        with ThreadPoolExecutor(max_workers=self.k) as pool:
+            fitted = list(pool.map(lambda f: fit_pipeline(self.train.where(F.col("fold") != f), self.features, forest(self.n_trees, self.label)),
+                                   range(self.k)))
+        rows = [m.transform(self.train.where(F.col("fold") == f)) for f, m in enumerate(fitted)]
+        return reduce(DataFrame.unionByName, [r.select(
+            F.lit(FOREST).alias("model"), F.col(self.row_id).alias("row_id"), "fold", F.col(self.label).alias("label"),
+            vector_to_array("probability")[1].alias("probability")) for r in rows])
+
+    def _stacking_folds(self) -> DataFrame:
+        """Outer fold f: the meta model learns from inner out-of-fold rows, the bases are those fitted without fold f."""
+        inner, outer = self.held_out_inner(), self.held_out()
+        with ThreadPoolExecutor(max_workers=self.k) as pool:
+            metas = list(pool.map(lambda f: self._meta(inner.where(F.col("outer") == f)), range(self.k)))
+        return reduce(DataFrame.unionByName, [m.transform(outer.where(F.col("fold") == f)).select(
+            F.lit(fixed.ENSEMBLE_NAME).alias("model"), "row_id", "fold", "label", vector_to_array("probability")[1].alias("probability"))
+            for f, m in enumerate(metas)])
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """Probability of class 1 and class at 0.5 (M9); works on batch and streams."""
     out = model.transform(df)
-    prob_col = "probability"
-    return out.select(*keep, vector_to_array(F.col(prob_col))[1].alias("probability")) \
+    return out.select(*keep, vector_to_array(F.col("probability"))[1].alias("probability")) \
               .withColumn("prediction", (F.col("probability") > fixed.DECISION_THRESHOLD).cast("int"))
 
 
@@ -167,14 +229,10 @@ def save_models(models: dict[str, PipelineModel], base_path: str) -> None:
 
 def load_models(spark, base_path: str, names=fixed.MODEL_ORDER) -> dict[str, PipelineModel]:
     """Load the saved models that exist; missing ones are skipped with a warning."""
-    import warnings
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
     out = {}
     for name in names:
         path = f"{base_path.rstrip('/')}/{name.lower()}"
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(conf).exists(p):
+        if exists(spark, path):
             out[name] = PipelineModel.load(path)
         else:
             warnings.warn(f"Model not found: {path}")
@@ -187,7 +245,6 @@ def feature_order(model: PipelineModel) -> list[str]:
 
 def feature_importance(spark, model: PipelineModel, decimals: int = 6) -> DataFrame | None:
     """Ordered feature importances with display names (X10); None when absent."""
-    from ..functions import exprs as X
     tree = model.stages[1]
     if not hasattr(tree, "featureImportances"):
         return None
@@ -196,17 +253,3 @@ def feature_importance(spark, model: PipelineModel, decimals: int = 6) -> DataFr
     df = spark.createDataFrame(list(zip(names, imp)), "feature string, importance double")
     return df.select("feature", X.display_name_expr("feature").alias("display_name"),
                      X.round_half_up("importance", decimals).alias("importance"))
-
-
-def cv_fold_predictions(train: DataFrame, feature_order: list[str], estimator_factory,
-                        fold_col: str = "fold", label: str = "label",
-                        k: int = fixed.CV_FOLDS, keep: list[str] | None = None) -> DataFrame:
-    """Held-out predictions of a model refit per fold (M8, fitting half); the k fits run concurrently."""
-    out = None
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        fitted = list(pool.map(lambda f: fit_pipeline(train.where(F.col(fold_col) != f), feature_order,
-                                                      estimator_factory(), label), range(k)))
-    for f, m in enumerate(fitted):
-        p = predict(m, train.where(F.col(fold_col) == f), (keep or []) + [label, fold_col])
-        out = p if out is None else out.unionByName(p)
-    return out

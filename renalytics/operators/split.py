@@ -98,12 +98,13 @@ def remaining_after(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
 
 
 def kfold_assign(df: DataFrame, k: int = fixed.CV_FOLDS, spec: ColumnSpec = COHORT_SPEC,
-                 seed: int = fixed.RANDOM_STATE, bucket_bits: int = 12) -> DataFrame:
+                 seed: int = fixed.RANDOM_STATE, bucket_bits: int = 12, rank_col: str | None = None) -> DataFrame:
     """Stratified fold 0..k-1: within-class rank of ``md5(seed|kfold|id)`` mod k (M7).
 
-    A NULL label is a class of its own; no row is lost.
+    A NULL label is a class of its own; no row is lost.  ``rank_col`` keeps the rank as well.
     """
     h = hash60(F.lit(str(seed)), F.lit("kfold"), spec.id)
     ranked = ranked_within(df.withColumn("__h", h), [spec.target], ["__h", spec.id],
                            hash_bucket("__h", bucket_bits), rank_col="__rank", size_col=None)
-    return ranked.withColumn("fold", (F.col("__rank") % k).cast("int")).drop("__h", "__rank")
+    folded = ranked.withColumn("fold", (F.col("__rank") % k).cast("int")).drop("__h")
+    return folded.withColumnRenamed("__rank", rank_col) if rank_col else folded.drop("__rank")

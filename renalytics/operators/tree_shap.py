@@ -1,34 +1,26 @@
-"""Exact path-dependent tree attributions for Spark tree ensembles.
+"""Exact path-dependent tree attributions for Spark tree ensembles, as a join with a leaf table.
 
-The fitted model is read as a *table*: a saved GBT / random-forest model keeps
-its nodes in ``data/`` (``treeID, nodeData``) and its tree weights in
-``treesMetadata/``.  The node table is bounded by the model (trees x nodes),
-never by the data, so turning it into leaf paths on the driver is fine.
+Every leaf becomes one row: its weighted value ``v`` and, per feature, the interval ``(lo, hi]`` that its path leaves
+open and the cover fraction ``z`` of the path's splits on that feature (whole line and 1 for features off the path).  For
+``o_f = [lo_f < x_f <= hi_f]`` the Shapley value of feature i is::
 
-For a leaf reached through the distinct features D (interval ``(lo, hi]`` and
-cover fraction ``z`` per feature, combined over repeated splits), a row with
-``o_d = [lo_d < x_d <= hi_d]`` receives, for every i in D::
+    v (o_i - z_i) * sum over S of |S|! (d-|S|-1)! / d! * prod_S o * prod_rest z
+  = v (o_i - z_i) * integral over t in [0, 1] of  prod_{j != i} (o_j t + z_j (1 - t))
 
-    v * (o_i - z_i) * sum_{S subset D\\{i}} |S|!(|D|-|S|-1)!/|D|! * prod_S o * prod_{D\\S\\i} z
+The weights are a beta integral, and the integrand is a polynomial in t of a degree below the number of features on the
+path, so Gauss-Legendre quadrature with half as many nodes is exact.  What is left is plain column arithmetic:
+patients are joined with the leaves of every tree (broadcast: bounded by trees x leaves), each pair adds its share,
+and the shares of a patient are summed.  There is no Python step and no size limit but the model's.
 
-which is the path-dependent Shapley value of the tree (summing over leaves
-gives ``f(x) - E f``).  Rows are attributed batch by batch in ``mapInPandas``
-(Spark partitions the rows; no shuffle): per leaf the row's o-pattern is an
-integer, the sum is evaluated once per distinct pattern in the batch and
-scattered back.  When the per-leaf pattern tables fit under a size cap they are
-precomputed once on the driver and broadcast with the leaves; a batch then
-processes blocks of leaves at once (pattern per row and leaf, table lookup).
-GBT attributions are on the margin (``rawPrediction[1]``); random-forest ones on
-the class-1 probability.
+Boosted attributions are on the margin (``rawPrediction[1]``), random-forest ones on the class-1 probability.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,224 +28,103 @@ from pyspark.sql import functions as F
 from ..session import shared_path
 
 
-@dataclass
-class LeafTable:
-    """Leaf paths of an ensemble, padded to the longest distinct-feature list."""
-    value: np.ndarray      # (L,) weighted leaf value (tree weight included)
-    feat: np.ndarray       # (L, Dmax) feature index, -1 padding
-    lo: np.ndarray         # (L, Dmax)
-    hi: np.ndarray         # (L, Dmax)
-    z: np.ndarray          # (L, Dmax) cover fraction
-    n_feat: np.ndarray     # (L,) number of distinct features
-    baseline: float        # expected value of the ensemble output
-    n_features: int
-    tables: dict | None = None   # d -> (leaf ids, (L_d, 2^d, d) contributions per o-pattern)
-
-
-MAX_TABLE_CELLS = 20_000_000  # pattern tables are used only below this size (~160 MB)
-
-
-def pattern_tables(t: "LeafTable") -> dict | None:
-    """Contribution of every leaf for every o-pattern, grouped by path length d.
-
-    Bounded by the model (sum over leaves of 2^d * d); None above the cap, in
-    which case batches fall back to evaluating only the patterns they meet.
-    """
-    sizes = {}
-    for d in np.unique(t.n_feat):
-        if d > 0:
-            sizes[int(d)] = int((t.n_feat == d).sum())
-    if sum(n * (1 << d) * d for d, n in sizes.items()) > MAX_TABLE_CELLS:
-        return None
-    out = {}
-    for d in sizes:
-        ids = np.nonzero((t.n_feat == d) & (t.value != 0.0))[0]
-        if len(ids) == 0:
-            continue
-        P = 1 << d
-        ob = ((np.arange(P)[:, None] >> np.arange(d)) & 1).astype(float)   # (P, d)
-        z = t.z[ids, :d]                                                   # (L, d)
-        v = t.value[ids]
-        w = _shapley_weights(d)
-        c = np.zeros((len(ids), P, d))
-        for i in range(d):
-            poly = np.zeros((len(ids), P, d))
-            poly[:, :, 0] = 1.0
-            for j in range(d):
-                if j == i:
-                    continue
-                nxt = poly * z[:, None, j, None]
-                nxt[:, :, 1:] += poly[:, :, :-1] * ob[None, :, j, None]
-                poly = nxt
-            c[:, :, i] = v[:, None] * (ob[None, :, i] - z[:, None, i]) * (poly @ w)
-        out[d] = (ids, c)
-    return out
-
-
-def _read_nodes(spark: SparkSession, tree_model) -> tuple[pd.DataFrame, list[float], bool]:
+def _saved_nodes(spark: SparkSession, tree_model) -> DataFrame:
+    """The model's node table with the value of each node and the weight of its tree."""
     path = shared_path(spark, "tree-model")
     tree_model.write().overwrite().save(path)
-    nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
-                     "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild",
-                     F.col("nodeData.split.featureIndex").alias("feature"),
-                     F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
-                     F.col("nodeData.split.numCategories").alias("ncat"))
-             .toPandas())  # bounded by the model size
-    is_gbt = hasattr(tree_model, "treeWeights") and "GBT" in type(tree_model).__name__
-    weights = list(tree_model.treeWeights) if is_gbt else [1.0 / tree_model.getNumTrees] * tree_model.getNumTrees
-    return nodes, weights, is_gbt
-
-
-def leaf_table(spark: SparkSession, tree_model, n_features: int) -> LeafTable:
-    """Leaf paths with intervals and cover fractions (one driver pass over the model)."""
-    nodes, weights, is_gbt = _read_nodes(spark, tree_model)
-    if (nodes["ncat"].fillna(-1) > 0).any():
-        raise ValueError("categorical splits are not supported; use continuous features")
-    leaves = []
-    baseline = 0.0
-    for tid, g in nodes.groupby("treeID"):
-        by_id = {int(r.id): r for r in g.itertuples(index=False)}
-        w = float(weights[int(tid)])
-        root_cover = float(by_id[0].rawCount)
-        stack = [(0, {})]
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    stats = F.col("impurityStats")
+    if "GBT" in type(tree_model).__name__:
+        weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weight").select("treeID", "weight")
+        value = F.col("prediction")
+        nodes = nodes.join(F.broadcast(weights), "treeID")
+    else:
+        value = F.try_divide(F.element_at(stats, 2), F.aggregate(stats, F.lit(0.0), lambda a, b: a + b))
+        nodes = nodes.withColumn("weight", F.lit(1.0 / tree_model.getNumTrees))
+    return nodes.select("treeID", "id", (F.col("weight") * value).alias("value"), F.col("rawCount").cast("double").alias("cover"),
+                        "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
+                        F.try_element_at(F.col("split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"),
+                        F.col("split.numCategories").alias("categories"))
+
+
+def leaf_rows(spark: SparkSession, tree_model, n_features: int) -> list[tuple]:
+    """(tree, value, [(lo, hi, z) per feature], features on the path) of every leaf; bounded by the model."""
+    trees: dict[int, dict] = {}
+    for r in _saved_nodes(spark, tree_model).where("feature < 0 OR categories < 0").collect():
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    open_path = ((-math.inf, math.inf, 1.0),) * n_features
+    out = []
+    for tree, nodes in trees.items():
+        stack = [(0, open_path, frozenset())]
         while stack:
-            nid, path = stack.pop()
-            n = by_id[nid]
-            if int(n.leftChild) < 0:
-                if is_gbt:
-                    v = float(n.prediction)
-                else:
-                    st = np.asarray(n.impurityStats, dtype=float)
-                    v = float(st[1] / st.sum()) if st.sum() > 0 and len(st) > 1 else 0.0
-                baseline += w * v * float(n.rawCount) / root_cover
-                leaves.append((w * v, path))
+            i, path, used = stack.pop()
+            node = nodes.get(i)
+            if node is None:
+                raise ValueError("categorical splits are not supported; use continuous features")
+            if node["leftChild"] < 0:
+                out.append((tree, node["value"], path, len(used)))
                 continue
-            f, thr = int(n.feature), float(n.thr[0])
-            parent = float(n.rawCount)
-            for child, left in ((int(n.leftChild), True), (int(n.rightChild), False)):
-                lo, hi, z = path.get(f, (-math.inf, math.inf, 1.0))
-                frac = float(by_id[child].rawCount) / parent if parent > 0 else 0.0
-                new = dict(path)
-                new[f] = (lo, min(hi, thr), z * frac) if left else (max(lo, thr), hi, z * frac)
-                stack.append((child, new))
-    dmax = max((len(p) for _, p in leaves), default=0)
-    L = len(leaves)
-    feat = np.full((L, max(dmax, 1)), -1, dtype=np.int32)
-    lo = np.zeros((L, max(dmax, 1)))
-    hi = np.zeros((L, max(dmax, 1)))
-    z = np.ones((L, max(dmax, 1)))
-    nf = np.zeros(L, dtype=np.int32)
-    val = np.zeros(L)
-    for i, (v, path) in enumerate(leaves):
-        val[i] = v
-        nf[i] = len(path)
-        for j, (f, (a, b, c)) in enumerate(sorted(path.items())):
-            feat[i, j], lo[i, j], hi[i, j], z[i, j] = f, a, b, c
-    return LeafTable(val, feat, lo, hi, z, nf, baseline, n_features)
-
-
-def _shapley_weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d)
-                     for s in range(d)])
-
-
-def attribute_batch(x: np.ndarray, t: LeafTable, block: int = 16) -> np.ndarray:
-    """Attributions (n, n_features) for a batch of rows."""
-    if t.tables is not None:
-        return _attribute_with_tables(x, t, block)
-    n = x.shape[0]
-    phi = np.zeros((n, t.n_features))
-    weights = {}
-    for leaf in range(len(t.value)):
-        d = int(t.n_feat[leaf])
-        v = t.value[leaf]
-        if d == 0 or v == 0.0:
-            continue
-        fs = t.feat[leaf, :d]
-        xs = x[:, fs]
-        o = (xs > t.lo[leaf, :d]) & (xs <= t.hi[leaf, :d])
-        pattern = o.astype(np.int64) @ (1 << np.arange(d, dtype=np.int64))
-        uniq, inv = np.unique(pattern, return_inverse=True)
-        ob = ((uniq[:, None] >> np.arange(d)) & 1).astype(float)      # (u, d)
-        zz = t.z[leaf, :d]
-        w = weights.get(d)
-        if w is None:
-            w = weights[d] = _shapley_weights(d)
-        contrib = np.zeros((len(uniq), d))
-        for i in range(d):
-            poly = np.zeros((len(uniq), d))
-            poly[:, 0] = 1.0
-            deg = 0
-            for j in range(d):
-                if j == i:
-                    continue
-                nxt = poly * zz[j]
-                nxt[:, 1:deg + 2] += poly[:, :deg + 1] * ob[:, j:j + 1]
-                poly = nxt
-                deg += 1
-            contrib[:, i] = v * (ob[:, i] - zz[i]) * (poly @ w)
-        phi[:, fs] += contrib[inv]
-    return phi
-
-
-def _attribute_with_tables(x: np.ndarray, t: LeafTable, block: int) -> np.ndarray:
-    """Blocks of leaves at once: o-pattern per (row, leaf), then a table lookup."""
-    n = x.shape[0]
-    phi = np.zeros((n, t.n_features))
-    for d, (ids, tab) in t.tables.items():
-        bits = 1 << np.arange(d)
-        for s0 in range(0, len(ids), block):
-            leaf = ids[s0:s0 + block]
-            fs = t.feat[leaf, :d]                                   # (B, d)
-            xs = x[:, fs]                                           # (n, B, d)
-            o = (xs > t.lo[leaf, :d]) & (xs <= t.hi[leaf, :d])
-            pat = (o * bits).sum(axis=2)                            # (n, B)
-            vals = tab[s0:s0 + block][np.arange(len(leaf))[None, :], pat]   # (n, B, d)
-            for f in np.unique(fs):
-                phi[:, f] += (vals * (fs == f)).sum(axis=(1, 2))
-    return phi
+            f, t = node["feature"], node["threshold"]
+            lo, hi, z = path[f]
+            for child, bounds in ((node["leftChild"], (lo, min(hi, t))), (node["rightChild"], (max(lo, t), hi))):
+                share = nodes[child]["cover"] / node["cover"] if child in nodes else 0.0
+                if share <= 0:
+                    raise ValueError("a node without training rows has no cover fraction")
+                stack.append((child, path[:f] + ((*bounds, z * share),) + path[f + 1:], used | {f}))
+    return out
 
 
 def tree_attributions(df: DataFrame, model: PipelineModel, id_col: str = "patient_id",
                       stage: int = -1) -> tuple[DataFrame, float]:
-    """Wide attributions ``(id, shap__<feature>..., <feature>...)`` for every row, and the baseline."""
+    """Wide attributions ``(id, shap__<feature>..., <feature>...)``, and the baseline.
+
+    Rows with the same features are attributed once: at scale there are far fewer distinct feature vectors than rows.
+    A missing value lies in no interval.
+    """
     spark = df.sparkSession
     feats = list(model.stages[0].getInputCols())
-    table = leaf_table(spark, model.stages[stage], len(feats))
-    table.tables = pattern_tables(table)
-    bc = spark.sparkContext.broadcast(table)  # bounded by the model size (tables capped)
-
-    def run(batches):
-        t = bc.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            phi = attribute_batch(x, t)
-            out = pd.DataFrame(np.hstack([phi, x]), columns=[f"shap__{c}" for c in feats] + feats)
-            out.insert(0, id_col, pdf[id_col].to_numpy())
-            yield out
-
-    schema = f"{id_col} long, " + ", ".join([f"shap__{c} double" for c in feats] + [f"{c} double" for c in feats])
-    return df.select(id_col, *[F.col(c).cast("double") for c in feats]).mapInPandas(run, schema), \
-        table.baseline
+    leaves = leaf_rows(spark, model.stages[stage], len(feats))
+    nodes, weights = np.polynomial.legendre.leggauss(max(1, -(-max(d for *_, d in leaves) // 2)))
+    points = [((1 + float(x)) / 2, float(w) / 2) for x, w in zip(nodes, weights, strict=True)]
+    baseline = math.fsum(v * math.prod(z for _, _, z in path) for _, v, path, _ in leaves)
+    used = [f for f in range(len(feats)) if any(path[f][2] < 1.0 for _, _, path, _ in leaves)] or [0]
+
+    columns = "tree int not null, v double not null" + "".join(f", {c}{f} double not null" for f in used for c in ("lo", "hi", "z"))
+    table = spark.createDataFrame([(t, v, *(x for f in used for x in path[f])) for t, v, path, _ in leaves], columns)
+    values = [f"x{f}" for f in range(len(feats))]
+    rows = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(feats, values, strict=True)])
+    trees = sorted({t for t, *_ in leaves})
+    # A fixed number of parts: the rows are few bytes but much work, so they must not be coalesced by size.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    pairs = rows.select(*values).repartition(parts, *values).distinct().withColumn("tree", F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1])))).join(
+        F.broadcast(table), "tree")
+    for f in used:
+        inside = F.coalesce((F.col(f"x{f}") > F.col(f"lo{f}")) & (F.col(f"x{f}") <= F.col(f"hi{f}")), F.lit(False))
+        pairs = pairs.withColumn(f"o{f}", inside.cast("double"))
+    carried = [*values, "v", *[f"o{f}" for f in used], *[f"z{f}" for f in used]]
+
+    def term(f: int, t: float):
+        return F.col(f"o{f}") * t + F.col(f"z{f}") * (1 - t)
+
+    # whole products first, then each feature takes its own factor out of them
+    products = pairs.select(*carried, *[(reduce(lambda a, b: a * b, [term(f, t) for f in used], F.col("v") * w)).alias(f"q{i}")
+                                        for i, (t, w) in enumerate(points)])
+    share = {f: (F.col(f"o{f}") - F.col(f"z{f}")) * reduce(lambda a, b: a + b, [F.col(f"q{i}") / term(f, t) for i, (t, _) in enumerate(points)])
+             for f in used}
+    # Fused with the join, the generated method is too long for the JIT and ten times slower.  A higher-order function
+    # in one column keeps this projection on its own.
+    share[used[0]] = F.element_at(F.transform(F.array(share[used[0]]), lambda x: x), 1)
+    shares = products.select(*values, *[share[f].alias(f"s{f}") for f in used])
+    sums = shares.groupBy(*values).agg(*[F.sum(f"s{f}").alias(f"s{f}") for f in used]).toDF(
+        *[f"of_{x}" for x in values], *[f"s{f}" for f in used])
+    found = rows.join(sums, reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"of_{x}")) for x in values]))
+    return found.select(F.col("id").alias(id_col), *[(F.col(f"s{f}") if f in used else F.lit(0.0)).alias(f"shap__{c}") for f, c in enumerate(feats)],
+                        *[F.col(x).alias(c) for c, x in zip(feats, values, strict=True)]), baseline
 
 
 def expected_value(spark: SparkSession, model: PipelineModel, stage: int = -1) -> DataFrame:
-    """Baseline as a one-row table, from a Spark aggregate over the node table."""
-    tree_model = model.stages[stage]
-    path = shared_path(spark, "tree-model")
-    tree_model.write().overwrite().save(path)
-    is_gbt = "GBT" in type(tree_model).__name__
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    root = nodes.where(F.col("id") == 0).select("treeID", F.col("rawCount").alias("root"))
-    if is_gbt:
-        w = spark.createDataFrame(list(enumerate(tree_model.treeWeights)), "treeID int, w double")
-        value = F.col("prediction")
-    else:
-        n = tree_model.getNumTrees
-        w = spark.range(n).select(F.col("id").cast("int").alias("treeID"), F.lit(1.0 / n).alias("w"))
-        value = F.try_divide(F.element_at("impurityStats", 2), F.aggregate(
-            "impurityStats", F.lit(0.0), lambda a, b: a + b))
-    leaves = nodes.where(F.col("leftChild") < 0).join(root, "treeID").join(w, "treeID")
-    return leaves.agg(F.sum(F.col("w") * value * F.col("rawCount") / F.col("root"))
-                      .alias("expected_value"))
+    """Baseline as a one-row table, from an aggregate over the node table."""
+    nodes = _saved_nodes(spark, model.stages[stage])
+    root = nodes.where(F.col("id") == 0).select("treeID", F.col("cover").alias("root"))
+    leaves = nodes.where(F.col("leftChild") < 0).join(root, "treeID")
+    return leaves.agg(F.sum(F.col("value") * F.col("cover") / F.col("root")).alias("expected_value"))

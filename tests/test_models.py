@@ -1,5 +1,6 @@
-"""Spark ML path: training (small iteration counts for speed), persistence, attribution."""
+"""Training runs (small settings for speed), registry, persistence, stacking folds, attribution."""
 
+import math
 import tempfile
 
 import numpy as np
@@ -7,9 +8,10 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from renalytics.functions import fixed
 from renalytics.operators import models as MD
-from renalytics.operators import split as SP
 from renalytics.operators import tree_shap as TS
+from renalytics.operators.model_registry import Registry
 from renalytics.plans.base import FEATURES
 from renalytics.plans.fixture_models import scaled_split
 
@@ -18,14 +20,33 @@ from .conftest import SMALL_SF
 
 @pytest.fixture(scope="module")
 def train(spark):
-    t = (scaled_split(spark, SMALL_SF).where(F.col("split") == "train")
-         .select("patient_id", *FEATURES, F.col("ckd_diagnosis").cast("double").alias("label"),
+    t = (scaled_split(spark, SMALL_SF).where(F.col("split") == "train").where("ckd_diagnosis IS NOT NULL")
+         .select("patient_id", F.col("patient_id").alias("row_id"), *FEATURES, F.col("ckd_diagnosis").cast("double").alias("label"),
                  "ckd_diagnosis"))
-    return SP.kfold_assign(t).persist()
+    return MD.with_folds(t).persist()
 
 
-def test_train_all_predict_save_load(spark, train):
-    models = MD.train_all(train, FEATURES, max_iter=3, n_trees=5)
+@pytest.fixture(scope="module")
+def root():
+    return tempfile.mkdtemp(prefix="renalytics-registry-")
+
+
+def run_of(spark, train, root, **kw):
+    return MD.Training(train, FEATURES, Registry(spark, "test", root=root), rounds=4, n_trees=5, **kw)
+
+
+def test_folds_inside_folds_are_stratified(train):
+    rows = train.select("fold", "label", *[f"inner_{f}" for f in range(5)]).collect()
+    for f in range(5):
+        assert all((r[f"inner_{f}"] == -1) == (r["fold"] == f) for r in rows)
+        for c in (0.0, 1.0):
+            sizes = [sum(1 for r in rows if r[f"inner_{f}"] == j and r["label"] == c) for j in range(5)]
+            assert max(sizes) - min(sizes) <= 1
+
+
+def test_train_predict_save_load(spark, train, root):
+    run = run_of(spark, train, root)
+    models = run.models()
     assert list(models) == ["LightGBM", "CatBoost", "XGBoost", "RandomForest", "Stacking"]
     preds = MD.predictions_long(models, train, ["patient_id", "label"])
     assert preds.count() == 5 * train.count()
@@ -34,22 +55,86 @@ def test_train_all_predict_save_load(spark, train):
     MD.save_models(models, base)
     loaded = MD.load_models(spark, base)
     assert set(loaded) == set(models)
-    a = MD.predict(models["Stacking"], train, ["patient_id"]).orderBy("patient_id").collect()
-    b = MD.predict(loaded["Stacking"], train, ["patient_id"]).orderBy("patient_id").collect()
-    assert [r["probability"] for r in a] == [r["probability"] for r in b]
+    for name in models:
+        a, b = (MD.predict(m[name], train, ["patient_id"]).orderBy("patient_id").collect() for m in (models, loaded))
+        assert a == b
+    with pytest.warns(UserWarning):
+        assert MD.load_models(spark, tempfile.mkdtemp()) == {}
     imp = MD.feature_importance(spark, models["RandomForest"]).collect()
     assert len(imp) == len(FEATURES) and abs(sum(r["importance"] for r in imp) - 1) < 1e-5
 
 
-@pytest.mark.parametrize("name", ["LightGBM", "RandomForest"])
-def test_tree_attribution_additivity(spark, train, name):
-    model = MD.fit_pipeline(train, FEATURES, MD.estimators(max_iter=5, n_trees=5)[name])
-    wide, base = TS.tree_attributions(train, model)
-    out = model.transform(train).select(
-        "patient_id", vector_to_array("rawPrediction")[1].alias("margin"),
-        vector_to_array("probability")[1].alias("p"))
+def test_registry_resumes_with_what_was_recorded(spark, train, root, monkeypatch):
+    first = run_of(spark, train, root)
+    want = [r["probability"] for r in MD.predict(first.model("Stacking"), train, ["row_id"]).orderBy("row_id").collect()]
+    again = run_of(spark, train, root)
+
+    def refuse(*_a, **_k):
+        raise AssertionError("fitted again")
+    monkeypatch.setattr(MD.B, "grow", refuse)
+    monkeypatch.setattr(MD, "fit_pipeline", refuse)
+    got = [r["probability"] for r in MD.predict(again.models()["Stacking"], train, ["row_id"]).orderBy("row_id").collect()]
+    assert got == want
+    other = MD.Training(train, FEATURES, Registry(spark, "other parameters", root=root), rounds=4, n_trees=5)
+    assert other.registry.manifest().count() == 0
+    with pytest.raises(AssertionError):
+        other.model("XGBoost")
+
+
+def test_out_of_fold_scores_are_those_of_refitted_models(spark, train, root):
+    """A fold fit equals a whole-table fit on the other folds, and the meta model of a fold sees no row of it."""
+    run = run_of(spark, train, root)
+    preds = run.fold_predictions()
+    counts = {r["model"]: (r["n"], r["ids"]) for r in preds.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("ids")).collect()}
+    n = train.count()
+    assert counts == {m: (n, n) for m in fixed.MODEL_ORDER}
+    part = train.where("fold <> 2")
+    thresholds = run.thresholds()
+    fit = next(f for f in run.fits() if f.name == "XGBoost")
+    table = MD.B.blocks(part, FEATURES, thresholds, "label", ["fold"], "row_id")
+    trees = MD.B.grow(table, [fit], thresholds).where("tree >= 0").collect()
+    model = MD.B.as_spark_model(spark, trees, thresholds, fit)
+    scored = MD.predict(MD.PipelineModel(stages=[MD.assembler(FEATURES), model]), train.where("fold = 2"), ["row_id"]).collect()
+    held = {r["row_id"]: r["probability"] for r in preds.where("model = 'XGBoost' AND fold = 2").collect()}
+    assert held.keys() == {r["row_id"] for r in scored}
+    assert all(r["probability"] == pytest.approx(held[r["row_id"]], abs=1e-12) for r in scored)
+    inner = run.held_out_inner()
+    for f in range(5):
+        ids = {r["row_id"] for r in inner.where(F.col("outer") == f).collect()}
+        assert ids == {r["row_id"] for r in train.where(F.col("fold") != f).collect()}
+
+
+def brute_shap(x, leaves, n):
+    """Shapley values by the definition, over all coalitions of features."""
+    from itertools import combinations
+    phi = [0.0] * n
+    for _, v, path, _ in leaves:
+        o = [float(lo < xi <= hi) for xi, (lo, hi, _) in zip(x, path, strict=True)]
+        z = [p[2] for p in path]
+        for i in range(n):
+            others = [j for j in range(n) if j != i]
+            for k in range(n):
+                w = math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n)
+                for s in combinations(others, k):
+                    phi[i] += w * v * (o[i] - z[i]) * math.prod(o[j] if j in s else z[j] for j in others)
+    return phi
+
+
+@pytest.mark.parametrize("name", ["XGBoost", "CatBoost", "RandomForest"])
+def test_tree_attributions(spark, train, root, name):
+    model = run_of(spark, train, root).model(name)
+    wide, base = TS.tree_attributions(train.unionByName(train.limit(3)), model)
+    assert wide.count() == train.count() + 3
+    out = model.transform(train).select("patient_id", vector_to_array("rawPrediction")[1].alias("margin"),
+                                        vector_to_array("probability")[1].alias("p"))
     j = wide.join(out, "patient_id").toPandas()
-    target = j["margin"] if name == "LightGBM" else j["p"]
+    target = j["p"] if name == "RandomForest" else j["margin"]
     total = j[[f"shap__{c}" for c in FEATURES]].sum(axis=1) + base
     assert float(np.abs(total - target).max()) < 1e-9
     assert TS.expected_value(spark, model).first()["expected_value"] == pytest.approx(base, abs=1e-12)
+    if name == "XGBoost":
+        leaves = TS.leaf_rows(spark, model.stages[-1], len(FEATURES))
+        for r in j.head(3).to_dict("records"):
+            want = brute_shap([r[c] for c in FEATURES], leaves, len(FEATURES))
+            assert [r[f"shap__{c}"] for c in FEATURES] == pytest.approx(want, abs=1e-10)
