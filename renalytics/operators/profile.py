@@ -176,28 +176,56 @@ def age_group_by_class(df: DataFrame, spec: ColumnSpec = COHORT_SPEC) -> DataFra
 
 
 # B13 / B14 ------------------------------------------------------------------
+def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(i, j, n, a, b, aa, bb, ab)``: sums over the rows where both columns are present, for j <= i, in one scan.
+
+    A batch of rows is a matrix with its mask of present values; a few matrix products add up all pairs at once, so
+    each task hands on one row per pair, whatever its number of rows.  Values are taken from one row of the
+    table onwards (``centre``), which keeps the sums of squares small; correlations do not depend on it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    p = len(cols)
+    narrow = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = narrow.head()
+    centre = np.array([0.0 if first is None or x is None or not np.isfinite(x) else x for x in first or [0.0] * p])
+    low = np.tril_indices(p)
+
+    def run(batches):
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            here = np.stack([np.asarray(c.is_valid()) for c in batch.columns], axis=1).astype(float)
+            x = np.where(here > 0, x - centre, 0.0)
+            total += np.stack([here.T @ here, x.T @ here, here.T @ x, (x * x).T @ here, here.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(low[0], pa.int32()), pa.array(low[1], pa.int32()), pa.array(total[0][low].astype(np.int64)),
+             *[pa.array(t[low]) for t in total[1:]]], names=["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    parts = narrow.mapInArrow(run, "i int, j int, n long, a double, b double, aa double, bb double, ab double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+
+
 def correlation_long(df: DataFrame, cols: list[str], decimals: int = 6,
                      lower_only: bool = False) -> DataFrame:
-    """Pearson r for every pair, pairwise-complete rows, in ONE scan.
+    """Pearson r for every pair, pairwise-complete rows, in one scan.
 
-    Each row is exploded into its column pairs (j <= i) in memory with two small
-    ``posexplode`` steps and aggregated per pair (map-side partial aggregation
-    leaves pairs x partitions rows to shuffle).  ``covar_pop / (std_pop(a | b present) * std_pop(b | a present))``
-    with ``try_divide``: a constant column gives NULL instead of an ANSI error.
-    Output ``(i, j, x, y, x_name, y_name, r)``; ``lower_only`` keeps i > j.
+    A column that is constant over a pair's rows gives NULL.  Output ``(i, j, x, y, x_name, y_name, r)``;
+    ``lower_only`` keeps i > j.
     """
-    vals = F.array(*[F.col(c).cast("double") for c in cols])
-    per_col = df.select(vals.alias("v")).select("v", F.posexplode("v").alias("i", "a"))
-    long = per_col.select("i", "a", F.posexplode(F.slice("v", F.lit(1), F.col("i") + 1))
-                          .alias("j", "b"))
-    a, b = F.col("a"), F.col("b")
-    agg = long.groupBy("i", "j").agg(
-        F.covar_pop(a, b).alias("cov"),
-        F.stddev_pop(F.when(b.isNotNull(), a)).alias("sa"),
-        F.stddev_pop(F.when(a.isNotNull(), b)).alias("sb"))
+    m = pair_moments(df, cols)
+
+    def spread(s: str, ss: str):
+        """Sum of squared deviations; what is left of rounding alone counts as none."""
+        dev = F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+        return F.when(dev > 1e-13 * F.col(ss), dev).otherwise(0.0)
+
+    some = m.where("n > 0").withColumn("sa", spread("a", "aa")).withColumn("sb", spread("b", "bb"))
     r = (F.when(F.col("i") == F.col("j"), F.when(F.col("sa") > 0, F.lit(1.0)))
-         .otherwise(F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))))
-    low = agg.select("i", "j", r.alias("r"))
+         .otherwise(F.try_divide(F.col("ab") - F.col("a") * F.col("b") / F.col("n"), F.sqrt("sa") * F.sqrt("sb"))))
+    every = literal_spine(df.sparkSession, [(i, j) for i in range(len(cols)) for j in range(i + 1)], "i INT, j INT")
+    low = every.join(some.select("i", "j", r.alias("r")), ["i", "j"], "left")
     both = low if lower_only else low.unionByName(
         low.where(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
     if lower_only:

@@ -1,19 +1,18 @@
 """Exact, interpolated quantiles without collecting a column into one task.
 
-``percentile``/``median`` are exact but merge every distinct value of a group
-in one task; ``percentile_approx`` scales but is not exact (median of 1,2,3,4
-is 2.0, not 2.5).  This operator combines both:
-
-1. one aggregate per (group, column): ``n``, min, max and approximate
-   quantiles just below and above the target rank (rank error <= n/accuracy);
-2. one more scan counts the values below and above that bracket and keeps
-   only the values inside it, collapsed to (value, count) pairs (a hot value
-   is one row); a running count over that small set finds the values at ranks
-   floor((n-1)q) and ceil((n-1)q); linear interpolation as in pandas / DuckDB
-   ``quantile_cont``.
-
-If a bracket fails its check (tiny groups), that group is redone with the
-[min, max] bracket, which is still exact, only wider.
+``percentile``/``median`` are exact but merge every distinct value of a group in one task; ``percentile_approx`` scales
+but is not exact (median of 1,2,3,4 is 2.0, not 2.5).  Here each target, a quantile of a (group, column), has a *bracket*
+of values that holds its two ranks ``floor((n-1)q)`` and ``ceil((n-1)q)``:
+
+1. one aggregate gives ``n``, min, max and the approximate quantiles just beside the target;
+2. a round cuts every open bracket into ``BINS`` bins and takes count, least and greatest value of each.  The running
+   count over the bins (never over the data) tells which bins hold the two ranks.  If they differ, the values are the
+   greatest of the one and the least of the other; if the bin holds one value, that is it; else the bin is the next
+   bracket.  A bracket that missed its ranks falls back to [min, max].
+
+The least and the greatest value of a bracket always come into different bins, so every round gets closer; brackets are cut
+by sign, by logarithm or evenly, so a few rounds do for values of all magnitudes.  After the first round only the values inside open brackets are read again.  Linear
+interpolation as in pandas / DuckDB ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -21,6 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+BINS = 4096
+
 
 def _long(df: DataFrame, cols: list[str], group_cols: list[str]) -> DataFrame:
     structs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
@@ -30,98 +33,87 @@ def _long(df: DataFrame, cols: list[str], group_cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull() & ~F.isnan("value")))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
-                    group_cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
-    """Long table ``(group..., column, q, value)`` of exact interpolated quantiles."""
-    g = list(group_cols or [])
-    keys = g + ["column"]
-    long = _long(df, cols, g)
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where a NULL group equals a NULL group."""
+    named = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"__{k}" for k in keys])
+
 
+def _targets(long: DataFrame, qs: list[float], keys: list[str], accuracy: int) -> DataFrame:
+    """(keys, q, pos, r_lo, r_hi, vmin, vmax, lo, hi): ranks and first bracket of each target."""
     margin = 3.0 / accuracy
-    lo_ps = [max(0.0, q - margin) for q in qs]
-    hi_ps = [min(1.0, q + margin) for q in qs]
     stats = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"),
-        F.percentile_approx("value", F.array(*[F.lit(p) for p in lo_ps]), accuracy).alias("alo"),
-        F.percentile_approx("value", F.array(*[F.lit(p) for p in hi_ps]), accuracy).alias("ahi"),
-    )
-    qarr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
-    targets = (stats.select(*keys, "n", "vmin", "vmax", "alo", "ahi", F.explode(qarr).alias("t"))
-               .select(*keys, "n", "vmin", "vmax", F.col("t.q").alias("q"),
-                       F.element_at("alo", F.col("t.qi") + 1).alias("blo"),
-                       F.element_at("ahi", F.col("t.qi") + 1).alias("bhi"))
-               .withColumn("pos", (F.col("n") - 1).cast("double") * F.col("q"))
-               .withColumn("r_lo", F.floor("pos"))
-               .withColumn("r_hi", F.ceil("pos")))
-
-    if not g:
-        return _ungrouped(long, targets, keys)
-
-    # pass 2 (one scan): rows below / inside / above the approximate bracket;
-    # inside values are collapsed to (value, count) pairs (a hot value is one row)
-    ranked = _bracket_ranks(long, targets, keys, "blo", "bhi")
-    ok = ranked.groupBy(*keys, "q").agg(
-        F.first((F.col("c_below") <= F.col("r_lo")) & (F.col("n") - F.col("c_above") > F.col("r_hi")))
-        .alias("ok"))
-    good = ranked.join(ok.where("ok"), keys + ["q"], "left_semi")
-    bad_targets = targets.join(ok.where(~F.col("ok")), keys + ["q"], "left_semi")
-    # fallback (rare: tiny groups): the exact [min, max] bracket
-    fallback = _bracket_ranks(long.join(bad_targets.select(*keys).distinct(), keys, "left_semi"),
-                              bad_targets, keys, "vmin", "vmax")
-    return _pick(good, keys).unionByName(_pick(fallback, keys))
-
-
-def _ungrouped(long: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole-column quantiles: brackets and results are tiny fitted values, so
-    they are evaluated eagerly (one job each) and the data is scanned once more."""
-    spark = long.sparkSession
-    t = spark.createDataFrame(targets.collect(), targets.schema)      # columns x qs rows
-    res = _pick(_bracket_ranks(long, t, keys, "blo", "bhi"), keys, with_ok=True).collect()
-    bad = [(r["column"], r["q"]) for r in res if not r["ok"]]
-    rows = [(r["column"], r["q"], r["value"]) for r in res if r["ok"]]
-    if bad:
-        tb = t.where(F.array_contains(F.array(*[F.lit(f"{c}|{q!r}") for c, q in bad]),
-                                      F.concat_ws("|", "column", F.col("q").cast("string"))))
-        rows += [(r["column"], r["q"], r["value"])
-                 for r in _pick(_bracket_ranks(long, tb, keys, "vmin", "vmax"), keys).collect()]
-    return spark.createDataFrame(rows, "column string, q double, value double")
-
-
-def _bracket_ranks(long: DataFrame, targets: DataFrame, keys: list[str], lo: str, hi: str
-                   ) -> DataFrame:
-    j = long.join(targets.select(*keys, "q", "n", "pos", "r_lo", "r_hi",
-                                 F.col(lo).alias("lo"), F.col(hi).alias("hi")), keys)
-    side = (F.when(F.col("value") < F.col("lo"), F.lit(-1))
-            .when(F.col("value") > F.col("hi"), F.lit(1)).otherwise(F.lit(0)))
-    g = (j.select(*keys, "q", "n", "pos", "r_lo", "r_hi", side.alias("side"),
-                  F.when(side == 0, F.col("value")).alias("v"))
-         .groupBy(*keys, "q", "side", "v")
-         .agg(F.count(F.lit(1)).alias("cnt"), F.first("n").alias("n"), F.first("pos").alias("pos"),
-              F.first("r_lo").alias("r_lo"), F.first("r_hi").alias("r_hi")))
-    wk = Window.partitionBy(*keys, "q")
-    g = g.select("*",
-                 F.sum(F.when(F.col("side") == -1, F.col("cnt")).otherwise(0)).over(wk).alias("c_below"),
-                 F.sum(F.when(F.col("side") == 1, F.col("cnt")).otherwise(0)).over(wk).alias("c_above"))
-    inside = g.where(F.col("side") == 0)
-    w = wk.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (inside.withColumn("end", F.col("c_below") + F.sum("cnt").over(w))
-            .withColumn("start", F.col("end") - F.col("cnt")))
-
-
-def _pick(ranked: DataFrame, keys: list[str], with_ok: bool = False) -> DataFrame:
-    at_lo = (F.col("start") <= F.col("r_lo")) & (F.col("r_lo") < F.col("end"))
-    at_hi = (F.col("start") <= F.col("r_hi")) & (F.col("r_hi") < F.col("end"))
-    picked = ranked.groupBy(*keys, "q").agg(
-        F.max(F.when(at_lo, F.col("v"))).alias("v_lo"),
-        F.max(F.when(at_hi, F.col("v"))).alias("v_hi"),
-        F.first("pos").alias("pos"), F.first("r_lo").alias("r_lo"),
-        F.first((F.col("c_below") <= F.col("r_lo"))
-                & (F.col("n") - F.col("c_above") > F.col("r_hi"))).alias("ok"))
-    frac = F.col("pos") - F.col("r_lo")
-    return picked.select(*keys, "q",
-                         (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("value"),
-                         *(["ok"] if with_ok else []))
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"),
+        F.percentile_approx("value", F.array(*[F.lit(max(0.0, q - margin)) for q in qs]), accuracy).alias("alo"),
+        F.percentile_approx("value", F.array(*[F.lit(min(1.0, q + margin)) for q in qs]), accuracy).alias("ahi"))
+    each = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.get("alo", F.lit(i)).alias("lo"), F.get("ahi", F.lit(i)).alias("hi"))
+                     for i, q in enumerate(qs)])
+    pos = (F.col("n") - 1).cast("double") * F.col("q")
+    return (stats.select(*keys, "n", "vmin", "vmax", F.inline(each)).withColumn("pos", pos)
+            .select(*keys, "q", "pos", F.floor("pos").alias("r_lo"), F.ceil("pos").alias("r_hi"), "vmin", "vmax", "lo", "hi"))
+
+
+def _round(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """``targets`` with ``a`` and ``b``, the bins of their two ranks: (bin, least, greatest, rows before).
+
+    ``rows`` are (keys, q, lo, hi, value, weight), one per value and target.
+    """
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    low, high = F.least(F.abs(lo), F.abs(hi)), F.greatest(F.abs(lo), F.abs(hi))
+    # Brackets over zero are cut by sign, those over many magnitudes by logarithm, all others evenly.
+    by_log = F.try_divide(F.log(F.abs(v)) - F.log(low), F.log(high) - F.log(low))
+    evenly = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
+    share = (F.when((lo < 0) & (hi > 0), (F.signum(v) + 2) / 4).when((low > 0) & (high > 1e4 * low), F.when(lo > 0, by_log).otherwise(1 - by_log))
+             .otherwise(evenly))
+    share = F.nanvl(F.coalesce(share, F.lit(0.5)), F.lit(0.5))
+    inner = F.least(F.greatest(F.floor(share * BINS), F.lit(0)), F.lit(BINS - 1))
+    place = (F.when(v < lo, -1).when(v > hi, BINS).when(v == lo, 0).when(v == hi, BINS - 1).otherwise(inner)).cast("int")
+    bins = (rows.select(*keys, place.alias("bin"), "value", "weight").groupBy(*keys, "bin")
+            .agg(F.sum("weight").alias("rows"), F.min("value").alias("least"), F.max("value").alias("greatest")))
+    along = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS + 2 rows
+    ends = _same(bins.withColumn("end", F.sum("rows").over(along)), targets.select(*keys, "r_lo", "r_hi", "below"), keys)
+    ends = ends.withColumn("end", F.col("end") + F.col("below")).withColumn("start", F.col("end") - F.col("rows"))
+    here = F.struct("bin", "least", "greatest", "start")
+    found = ends.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("start") <= F.col(r)) & (F.col(r) < F.col("end")), here)).alias(side) for r, side in (("r_lo", "a"), ("r_hi", "b"))])
+    return _same(targets, found, keys, "left")
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
+                    group_cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Long table ``(group..., column, q, value)`` of exact interpolated quantiles."""
+    by = [*(group_cols or []), "column"]
+    keys = [*by, "q"]
+    values = _long(df, cols, by[:-1]).withColumn("weight", F.lit(1).cast("long"))
+    targets = cut_lineage(_targets(values, qs, by, accuracy).withColumn("below", F.lit(0).cast("long")))
+    rows = _same(values, targets.select(*keys, "lo", "hi"), by)
+    out, whole = None, False
+    while True:
+        seen = cut_lineage(_round(rows, targets, keys))
+        inside = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a.bin") >= 0) & (F.col("b.bin") < BINS)
+        known = inside & ((F.col("a.bin") != F.col("b.bin")) | (F.col("a.least") == F.col("a.greatest")))
+        v_lo, v_hi = F.col("a.greatest"), F.col("b.least")
+        value = F.when(v_lo == v_hi, v_lo).otherwise(v_lo + (F.col("pos") - F.col("r_lo")) * (v_hi - v_lo))
+        done = seen.where(known).select(*keys, value.alias("value"))
+        out = done if out is None else out.unionByName(done)
+        todo = seen.where(~known).withColumn("inside", inside)
+        if todo.isEmpty():
+            return out
+        kept = [*keys, "pos", "r_lo", "r_hi", "vmin", "vmax"]
+        missed = todo.where(~F.col("inside")).select(*kept, F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), "below")
+        if not whole and not missed.isEmpty():
+            # A first bracket missed its ranks: the whole range is sure to hold them.
+            rescued = _round(_same(values, missed.select(*keys, "lo", "hi"), by), missed, keys)
+            todo = todo.where("inside").drop("inside").unionByName(rescued, allowMissingColumns=True)
+        targets = cut_lineage(todo.select(*kept, F.col("a.least").alias("lo"), F.greatest("a.greatest", "b.greatest").alias("hi"),
+                                          F.col("a.start").alias("below")))
+        source = _same(values, targets.select(*keys, "lo", "hi"), by) if not whole else _same(
+            rows.drop("lo", "hi"), targets.select(*keys, "lo", "hi"), keys)
+        # From here on only values inside open brackets are read; a hot value is one row.
+        rows = cut_lineage(source.where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+                           .groupBy(*keys, "lo", "hi", "value").agg(F.sum("weight").alias("weight")))
+        whole = True
 
 
 def medians_row(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> DataFrame:

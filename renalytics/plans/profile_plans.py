@@ -10,6 +10,7 @@ from ..functions.spec import COHORT_SPEC
 from ..operators import features as FE
 from ..operators import profile as P
 from .base import patients, patients_raw, rhu, with_ctes
+from ..sources.tables import read_table
 from .registry import register
 
 RAW_TYPES = [("patient_id", "bigint"), ("age", "int"), ("gender", "string"),
@@ -211,3 +212,18 @@ def b13_correlation_matrix(spark, sf_dir):
 def b14_correlation_lower(spark, sf_dir):
     enc = FE.encode_features(patients(spark, sf_dir), COHORT_SPEC)
     return P.correlation_long(enc, CORR_COLS_NO_LEAK, lower_only=True)
+
+
+_LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register("b13_correlation_lineitem", "WITH base AS (SELECT 1)" + _corr_sql(_LINE_COLS, "lineitem", False))
+def b13_correlation_lineitem(spark, sf_dir):
+    """The correlation matrix of another, larger table."""
+    return P.correlation_long(read_table(spark, sf_dir, "lineitem", _LINE_COLS), _LINE_COLS)
+
+
+@register("b3_describe_lineitem", "WITH base AS (SELECT 1)" + _describe_sql(_LINE_COLS, "lineitem"))
+def b3_describe_lineitem(spark, sf_dir):
+    """Quartiles of columns with many distinct values."""
+    return P.describe(read_table(spark, sf_dir, "lineitem", _LINE_COLS), _LINE_COLS)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
 from ..functions import fixed
 from ..operators import staging as ST
+from ..session import shared_path
+from ..sources import io as IO
+from ..sources.cohort import cohort
 from .base import patients, patients_raw, rhu, with_ctes
 from .registry import register
 
@@ -16,6 +22,46 @@ def a1_load_patients(spark, sf_dir):
     return patients_raw(spark, sf_dir)
 
 
+def _survey_file(spark, sf_dir, bad=None):
+    """The cohort as a survey export: padded upper-case column names, a column of the drop list, text lines (CSV)."""
+    raw = cohort(spark, sf_dir)
+    cells = [F.when(F.col("patient_id") % bad == 0, F.lit("n/a")).otherwise(F.col(c).cast("string")) if bad and c == "age"
+             else F.col(c).cast("string") for c in raw.columns]
+    export = raw.select(*[x.alias(f" {c.upper()} ") for x, c in zip(cells, raw.columns, strict=True)], F.lit("2024").alias(" Timestamp"))
+    path = shared_path(spark, "survey")
+    export.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    schema = StructType([StructField(f" {f.name.upper()} ", f.dataType) for f in raw.schema.fields]
+                        + [StructField(" Timestamp", StringType())])
+    return path, schema
+
+
+@register("a1_a4_load_survey_csv", with_ctes(f"SELECT {_COLS} FROM cohort"))
+def a1_a4_load_survey_csv(spark, sf_dir):
+    """Names are normalised, the listed column goes, the target is there (A2-A4)."""
+    path, schema = _survey_file(spark, sf_dir)
+    return IO.load_patients(spark, path, "csv", schema)
+
+
+@register("a1_a4_load_survey_parquet", with_ctes(f"SELECT {_COLS} FROM cohort"))
+def a1_a4_load_survey_parquet(spark, sf_dir):
+    raw = cohort(spark, sf_dir)
+    path = shared_path(spark, "survey")
+    raw.select(*[F.col(c).alias(f" {c.upper()} ") for c in raw.columns], F.lit("2024").alias(" Timestamp")).write.parquet(path)
+    return IO.load_patients(spark, path)
+
+
+@register("a1_bad_records", with_ctes(
+    "SELECT patient_id, patient_id % 97 <> 0 AS accepted, (SELECT count(*) FROM cohort WHERE patient_id % 97 = 0) AS n_rejected FROM cohort"))
+def a1_bad_records(spark, sf_dir):
+    """Lines whose age is no number are set aside and counted; all others load."""
+    path, schema = _survey_file(spark, sf_dir, bad=97)
+    loaded, rejects, files = IO.load_tolerant(spark, path, "csv", schema)
+    rejected = rejects.select(F.split("line", ",")[0].cast("long").alias("patient_id"), F.lit(False).alias("accepted"))
+    both = loaded.select("patient_id", F.lit(True).alias("accepted")).unionByName(rejected)
+    total = files.agg(F.sum("n_rejected").alias("n_rejected"))  # one row
+    return both.join(F.broadcast(total), F.lit(True))
+
+
 @register("f1_median_fill", with_ctes(f"SELECT {_COLS} FROM patients", "patients"))
 def f1_median_fill(spark, sf_dir):
     return patients(spark, sf_dir)

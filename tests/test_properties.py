@@ -161,3 +161,23 @@ def test_grid_knn_dense_cluster_guard_equals_brute_force(spark):
            for r in KN.knn_table(vec, ["a", "b"], ["c", "d"], 5, max_cell=16).collect()}
     vecs = {r["gid"]: ((r["a"], r["b"], float(r["c"]), float(r["d"])), r["mult"]) for r in vec.collect()}
     assert got == _brute_knn(vecs, 5)
+
+
+def test_exact_quantiles_of_odd_columns(spark, monkeypatch):
+    """Distinct values, spread over all magnitudes, infinities, few values, and few bins, so that several rounds are needed."""
+    monkeypatch.setattr(Q, "BINS", 48)
+    rng = np.random.default_rng(2)
+    qs = [0.0, 0.5, 0.77]
+    odd = {"distinct": rng.permutation(3000).astype(float), "wide": 10.0 ** rng.uniform(-300, 300, 800) * rng.choice([-1, 1], 800),
+           "hot": np.repeat([1.0, 2.0, 2.5], [5, 4000, 6]), "two": np.array([1.0, 2.0]), "one": np.array([7.0]),
+           "ends": np.array([-np.inf, -1.7e308, 0.0, 1.7e308, np.inf, 3.0, 4.0])}
+    rows = [(None if name == "two" else name, float(v)) for name, vs in odd.items() for v in vs] + [("one", None), ("one", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {(r["g"], r["q"]): r["value"] for r in Q.exact_quantiles(df, ["x"], qs, ["g"], accuracy=50).collect()}
+    for name, vs in odd.items():
+        for q in qs:
+            s, at = np.sort(vs), q * (len(vs) - 1)
+            lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
+            want = lo if lo == hi else lo + (at - np.floor(at)) * (hi - lo)
+            assert got[(None if name == "two" else name), q] == pytest.approx(want, rel=1e-12), (name, q)
+    assert Q.exact_quantiles(df.where("false"), ["x"], qs).count() == 0
