@@ -51,7 +51,10 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
 def words_of(text: str) -> list[str]:
     """Runs of letters, lowered and marked at their beginning, long ones in parts."""
     found = []
-    for word in LETTERS.findall(text.lower()):
+    runs = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):  # other numerals, such as circled ones and fractions, are no letters
+        runs = [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    for word in runs:
         if len(word) <= PART:
             found.append(word)
         else:
@@ -211,6 +214,13 @@ def fit(path: str):
     return run
 
 
+def in_share(id_col: str, share: float) -> Column:
+    """Whether the 64-bit hash of an id lies in the first ``share`` of all hashes, however small that is."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(id_col) < F.lit(int(share * 2 ** 64) - 2 ** 63)
+
+
 def train(docs: DataFrame, keep: Column | None = None, max_rows: int = FIT_ROWS,
           tokenizer: str = VOCABULARY) -> LanguageModel:
     """Fit on about ``max_rows`` texts of each language in column lang that ``keep`` admits.
@@ -220,10 +230,10 @@ def train(docs: DataFrame, keep: Column | None = None, max_rows: int = FIT_ROWS,
     """
     usable = docs.where(F.col("lang").isNotNull()).where(keep if keep is not None else F.lit(True))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # texts are not read
-    share = F.lit(0)
+    chosen = F.lit(False)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, max_rows / n))).otherwise(share)
-    sample = usable.where(F.col("text").isNotNull()).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+        chosen = F.when(F.col("lang") == lang, in_share("doc_id", max_rows / n)).otherwise(chosen)
+    sample = usable.where(F.col("text").isNotNull()).where(chosen)
     return fit_on_sample(sample, fit(tokenizer_path(tokenizer)), "text", "lang")
 
 

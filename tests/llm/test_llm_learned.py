@@ -126,3 +126,14 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert toxicity.train(plain, labels).score("anything") == 0.5
     assert factorisation.train(plain, labels) is None
     assert langid.train(plain).predict(["some text"]) == (["und"], [0.0])
+
+
+def test_numerals_are_no_letters_and_tiny_shares_choose_rows(spark):
+    assert langid.words_of("①② ½ ² ٣ _ 12") == [] and langid.words_of("a①b ②c d½") == ["a", "b", "c", "d"]
+    ids = spark.range(200_000).toDF("doc_id")
+    for share in (0.5, 0.01, 0.0005):
+        n = ids.where(langid.in_share("doc_id", share)).count()
+        assert abs(n - share * 200_000) < 6 * (share * 200_000) ** 0.5
+    assert ids.where(langid.in_share("doc_id", 1.0)).count() == 200_000
+    tiny = langid.in_share("doc_id", 1500 / 10 ** 12)  # 1,500 of 10^12 texts: a threshold above the least hash
+    assert ids.where(tiny | langid.in_share("doc_id", 1e-9)).count() <= 1
