@@ -48,8 +48,9 @@ class Registry:
         return self.spark.read.schema(MANIFEST).parquet(path).where(F.col("key") == self.key)
 
     def path_of(self, member: str) -> str | None:
-        row = self.manifest().where(F.col("member") == member).orderBy("written", "path").first()
-        return row["path"] if row else None
+        """Where the member lies; a record whose folder was cleared away does not count."""
+        rows = self.manifest().where(F.col("member") == member).orderBy("written", "path").select("path").collect()
+        return next((r["path"] for r in rows if exists(self.spark, r["path"])), None)
 
     def _record(self, member: str, kind: str, path: str) -> None:
         row = self.spark.createDataFrame([(self.key, member, kind, path)], "key string, member string, kind string, path string")

@@ -81,6 +81,16 @@ def test_registry_resumes_with_what_was_recorded(spark, train, root, monkeypatch
         other.model("XGBoost")
 
 
+def test_registry_makes_a_table_again_whose_folder_is_gone(spark, root):
+    registry = Registry(spark, "folders", root=root)
+    assert registry.table("numbers", lambda: spark.range(3)).count() == 3
+    assert registry.table("numbers", lambda: spark.range(9)).count() == 3
+    old = registry.path_of("numbers")
+    path = spark._jvm.org.apache.hadoop.fs.Path(old)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    assert registry.table("numbers", lambda: spark.range(9)).count() == 9 and registry.path_of("numbers") != old
+
+
 def test_out_of_fold_scores_are_those_of_refitted_models(spark, train, root):
     """A fold fit equals a whole-table fit on the other folds, and the meta model of a fold sees no row of it."""
     run = run_of(spark, train, root)
