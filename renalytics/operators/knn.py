@@ -19,14 +19,19 @@ any iterative Spark algorithm):
 
 Ties are ordered by (squared distance rounded to 9 dp, neighbour group id).
 Work per round is bounded by the neighbourhoods, never by n^2.
+
+:func:`knn_outside_folds` finds the k nearest outside each fold in the same search: a neighbour
+whose copies all lie in one fold serves every other fold, any other neighbour serves all, so the
+k nearest of each such kind hold the k nearest outside every fold.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -55,19 +60,51 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
     ranks; a vector's own other copies come first at distance 0).  ``k`` is
     capped at ``total rows - 1`` (the usual library raises instead).
     """
+    found, pts, need = _search(points, cont, binary, k, gid, [mult], None, max_cell)
+    if found is None:
+        return points.sparkSession.createDataFrame([], f"{gid} long, j int, nb_gid long, d2 double")
+    return _expanded(found, pts, gid, mult, need[mult])
+
+
+def knn_outside_folds(points: DataFrame, cont: list[str], binary: list[str], k: int, outside: list[str],
+                      gid: str = "gid", max_cell: int = 4096) -> DataFrame:
+    """``(for_fold, gid, j, nb_gid, d2)``: nearest neighbours among the rows outside each fold, from one search.
+
+    ``outside`` names one column per fold: the copies of the vector outside that fold.  Vectors
+    without a copy outside a fold have no list for it; ``k`` is capped at that fold's rows - 1.
+    """
+    total = F.greatest(*[F.col(c) for c in outside]) if len(outside) > 1 else F.col(outside[0])
+    sole = F.lit(-1)  # the one fold that holds all copies, if any
+    for f, c in enumerate(outside):
+        sole = F.when(F.col(c) == 0, F.lit(f)).otherwise(sole)
+    found, pts, need = _search(points.where(total > 0), cont, binary, k, gid, outside, sole, max_cell)
+    schema = f"for_fold int, {gid} long, j int, nb_gid long, d2 double"
+    out = points.sparkSession.createDataFrame([], schema)
+    if found is None:
+        return out
+    for f, c in enumerate(outside):
+        if need[c] > 0:
+            out = out.unionByName(_expanded(found, pts, gid, c, need[c]).withColumn("for_fold", F.lit(f)))
+    return out
+
+
+def _search(points: DataFrame, cont: list[str], binary: list[str], k: int, gid: str, mults: list[str],
+            kind: Column | None, max_cell: int):
+    """Candidates that hold the nearest neighbours under every multiplicity column, the vectors, and k per column."""
     spark = points.sparkSession
     feats = cont + binary
     pats = binary[:PATTERN_COLUMNS]
-    pts = points.select(gid, mult, *[F.col(c).cast("double").alias(c) for c in feats],
-                        _pattern(pats).alias("pat"))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(mult).alias("rows")]
+    kind = F.lit(0) if kind is None else kind
+    pts = points.select(gid, *mults, *[F.col(c).cast("double").alias(c) for c in feats],
+                        _pattern(pats).alias("pat"), kind.alias("kind"))
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"rows_{m}") for m in mults]]
     for c in cont:
         aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
     st = pts.agg(*aggs).first()  # fitted bounds: one small job
-    k_eff = int(min(k, (st["rows"] or 0) - 1))
-    schema = f"{gid} long, j int, nb_gid long, d2 double"
+    need = {m: max(0, int(min(k, (st[f"rows_{m}"] or 0) - 1))) for m in mults}
+    k_eff = max(need.values())
     if k_eff <= 0:
-        return spark.createDataFrame([], schema)
+        return None, None, need
     ranges = [float(st[f"hi_{c}"] - st[f"lo_{c}"]) for c in cont]
     # the widest columns form the grid; the others only enter the distance, which stays exact
     axes = sorted(cont, key=lambda c: -ranges[cont.index(c)])[:GRID_COLUMNS]
@@ -92,15 +129,16 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
             break
         radius /= 4.0
     unresolved = pts
+    held = [f"h_{m}" for m in mults]
     parts: list[DataFrame] = []
     while True:  # the radius doubles, so some round covers the diameter and is the last
         last = radius * radius >= diameter2
         r2 = radius * radius
         cell = [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in axes]
-        grid = pts.select(F.col(gid).alias("h"), F.col(mult).alias("h_mult"),
+        grid = pts.select(F.col(gid).alias("h"), *[F.col(m).alias(f"h_{m}") for m in mults], "kind",
                           *[F.col(c).alias(f"h_{c}") for c in feats],
                           F.col("pat").alias("q"), *[v.alias(f"cell{i}") for i, v in enumerate(cell)])
-        probes = (unresolved.select(gid, mult, "pat", *[F.col(c).alias(f"g_{c}") for c in feats],
+        probes = (unresolved.select(gid, "pat", *[F.col(c).alias(f"g_{c}") for c in feats],
                                     *[v.alias(f"c{i}") for i, v in enumerate(cell)],
                                     F.explode(offsets).alias("off"))
                   .select("*", *[(F.col(f"c{i}") + F.col("off")[i]).alias(f"cell{i}")
@@ -108,38 +146,42 @@ def knn_table(points: DataFrame, cont: list[str], binary: list[str], k: int,
                   .join(F.broadcast(pattern_pairs.where(F.col("ham") <= F.lit(r2))), "pat"))
         cand = (probes.join(grid, [f"cell{i}" for i in range(len(axes))] + ["q"])
                 .where(F.col("h") != F.col(gid))
-                .select(gid, "h", "h_mult", _d2("g_", "h_", feats).alias("d2raw"))
+                .select(gid, "h", *held, "kind", _d2("g_", "h_", feats).alias("d2raw"))
                 .where(F.col("d2raw") <= F.lit(r2))
-                .select(gid, "h", "h_mult", X.round_half_up("d2raw", 9).alias("d2")))
-        # Only the k nearest of each vector are kept: the rank limit runs inside the tasks that join,
+                .select(gid, "h", *held, "kind", X.round_half_up("d2raw", 9).alias("d2")))
+        # Only the k nearest of each vector (and kind) are kept: the rank limit runs inside the tasks that join,
         # before the shuffle, and again after it.  They tell as well whether k lie within the radius.
-        nearest = Window.partitionBy(gid).orderBy("d2", "h")
+        nearest = Window.partitionBy(gid, "kind").orderBy("d2", "h")
         cand = cut_lineage(cand.withColumn("at", F.row_number().over(nearest))
-                           .where(F.col("at") <= k_eff).drop("at"))
+                           .where(F.col("at") <= k_eff).drop("at", "kind"))
         if last:
             parts.append(cand)
             break
-        have = cand.groupBy(gid).agg(F.sum("h_mult").alias("within"))
+        have = cand.groupBy(gid).agg(*[F.sum(f"h_{m}").alias(f"within_{m}") for m in mults])
+        enough = [(F.col(m) == 0) | ((F.coalesce(f"within_{m}", F.lit(0)) + F.col(m) - 1) >= need[m]) for m in mults]
         status = cut_lineage(                          # one small row per unresolved vector
-            unresolved.select(gid, mult).join(have, gid, "left").select(
-                gid, ((F.coalesce("within", F.lit(0)) + F.col(mult) - 1) >= k_eff).alias("done")))
+            unresolved.select(gid, *mults).join(have, gid, "left").select(
+                gid, reduce(lambda a, b: a & b, enough).alias("done")))
         parts.append(cand.join(status.where("done").select(gid), gid, "left_semi"))
         pending = status.where(~F.col("done")).select(gid)
         if pending.isEmpty():
             break
         unresolved = pts.join(pending, gid, "left_semi")
         radius *= 2.0
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    return reduce(DataFrame.unionByName, parts), pts, need
+
 
+def _expanded(found: DataFrame, pts: DataFrame, gid: str, mult: str, k: int) -> DataFrame:
+    """The k nearest rows of each vector under one multiplicity column, one row per rank."""
     own = pts.where(F.col(mult) > 1).select(gid, F.col(gid).alias("h"),
-                                            (F.col(mult) - 1).alias("h_mult"), F.lit(0.0).alias("d2"))
-    allc = found.unionByName(own)
+                                            (F.col(mult) - 1).alias("copies"), F.lit(0.0).alias("d2"))
+    bases = pts.where(F.col(mult) > 0).select(gid)
+    others = found.where(F.col(f"h_{mult}") > 0).select(gid, "h", F.col(f"h_{mult}").alias("copies"), "d2")
+    allc = others.join(bases, gid, "left_semi").unionByName(own)
     w = Window.partitionBy(gid).orderBy("d2", "h").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = allc.select("*", (F.sum("h_mult").over(w) - F.col("h_mult")).alias("before"))
-    kept = ranked.where(F.col("before") < k_eff)
+    ranked = allc.select("*", (F.sum("copies").over(w) - F.col("copies")).alias("before"))
+    kept = ranked.where(F.col("before") < k)
     return kept.select(gid, F.explode(F.sequence(F.col("before").cast("int"),
-                                                 F.least(F.col("before") + F.col("h_mult"),
-                                                         F.lit(k_eff)).cast("int") - 1)).alias("j"),
+                                                 F.least(F.col("before") + F.col("copies"),
+                                                         F.lit(k)).cast("int") - 1)).alias("j"),
                        F.col("h").alias("nb_gid"), "d2")

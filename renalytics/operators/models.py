@@ -198,6 +198,53 @@ class Training:
             for f, m in enumerate(metas)])
 
 
+class InFoldTraining(Training):
+    """Cross-validation of the four single models with oversampling inside each fold (M8 option).
+
+    ``train`` has ``row_id``, features, label, ``fold``, ``for_fold`` and ``skip_<f>``, as :func:`in_fold_table` makes
+    them: real rows take part in every fit but that of their fold, synthetic ones only in the fit they were made for, and
+    only real rows are held out.  The stacked model would need synthetic rows inside inner folds and is refused.
+    """
+
+    def fits(self, inner: bool = False) -> list[B.Fit]:
+        if inner:
+            raise ValueError("oversampling inside folds has no inner folds")
+        return [B.Fit(f"{name}-{f}", ((1 + f, 1), (0, f)), **({"rounds": self.rounds, "step": STEP, "depth": DEPTH, "seed": SEED} | settings))
+                for name, settings in BOOSTED.items() for f in range(self.k)]
+
+    def grown(self, inner: bool = False) -> DataFrame:
+        def make() -> DataFrame:
+            thresholds = self.thresholds()
+            folds = ["fold", *(f"skip_{f}" for f in range(self.k))]
+            return B.grow(B.blocks(self.train, self.features, thresholds, self.label, folds, self.row_id), self.fits(inner), thresholds)
+        return self.registry.table("boosted-in-fold", make)
+
+    def _forest_folds(self) -> DataFrame:
+        with ThreadPoolExecutor(max_workers=self.k) as pool:
+            fitted = list(pool.map(lambda f: fit_pipeline(self.train.where((F.col(f"skip_{f}") == 0) & (F.col("fold") != f)),
+                                                          self.features, forest(self.n_trees, self.label)), range(self.k)))
+        rows = [m.transform(self.train.where(F.col("fold") == f)) for f, m in enumerate(fitted)]
+        return reduce(DataFrame.unionByName, [r.select(
+            F.lit(FOREST).alias("model"), F.col(self.row_id).alias("row_id"), "fold", F.col(self.label).alias("label"),
+            vector_to_array("probability")[1].alias("probability")) for r in rows])
+
+    def fold_predictions(self, names=(*BOOSTED, FOREST)) -> DataFrame:
+        if fixed.ENSEMBLE_NAME in names:
+            raise ValueError("the stacked model is not built with oversampling inside folds")
+        return super().fold_predictions(names)
+
+
+def in_fold_table(real: DataFrame, synthetic: DataFrame, features: list[str], k: int = fixed.CV_FOLDS) -> DataFrame:
+    """Rows for :class:`InFoldTraining` from real rows (row_id, features, label, fold) and synthetic ones (for_fold, ...).
+
+    Synthetic rows get ids below 0 that no other row has, and fold -1, so that none is ever held out.
+    """
+    rows = real.select("row_id", *features, "label", "fold", F.lit(-1).alias("for_fold")).unionByName(
+        synthetic.select((-(F.col("synthetic_id") * k + F.col("for_fold") + 1)).alias("row_id"), *features, "label",
+                         F.lit(-1).alias("fold"), "for_fold"))
+    return rows.select("*", *[((F.col("for_fold") >= 0) & (F.col("for_fold") != f)).cast("int").alias(f"skip_{f}") for f in range(k)])
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """Probability of class 1 and class at 0.5 (M9); works on batch and streams."""
     out = model.transform(df)

@@ -26,7 +26,7 @@ from .base import rhu, with_ctes
 from .fixture_models import LINEAR_CTES, scaled_split
 from .io_plans import _round_trip
 from .registry import register
-from .smote_plans import BINARY, CONT, FEATS
+from .smote_plans import BINARY, CONT, FEATS, folded_train
 
 _RUNS: dict = {}
 LABEL = "label"
@@ -190,6 +190,43 @@ def m8_fold_contract(spark, sf_dir):
                                      (F.count(F.lit(1)) == F.countDistinct("row_id")).alias("once"))
 
 
+def in_fold_training(spark, sf_dir) -> MD.InFoldTraining:
+    """The cross-validation of these tables with oversampling inside each fold."""
+    key = (spark.sparkContext.applicationId, tables_version(spark, sf_dir), "in-fold")
+    if key not in _RUNS:
+        registry = Registry(spark, REGISTRY_VERSION, key[1], key[2], FEATS, MD.BOOSTED, MD.ROUNDS, MD.STEP, MD.DEPTH, MD.N_TREES, MD.SEED)
+
+        def make():
+            real = folded_train(spark, sf_dir)
+            syn = SM.smote_in_folds(real, CONT, BINARY, "ckd_diagnosis", "patient_id")
+            label = F.col("ckd_diagnosis").cast("double").alias(LABEL)
+            return MD.in_fold_table(real.select(F.col("patient_id").alias("row_id"), *FEATS, label, "fold"),
+                                    syn.select("for_fold", "synthetic_id", *FEATS, label), FEATS)
+        _RUNS[key] = MD.InFoldTraining(registry.table("training", make), FEATS, registry)
+    return _RUNS[key]
+
+
+@register("m8_cv_recall_in_fold_oversampling")
+def m8_cv_recall_in_fold_oversampling(spark, sf_dir):
+    """CV recall of the single models where each fold is oversampled without the rows it validates on."""
+    return EV.cv_recall(in_fold_training(spark, sf_dir).fold_predictions())
+
+
+_SINGLE_SQL = "(SELECT unnest([" + ", ".join(f"'{m}'" for m in (*MD.BOOSTED, MD.FOREST)) + "]) AS model)"
+
+
+@register("m8_in_fold_contract", with_ctes(f"""
+SELECT model, count(*) AS n_held_out, count(*) FILTER (WHERE ckd_diagnosis = 1) AS n_positive, 5 AS n_folds, TRUE AS once
+FROM split CROSS JOIN {_SINGLE_SQL} m WHERE split = 'train' AND ckd_diagnosis IS NOT NULL GROUP BY model
+""", "split"))
+def m8_in_fold_contract(spark, sf_dir):
+    """Every single model holds out every real training row once, and no synthetic row."""
+    rows = in_fold_training(spark, sf_dir).fold_predictions().where("probability IS NOT NULL")
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n_held_out"), F.count_if(F.col("label") == 1).alias("n_positive"),
+                                     F.countDistinct("fold").cast("int").alias("n_folds"),
+                                     (F.count(F.lit(1)) == F.countDistinct("row_id")).alias("once"))
+
+
 @register("e6_fitted_comparison_with_cv")
 def e6_fitted_comparison_with_cv(spark, sf_dir):
     """Validation metrics of the fitted models joined with their CV recall, through the result-table sink."""

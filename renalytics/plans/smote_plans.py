@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import knn as KN
 from ..operators import smote as SM
+from ..operators import split as SP
 from .base import rhu, with_ctes
 from .fixture_models import LINEAR_CTES, scaled_split
 from .registry import register
@@ -85,3 +86,65 @@ def f12_class_balance(spark, sf_dir):
     syn = SM.smote(train, CONT, BINARY, "ckd_diagnosis", "patient_id")
     after = SM.oversample(train.drop("patient_id"), syn, "ckd_diagnosis")
     return SM.class_balance(train, after, "ckd_diagnosis")
+
+
+# M8 with oversampling inside the fold -----------------------------------------
+def folded_train(spark, sf_dir):
+    """Labelled training rows with their fold."""
+    return SP.kfold_assign(_train(spark, sf_dir).where(F.col("ckd_diagnosis").isNotNull()))
+
+
+def _draw_sql(what: str) -> str:
+    return ("('0x' || substr(md5('42|smote|' || CAST(p.for_fold AS VARCHAR) || '|' || CAST(s.i AS VARCHAR) || "
+            f"'|{what}'), 1, 15))::BIGINT")
+
+
+_IN_FOLD_CTES = dict(_SMOTE_CTES, **{
+    "fo": "SELECT *, CAST((row_number() OVER (PARTITION BY ckd_diagnosis ORDER BY kh, patient_id) - 1) % 5 AS INTEGER) AS fold "
+          "FROM (SELECT *, ('0x' || substr(md5('42|kfold|' || CAST(patient_id AS VARCHAR)), 1, 15))::BIGINT AS kh FROM tr "
+          "WHERE ckd_diagnosis IS NOT NULL) t",
+    "ff": "SELECT CAST(range AS INTEGER) AS for_fold FROM range(5)",
+    "fparams": "SELECT f.for_fold, count(*) FILTER (WHERE ckd_diagnosis = minority) AS m, "
+               "least(5, count(*) FILTER (WHERE ckd_diagnosis = minority) - 1) AS k, "
+               "CAST(floor(0.6e0 * count(*) FILTER (WHERE ckd_diagnosis <> minority)) AS BIGINT) - "
+               "count(*) FILTER (WHERE ckd_diagnosis = minority) AS n_syn "
+               "FROM fo, ff f, params WHERE fo.fold <> f.for_fold GROUP BY f.for_fold",
+    "fmino": "SELECT f.for_fold, fo.*, v.gid FROM ff f JOIN fo ON fo.fold <> f.for_fold JOIN vec v ON "
+             + " AND ".join(f"fo.{c} = v.{c}" for c in FEATS) + " , params WHERE fo.ckd_diagnosis = params.minority",
+    "fvec": "SELECT for_fold, gid, count(*) AS copies FROM fmino GROUP BY 1, 2",
+    "fpairs": f"SELECT x.for_fold, x.gid, y.gid AS nb_gid, y.copies, {rhu(_D2, 9)} AS d2 FROM fvec x JOIN fvec y "
+              "ON x.for_fold = y.for_fold AND x.gid <> y.gid JOIN vec a ON a.gid = x.gid JOIN vec b ON b.gid = y.gid "
+              "UNION ALL SELECT for_fold, gid, gid, copies - 1, 0e0 FROM fvec WHERE copies > 1",
+    "frk": "SELECT *, sum(copies) OVER (PARTITION BY for_fold, gid ORDER BY d2, nb_gid ROWS UNBOUNDED PRECEDING) - copies AS before "
+           "FROM fpairs",
+    "fknn": "SELECT r.for_fold, gid, CAST(unnest(range(CAST(before AS BIGINT), CAST(least(before + copies, p.k) AS BIGINT))) AS INTEGER) "
+            "AS j, nb_gid, d2 FROM frk r JOIN fparams p ON p.for_fold = r.for_fold WHERE before < p.k",
+    "fidx": "SELECT *, row_number() OVER (PARTITION BY for_fold ORDER BY sh, patient_id) - 1 AS idx FROM (SELECT *, "
+            "('0x' || substr(md5('42|smote|' || CAST(patient_id AS VARCHAR)), 1, 15))::BIGINT AS sh FROM fmino) t",
+    "fsyn": f"SELECT p.for_fold, s.i AS synthetic_id, {_draw_sql('base')} % p.m AS idx, CAST({_draw_sql('nn')} % p.k AS INTEGER) AS j, "
+            f"CAST({_draw_sql('gap')} AS DOUBLE) / 1152921504606846976e0 AS gap "
+            "FROM fparams p, (SELECT range AS i FROM range((SELECT max(n_syn) FROM fparams))) s WHERE s.i < p.n_syn",
+})
+
+
+@register("m8_knn_outside_folds", with_ctes("SELECT * FROM fknn", "enc_split", extra=_IN_FOLD_CTES))
+def m8_knn_outside_folds(spark, sf_dir):
+    """The five nearest minority neighbours outside each fold, all folds from one search."""
+    train = folded_train(spark, sf_dir)
+    counts = SM.class_counts(train, "ckd_diagnosis")
+    mino = train.where(F.col("ckd_diagnosis") == min(counts, key=lambda c: (counts[c], c)))
+    outside = [f"out_{f}" for f in range(5)]
+    vectors = mino.groupBy(*FEATS).agg(F.min("patient_id").alias("gid"), *[
+        F.count_if(F.col("fold") != f).alias(c) for f, c in enumerate(outside)])
+    return KN.knn_outside_folds(vectors, CONT, BINARY, 5, outside)
+
+
+@register("m8_smote_in_folds", with_ctes(
+    "SELECT s.for_fold, s.synthetic_id, i.gid AS base_gid, n.nb_gid, "
+    + ", ".join(f"{rhu(f'i.{c} + s.gap * (v.{c} - i.{c})', 6)} AS {c}" for c in FEATS) + ", i.ckd_diagnosis FROM fsyn s "
+    "JOIN fidx i ON i.for_fold = s.for_fold AND i.idx = s.idx JOIN fknn n ON n.for_fold = s.for_fold AND n.gid = i.gid AND n.j = s.j "
+    "JOIN vec v ON v.gid = n.nb_gid", "enc_split", extra=_IN_FOLD_CTES))
+def m8_smote_in_folds(spark, sf_dir):
+    """Synthetic rows for each fold, made of rows outside it."""
+    syn = SM.smote_in_folds(folded_train(spark, sf_dir), CONT, BINARY, "ckd_diagnosis", "patient_id")
+    return syn.select("for_fold", "synthetic_id", "base_gid", "nb_gid", *[X.round_half_up(c, 6).alias(c) for c in FEATS], "ckd_diagnosis")

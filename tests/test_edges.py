@@ -113,3 +113,49 @@ def test_stream_guidance_keeps_no_state(spark, tmp_path):
     assert not query.lastProgress["stateOperators"]
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == raw.count() and out.where(F.col("guidance") != "").count() == raw.count()
+
+
+def test_knn_outside_folds_equals_brute_force(spark):
+    """Copies, vectors whose copies all lie in one fold, and a near cluster that lies in one fold whole."""
+    rng = random.Random(5)
+    rows = []  # (id, fold, a, b)
+    for i in range(60):
+        a, b = (rng.gauss(0, 0.01), 0.0) if i < 25 else (rng.choice([1.0, 2.0, 3.5, 9.0]), float(rng.random() < 0.5))
+        rows.append((i, 0 if i < 25 else rng.randrange(3), a, b))
+    vectors = {}
+    for i, f, a, b in rows:
+        vectors.setdefault((a, b), []).append((i, f))
+    gid = {v: min(i for i, _f in m) for v, m in vectors.items()}
+    table = [(gid[v], *[sum(f != g for _i, f in m) for g in range(3)], *v) for v, m in vectors.items()]
+    df = spark.createDataFrame(table, "gid long, o0 long, o1 long, o2 long, a double, b double")
+    got = {(r["for_fold"], r["gid"], r["j"]): r["nb_gid"]
+           for r in KN.knn_outside_folds(df, ["a"], ["b"], 4, ["o0", "o1", "o2"], max_cell=8).collect()}
+    want = {}
+    for g in range(3):
+        for v, members in vectors.items():
+            if all(f == g for _i, f in members):
+                continue
+            near = []
+            for w, others in vectors.items():
+                copies = sum(f != g for _i, f in others) - (v == w)
+                near += [(round(sum((x - y) ** 2 for x, y in zip(v, w)), 9), gid[w])] * copies
+            want |= {(g, gid[v], j): h for j, (_d, h) in enumerate(sorted(near)[:4])}
+    assert got == want
+
+
+def test_smote_in_folds_never_reads_the_fold_it_is_for(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(3), int(i % 5 == 0), rng.random(), float(rng.random() < 0.4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, fold int, y int, a double, b double")
+    syn = SM.smote_in_folds(df, ["a"], ["b"], "y", "id", n_folds=3).collect()
+    fold = {i: f for i, f, *_ in rows}
+    assert {r["for_fold"] for r in syn} == {0, 1, 2}
+    assert all(fold[r["base_gid"]] != r["for_fold"] and fold[r["nb_gid"]] != r["for_fold"] for r in syn)  # all vectors differ
+    for f in range(3):
+        m = sum(y for _i, g, y, *_ in rows if g != f)
+        rest = sum(1 - y for _i, g, y, *_ in rows if g != f)
+        assert sorted(r["synthetic_id"] for r in syn if r["for_fold"] == f) == list(range(int(0.6 * rest) - m))
+    one = df.where("y = 0")
+    assert SM.smote_in_folds(one, ["a"], ["b"], "y", "id", n_folds=3).count() == 0
+    with pytest.raises(ValueError):
+        SM.smote_in_folds(df.withColumn("a", F.when(F.col("id") != 5, F.col("a"))), ["a"], ["b"], "y", "id", n_folds=3)

@@ -148,3 +148,27 @@ def test_tree_attributions(spark, train, root, name):
         for r in j.head(3).to_dict("records"):
             want = brute_shap([r[c] for c in FEATURES], leaves, len(FEATURES))
             assert [r[f"shap__{c}"] for c in FEATURES] == pytest.approx(want, abs=1e-10)
+
+
+def test_oversampling_inside_folds(spark, train, root):
+    """Synthetic rows are held out nowhere, and a fold's fit equals one on just the rows it may see."""
+    real = train.select("row_id", *FEATURES, "label", "fold")
+    syn = real.where("label = 1").limit(60).select((F.col("fold") + 1).alias("near"), F.col("row_id").alias("synthetic_id"), *FEATURES, "label")
+    syn = syn.select(F.expr("cast(near % 5 as int)").alias("for_fold"), "synthetic_id", *FEATURES, "label")
+    table = MD.in_fold_table(real, syn, FEATURES).persist()
+    assert table.select("row_id").distinct().count() == table.count()
+    run = MD.InFoldTraining(table, FEATURES, Registry(spark, "in-fold", root=root), rounds=4, n_trees=5)
+    held = run.fold_predictions()
+    n = real.count()
+    assert {(r["model"], r["n"], r["ids"]) for r in held.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("ids")).collect()} == {(m, n, n) for m in (*MD.BOOSTED, MD.FOREST)}
+    assert held.where("row_id < 0").count() == 0
+    # fold 2 alone: its own table with only the rows that its fit may see
+    alone = table.where("skip_2 = 0").withColumn("fold", F.when(F.col("fold") == 2, 2).otherwise(-1))
+    only = MD.InFoldTraining(alone, FEATURES, Registry(spark, "alone", root=root), rounds=4, n_trees=5)
+    only.thresholds = run.thresholds  # the bins are those of the whole table
+    a = {r["row_id"]: r["p_xgb"] for r in run.held_out().where("fold = 2").collect()}
+    b = {r["row_id"]: r["p_xgb"] for r in only.held_out().where("fold = 2").collect()}
+    assert a == b and a
+    with pytest.raises(ValueError):
+        run.fold_predictions((fixed.ENSEMBLE_NAME,))
