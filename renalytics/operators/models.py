@@ -22,12 +22,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
 from ..functions.spec import COHORT_SPEC, ColumnSpec
+from ..session import shared_path
 from . import boosting as B
 from .model_registry import Registry, exists
 from .split import kfold_assign
@@ -61,6 +62,16 @@ def fit_pipeline(train: DataFrame, feature_order: list[str], estimator) -> Pipel
     return Pipeline(stages=[assembler(feature_order), estimator]).fit(train)
 
 
+def plain(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, by way of shared storage.
+
+    A summary holds the session, which cannot be sent to tasks once it has observed metrics (:mod:`.observed`).
+    """
+    path = shared_path(SparkSession.active(), "fitted")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def with_folds(df: DataFrame, spec: ColumnSpec = COHORT_SPEC, k: int = fixed.CV_FOLDS) -> DataFrame:
     """``fold`` and, for the rows outside outer fold f, ``inner_<f>``: stratified folds of what is left of it.
 
@@ -183,7 +194,7 @@ class Training:
         with ThreadPoolExecutor(max_workers=self.k) as pool:
             fitted = list(pool.map(lambda f: fit_pipeline(self.train.where(F.col("fold") != f), self.features, forest(self.n_trees, self.label)),
                                    range(self.k)))
-        rows = [m.transform(self.train.where(F.col("fold") == f)) for f, m in enumerate(fitted)]
+        rows = [m.transform(self.train.where(F.col("fold") == f)) for f, m in enumerate(map(plain, fitted))]
         return reduce(DataFrame.unionByName, [r.select(
             F.lit(FOREST).alias("model"), F.col(self.row_id).alias("row_id"), "fold", F.col(self.label).alias("label"),
             vector_to_array("probability")[1].alias("probability")) for r in rows])
@@ -195,7 +206,7 @@ class Training:
             metas = list(pool.map(lambda f: self._meta(inner.where(F.col("outer") == f)), range(self.k)))
         return reduce(DataFrame.unionByName, [m.transform(outer.where(F.col("fold") == f)).select(
             F.lit(fixed.ENSEMBLE_NAME).alias("model"), "row_id", "fold", "label", vector_to_array("probability")[1].alias("probability"))
-            for f, m in enumerate(metas)])
+            for f, m in enumerate(map(plain, metas))])
 
 
 class InFoldTraining(Training):
@@ -223,7 +234,7 @@ class InFoldTraining(Training):
         with ThreadPoolExecutor(max_workers=self.k) as pool:
             fitted = list(pool.map(lambda f: fit_pipeline(self.train.where((F.col(f"skip_{f}") == 0) & (F.col("fold") != f)),
                                                           self.features, forest(self.n_trees, self.label)), range(self.k)))
-        rows = [m.transform(self.train.where(F.col("fold") == f)) for f, m in enumerate(fitted)]
+        rows = [m.transform(self.train.where(F.col("fold") == f)) for f, m in enumerate(map(plain, fitted))]
         return reduce(DataFrame.unionByName, [r.select(
             F.lit(FOREST).alias("model"), F.col(self.row_id).alias("row_id"), "fold", F.col(self.label).alias("label"),
             vector_to_array("probability")[1].alias("probability")) for r in rows])

@@ -11,7 +11,10 @@ taken per row by sorting a fixed-size array — no explode, window or join.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +82,19 @@ def score_patients(df: DataFrame, art: ScoringArtefacts, threshold: float = fixe
     shap = [(F.lit(float(art.weights[c])) * (F.col(_x(c)) - F.lit(art.means[c]))).alias(_s(c))
             for c in art.features]
     scored = x.select("*", margin.alias("margin"), *shap)
-    p = sigmoid(F.col("margin"))
-    female = X.is_female(spec.gender)
-    egfr = X.egfr_ckd_epi(spec.creatinine, spec.age, female)
-    scored = scored.select("*", p.alias("probability"),
-                           (p > F.lit(threshold)).cast("int").alias("prediction"),
-                           X.risk_band(p, "left").alias("risk_category"),
-                           egfr.alias("egfr_estimated"))
+    return clinical_columns(scored, sigmoid(F.col("margin")), spec, threshold)
+
+
+SCORED = ["probability", "prediction", "risk_category", "egfr_estimated", "ckd_stage", "stage_description"]
+
+
+def clinical_columns(df: DataFrame, p: Column, spec: ColumnSpec, threshold: float) -> DataFrame:
+    """Probability, class, band, eGFR and stage beside the raw columns."""
+    egfr = X.egfr_ckd_epi(spec.creatinine, spec.age, X.is_female(spec.gender))
+    scored = df.select("*", p.alias("probability"),
+                       (p > F.lit(threshold)).cast("int").alias("prediction"),
+                       X.risk_band(p, "left").alias("risk_category"),
+                       egfr.alias("egfr_estimated"))
     stage = X.egfr_stage("egfr_estimated")
     positive = F.col("prediction") == 1
     return scored.select(
@@ -95,6 +104,22 @@ def score_patients(df: DataFrame, art: ScoringArtefacts, threshold: float = fixe
          .otherwise(F.lit(fixed.NO_CKD_DESCRIPTION)).alias("stage_description"))
 
 
+def score_fitted(df: DataFrame, art: ScoringArtefacts, model: PipelineModel, threshold: float = fixed.DECISION_THRESHOLD) -> DataFrame:
+    """The raw columns with what a fitted pipeline makes of them (R4); rows only, so it runs on batches and streams.
+
+    The features are encoded, imputed and scaled as in training.  A row with a NULL or NaN feature left is kept with NULL
+    probability, class and band.  Input columns named like an added one are replaced.
+    """
+    raw = df.drop(*[c for c in df.columns if c in SCORED])
+    x = model_inputs(raw, art)
+    known = [F.col(_x(c)).isNotNull() & ~F.isnan(_x(c)) for c in art.features]
+    packed = x.select(F.struct(*raw.columns).alias("raw"), reduce(lambda a, b: a & b, known).alias("known"),
+                      *[F.coalesce(F.nanvl(_x(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in art.features])
+    scored = model.transform(packed)
+    p = F.when(F.col("known"), vector_to_array("probability")[1])
+    return clinical_columns(scored.select("raw.*", p.alias("__p")), F.col("__p"), art.spec, threshold).drop("__p")
+
+
 def _names(arr: Column, positive: bool) -> Column:
     kept = F.filter(arr, (lambda s: s["shap"] > 0) if positive else (lambda s: s["shap"] < 0))
     return F.array_join(F.transform(kept, lambda s: X.display_name_expr(s["feature"])), ", ")

@@ -88,6 +88,11 @@ def stratified_split(df: DataFrame, spec: ColumnSpec = COHORT_SPEC, seed: int =
 def split_sizes(split_df: DataFrame, spec: ColumnSpec = COHORT_SPEC) -> DataFrame:
     """Rows per (split, class) and the class share within each split."""
     counts = split_df.groupBy("split", spec.target).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return shares(counts)
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """Class share within each split, of a few rows of counts."""
     total = F.sum("n").over(Window.partitionBy("split"))
     return counts.withColumn("share", X.round_half_up(X.safe_ratio("n", total), 6))
 

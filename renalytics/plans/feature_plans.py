@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.spec import COHORT_SPEC
 from ..operators import features as FE
+from ..operators import observed as OB
+from ..session import shared_path
 from .base import FEATURES, encoded_split, patients, rhu, with_ctes
 from .registry import register
 
@@ -31,6 +33,15 @@ def f4b_unmapped_audit(spark, sf_dir):
     return FE.unmapped_audit(patients(spark, sf_dir), COHORT_SPEC)
 
 
+@register("f4b_unmapped_audit_on_write", with_ctes(_F4B, "patients"))
+def f4b_unmapped_audit_on_write(spark, sf_dir):
+    """The same counts, observed while the table is written."""
+    raw = patients(spark, sf_dir)
+    audit = OB.unmapped_counts(raw, COHORT_SPEC)
+    seen = OB.write_counted(raw, shared_path(spark, "patients"), audit)
+    return spark.createDataFrame([(c, seen[c]) for c in audit], "column string, n_unmapped long")
+
+
 @register("f5_select_features", with_ctes(
     f"SELECT patient_id, {', '.join(FEATURES)}, ckd_diagnosis FROM encoded", "encoded"))
 def f5_select_features(spark, sf_dir):

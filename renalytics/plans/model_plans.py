@@ -20,10 +20,12 @@ from ..operators import models as MD
 from ..operators import smote as SM
 from ..operators import tree_shap as TS
 from ..operators.model_registry import Registry
+from ..operators.scoring import SCORED, score_fitted
 from ..session import shared_path
 from ..sources.tables import tables_version
-from .base import rhu, with_ctes
-from .fixture_models import LINEAR_CTES, scaled_split
+from ..streaming import fitted_stream as FS
+from .base import patients_raw, rhu, with_ctes
+from .fixture_models import LINEAR_CTES, fixture_artefacts, scaled_split
 from .io_plans import _round_trip
 from .registry import register
 from .smote_plans import BINARY, CONT, FEATS, folded_train
@@ -259,6 +261,19 @@ def _explained_model(spark, sf_dir):
     return name, run.model(name)
 
 
+@register("r4s_fitted_stream_contract", with_ctes("SELECT patient_id, 1 AS n_rows, TRUE AS same FROM cohort"))
+def r4s_fitted_stream_contract(spark, sf_dir):
+    """Every raw patient, streamed through the selected model into the batch sink, is there once and scored as in batch."""
+    _name, model = _explained_model(spark, sf_dir)
+    art, raw, base = fixture_artefacts(spark, sf_dir), patients_raw(spark, sf_dir), shared_path(spark, "fitted-stream")
+    raw.write.parquet(f"{base}/in")
+    FS.start_fitted_scoring(spark, f"{base}/in", raw.schema, art, model, f"{base}/out", f"{base}/stream", files_per_batch=4).awaitTermination()
+    batch = score_fitted(raw, art, model).select("patient_id", F.struct(*SCORED).alias("batch_row"))
+    streamed = FS.scored_rows(spark, f"{base}/out").groupBy("patient_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_rows"), F.first(F.struct(*SCORED)).alias("stream_row"))
+    return batch.join(streamed, "patient_id", "left").select("patient_id", "n_rows", F.col("batch_row").eqNullSafe(F.col("stream_row")).alias("same"))
+
+
 @register("x10_feature_importance")
 def x10_feature_importance(spark, sf_dir):
     name, model = _explained_model(spark, sf_dir)

@@ -8,7 +8,9 @@ from ..functions import fixed
 from ..functions.exprs import display_name
 from ..functions.spec import COHORT_SPEC
 from ..operators import features as FE
+from ..operators import observed as OB
 from ..operators import profile as P
+from ..session import shared_path
 from .base import patients, patients_raw, rhu, with_ctes
 from ..sources.tables import read_table
 from .registry import register
@@ -38,6 +40,14 @@ def b1_null_counts(spark, sf_dir):
     return P.null_counts(patients_raw(spark, sf_dir))
 
 
+@register("b1_null_counts_on_write", with_ctes(_B1))
+def b1_null_counts_on_write(spark, sf_dir):
+    """The same counts, observed while the table is written."""
+    raw = patients_raw(spark, sf_dir)
+    seen = OB.write_counted(raw, shared_path(spark, "patients"), OB.null_counts(raw))
+    return spark.createDataFrame([(c, seen[c]) for c in raw.columns if seen[c] > 0], "column string, n_null long")
+
+
 # B2 -------------------------------------------------------------------------
 _B2 = " UNION ALL ".join(
     f"SELECT {i} AS ordinal, '{c}' AS column, '{t}' AS dtype, CAST(count({c}) AS BIGINT) AS non_null, "

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import observed as OB
 from ..operators import split as SP
+from ..session import shared_path
 from .base import encoded_split, patients, rhu, split_patients, with_ctes
 from .registry import register
 
@@ -15,9 +17,20 @@ def f6_stratified_split(spark, sf_dir):
     return split_patients(spark, sf_dir).select("patient_id", "ckd_diagnosis", "split")
 
 
-@register("f7_split_sizes", with_ctes(
-    f"SELECT split, ckd_diagnosis, n, {rhu('CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY split)', 6)} AS share "
-    "FROM (SELECT split, ckd_diagnosis, CAST(count(*) AS BIGINT) AS n FROM split GROUP BY 1, 2) t", "split"))
+_F7 = (f"SELECT split, ckd_diagnosis, n, {rhu('CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY split)', 6)} AS share "
+       "FROM (SELECT split, ckd_diagnosis, CAST(count(*) AS BIGINT) AS n FROM split GROUP BY 1, 2) t")
+
+
+@register("f7_split_sizes_on_write", with_ctes(_F7, "split"))
+def f7_split_sizes_on_write(spark, sf_dir):
+    """The same counts, observed while the split table is written; the classes are 0, 1 and NULL."""
+    wanted = OB.class_counts("ckd_diagnosis", [0, 1, None], "split", ["train", "validation", "test"])
+    seen = OB.write_counted(split_patients(spark, sf_dir), shared_path(spark, "split"), wanted)
+    rows = spark.createDataFrame([(g, c, seen[g, c]) for g, c in wanted if seen[g, c]], "split string, ckd_diagnosis int, n long")
+    return SP.shares(rows)
+
+
+@register("f7_split_sizes", with_ctes(_F7, "split"))
 def f7_split_sizes(spark, sf_dir):
     return SP.split_sizes(split_patients(spark, sf_dir))
 
