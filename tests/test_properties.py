@@ -181,3 +181,26 @@ def test_exact_quantiles_of_odd_columns(spark, monkeypatch):
             want = lo if lo == hi else lo + (at - np.floor(at)) * (hi - lo)
             assert got[(None if name == "two" else name), q] == pytest.approx(want, rel=1e-12), (name, q)
     assert Q.exact_quantiles(df.where("false"), ["x"], qs).count() == 0
+
+
+def test_values_of_a_quantile_are_not_gathered_by_column(spark, monkeypatch):
+    """The brackets come to the values, so that no task gets a whole column."""
+    plans, inner = [], Q._round
+
+    def watched(rows, targets, keys):
+        rows.groupBy().count().collect()
+        seen = rows.select("value", "lo")
+        seen.collect()
+        plans.append(seen._jdf.queryExecution().executedPlan().toString())
+        return inner(rows, targets, keys)
+
+    monkeypatch.setattr(Q, "_round", watched)
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") % 9973).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table whose estimated size is above it
+    try:
+        got = {(r["column"], r["q"]): r["value"] for r in Q.exact_quantiles(df, ["x", "y"], [0.25, 0.5]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got["y", 0.5] == 3.0 and len(got) == 4
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
