@@ -122,3 +122,16 @@ def test_better_than_the_share_and_odd_tables(spark, train):
     assert all(r["value"][1] > 5 or r["tree"] > 0 for r in trees)  # one class only: all the odds there are
     with pytest.raises(ValueError):
         B.grow(B.blocks(train.where("false"), FEATS, thresholds, "y", ["fold"], "id"), fits(2), thresholds)
+
+
+def test_partitions_do_not_make_blocks_and_equal_codes_are_kept_once(train):
+    """A table of few rows is one block however it is dealt, and rows with equal codes share a vector."""
+    thresholds = B.fit_bins(train, FEATS)
+    twice = train.unionByName(train.withColumn("id", F.col("id") + 700)).repartition(9)
+    table = B.blocks(twice, FEATS, thresholds, "y", ["fold"], "id")
+    row = table.collect()
+    assert len(row) == 1 and row[0]["n"] == 1400 and row[0]["vectors"] <= 700
+    many = B.blocks(twice, FEATS, thresholds, "y", ["fold"], "id", 100)
+    trees = [{(r["fit"], r["tree"]): (r["feature"], r["bin"], r["value"]) for r in B.grow(t, fits(4), thresholds).where("tree >= 0").collect()}
+             for t in (table, many)]
+    assert many.count() > 1 and trees[0] == trees[1]
