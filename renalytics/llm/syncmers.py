@@ -50,7 +50,8 @@ def words(text: Column) -> Column:
 
 def characters(text: Column) -> Column:
     """Non-blank code points of a text, in order."""
-    return F.filter(F.split(F.translate(text, BLANKS + " ", ""), ""), lambda c: c != "")
+    return _let(F.translate(text, BLANKS + " ", ""),
+                lambda kept: F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, "")))
 
 
 def symbols(text: Column) -> Column:
@@ -58,8 +59,8 @@ def symbols(text: Column) -> Column:
     return _let(words(text), lambda w: F.when(F.length(text) > RARE_BLANKS * F.size(w), characters(text)).otherwise(w))
 
 
-def closed_syncmers(words: Column, k: int = K, s: int = S) -> Column:
-    """Packed anchors of a symbol array in text order; the whole array is the anchor if it has none."""
+def _anchors(words: Column, k: int, s: int, offset: Column) -> Column:
+    """Packed anchors of a symbol array in text order; places count from ``offset``."""
     w = k - s + 1
 
     def chosen(inner: Column) -> Column:
@@ -67,30 +68,65 @@ def closed_syncmers(words: Column, k: int = K, s: int = S) -> Column:
             return F.get(inner, i + j)
 
         def pick(x, i):
+            # Beyond the last k-mer ``last`` is null, so neither side holds.
             last = at(i, w - 1)
-            first_least = reduce(lambda a, b: a & b, [x <= at(i, j) for j in range(1, w)])
-            last_least = reduce(lambda a, b: a & b, [last <= at(i, j) for j in range(w - 1)])
-            hashed = F.xxhash64(*[at(i, j) for j in sorted({*range(0, w - 1, s), w - 1})])
-            return F.when(last.isNotNull() & (first_least | last_least), _packed(hashed, i))
+            least = F.when(x <= last, reduce(lambda a, b: a & b, [x <= at(i, j) for j in range(1, w - 1)], F.lit(True))).otherwise(
+                reduce(lambda a, b: a & b, [last <= at(i, j) for j in range(1, w - 1)], last < x))
+            hashed = F.xxhash64(x, *[at(i, j) for j in sorted({*range(s, w - 1, s), w - 1})])
+            return F.when(least, _packed(hashed, i + offset))
 
         return F.filter(F.transform(inner, pick), lambda a: a.isNotNull())
 
-    inner = F.transform(words, lambda x, i: F.when(i + s <= F.size(words),
-                                                   F.xxhash64(*[F.get(words, i + j) for j in range(s)])))
-    anchors = _let(inner, chosen)
+    hashes = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, s)]))
+    return _let(F.slice(hashes, 1, F.greatest(F.size(words) - (s - 1), F.lit(0))), chosen)
+
+
+def _or_whole(anchors: Column, words: Column) -> Column:
+    """The anchors of a symbol array; the whole array is the anchor if it has none."""
     whole = F.array(_packed(F.xxhash64(words), F.lit(0)))
-    return _let(anchors, lambda a: F.when(F.size(words) == 0, F.array().cast("array<bigint>"))
-                .when(F.size(a) == 0, whole).otherwise(a))
+    return _let(anchors, lambda a: F.when(F.size(a) > 0, a).when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(whole))
 
 
-def sketch(text: Column) -> Column:
-    """The fingerprint as an array: smallest anchors with distinct hashes, ascending."""
-    ordered = F.sort_array(_let(characters(F.coalesce(text, F.lit(""))), lambda c: closed_syncmers(c, TEXT_K, TEXT_S)))
-    distinct = _let(ordered, lambda a: F.filter(a, lambda x, i: (i == 0) | (
+def closed_syncmers(words: Column, k: int = K, s: int = S) -> Column:
+    """Packed anchors of a symbol array in text order; the whole array is the anchor if it has none."""
+    return _or_whole(_anchors(words, k, s, F.lit(0)), words)
+
+
+def _smallest(anchors: Column) -> Column:
+    """Smallest anchors with distinct hashes, ascending."""
+    distinct = _let(F.sort_array(anchors), lambda a: F.filter(a, lambda x, i: (i == 0) | (
         F.shiftright(x, POSITION_BITS) != F.shiftright(F.get(a, i - 1), POSITION_BITS))))
     return F.slice(distinct, 1, ANCHORS)
 
 
+def sketch(text: Column) -> Column:
+    """The fingerprint as an array: smallest anchors with distinct hashes, ascending."""
+    return _smallest(_let(characters(F.coalesce(text, F.lit(""))), lambda c: closed_syncmers(c, TEXT_K, TEXT_S)))
+
+
+def sketches(frame: DataFrame, head: str, tails: dict[str, Column]) -> DataFrame:
+    """``frame`` with the sketches of the texts that begin with column ``head`` and go on with each of ``tails``.
+
+    The choice of an anchor looks at its k-mer alone, so the anchors of the common head are found once; those that
+    end in a tail come from the last ``TEXT_K`` - 1 characters of the head and the tail.
+    """
+    letters, anchors, over = (free_name(frame, c) for c in ("head_letters", "head_anchors", "head_over"))
+    out = frame.withColumn(letters, characters(F.col(head)))
+    out = out.withColumn(anchors, _anchors(F.col(letters), TEXT_K, TEXT_S, F.lit(0))).withColumn(
+        over, F.greatest(F.size(letters) - (TEXT_K - 1), F.lit(0)))
+    out = out.withColumn(letters, F.when(F.size(anchors) == 0, F.col(letters)).otherwise(
+        F.slice(letters, F.col(over) + 1, TEXT_K - 1)))
+
+    def made(tail: Column) -> Column:
+        def of(after: Column) -> Column:
+            both = F.concat(F.slice(letters, F.greatest(F.size(letters) - (TEXT_K - 1), F.lit(0)) + 1, TEXT_K - 1), after)
+            found = F.concat(F.col(anchors), _let(both, lambda c: _anchors(c, TEXT_K, TEXT_S, F.col(over))))
+            return _or_whole(found, F.concat(F.col(letters), after))
+        return _smallest(_let(characters(tail), of))
+
+    return out.withColumns({name: made(tail) for name, tail in tails.items()}).drop(letters, anchors, over)
+
+
 def fingerprint(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda a: F.hex(a)), "-")
 
@@ -106,20 +142,20 @@ def likeness(a: Column, b: Column) -> Column:
     def place(v):
         return v.bitwiseAND(F.lit((1 << POSITION_BITS) - 1).cast("long"))
 
-    def score(ha, hb):
-        union = F.slice(F.sort_array(F.array_union(ha, hb)), 1, ANCHORS)
-        both = F.array_intersect(union, F.array_intersect(ha, hb))
-        shifts = F.transform(both, lambda h: (
-            place(F.get(a, (F.array_position(ha, h) - 1).cast("int")))
-            - place(F.get(b, (F.array_position(hb, h) - 1).cast("int")))))
+    def consistent(d):
+        slack = F.greatest(F.lit(32).cast("long"), F.floor(F.array_max(F.transform(a, place)) / 8))
+        return _let(F.get(F.sort_array(d), F.floor(F.size(d) / 2).cast("int")), lambda middle: _let(
+            slack, lambda most: F.size(F.filter(d, lambda x: F.abs(x - middle) <= most))))
 
-        def consistent(d):
-            middle = F.get(F.sort_array(d), F.floor(F.size(d) / 2).cast("int"))
-            slack = F.greatest(F.lit(32).cast("long"), F.floor(F.array_max(F.transform(a, place)) / 8))
-            return F.size(F.filter(d, lambda x: F.abs(x - middle) <= slack))
+    def score(ha, hb):
+        def of(union):
+            shifts = F.transform(F.array_intersect(union, F.array_intersect(ha, hb)), lambda h: (
+                place(F.get(a, (F.array_position(ha, h) - 1).cast("int")))
+                - place(F.get(b, (F.array_position(hb, h) - 1).cast("int")))))
+            matched = _let(shifts, lambda d: F.when(F.size(d) == 0, 0).otherwise(consistent(d)))
+            return F.when(F.size(union) == 0, 1.0).otherwise(matched / F.size(union))
 
-        matched = F.when(F.size(both) == 0, 0).otherwise(_let(shifts, consistent))
-        return F.when(F.size(union) == 0, 1.0).otherwise(matched / F.size(union))
+        return _let(F.slice(F.sort_array(F.array_union(ha, hb)), 1, ANCHORS), of)
 
     return _let(hashes(a), lambda ha: _let(hashes(b), lambda hb: score(ha, hb)))
 
@@ -191,11 +227,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     following = rows.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter),
-                      F.substring(F.col("next_text"), F.lit(1), quarter))
-    made = (following.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-            .withColumn("own", sketch(F.col("text"))).withColumn("changed", sketch(F.col("edited")))
-            .withColumn("edited_sha256", F.sha2("edited", 256)))
+    cut = following.select("*", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - quarter).alias("head"),
+                           F.substring(F.col("text"), n - quarter + 1, quarter).alias("tail"),
+                           F.substring(F.col("next_text"), F.lit(1), quarter).alias("new_tail")).drop("next_text")
+    cut = cut.withColumn("edited_sha256", F.sha2(F.concat("head", "new_tail"), 256))
+    made = sketches(cut, "head", {"own": F.col("tail"), "changed": F.col("new_tail")}).drop("head", "tail", "new_tail")
     made = made.withColumn("following", F.lead("own").over(order)).where(~F.col(copied))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),

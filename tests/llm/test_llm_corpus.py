@@ -196,6 +196,17 @@ def test_edited_likeness(spark):
     assert syncmers.edited_likeness(frame(spark, []).select("doc_id", "text")).count() == 0
 
 
+def test_sketches_with_a_common_head(spark):
+    """Sketches that share the work on their head equal those of the whole texts, also at the seam and for short texts."""
+    rng = random.Random(14)
+    heads = ["", " ", "a", "abcdefg", "abcdefgh", "a b\n😀", *("".join(rng.choice("ab é😀\n") for _ in range(n)) for n in range(40)), sentence(rng, 90)]
+    tails = ["", "\t", "h", "hijklmn", sentence(rng, 3), sentence(rng, 60)]
+    df = spark.createDataFrame([(h, a, b) for h in heads for a, b in zip(tails, tails[1:] + tails[:1], strict=True)], "h string, a string, b string")
+    got = syncmers.sketches(df, "h", {"x": F.col("a"), "y": F.col("b")})
+    assert got.columns == ["h", "a", "b", "x", "y"] and got.count() == len(heads) * len(tails)
+    assert got.where((F.col("x") != syncmers.sketch(F.concat("h", "a"))) | (F.col("y") != syncmers.sketch(F.concat("h", "b")))).count() == 0
+
+
 def test_texts_without_blanks_go_by_characters(spark):
     rng = random.Random(12)
     long = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
