@@ -1,4 +1,4 @@
-"""Exact path-dependent tree attributions for Spark tree ensembles, as a join with a leaf table.
+"""Exact path-dependent tree attributions for Spark tree ensembles, as matrix products over the leaves.
 
 Every leaf becomes one row: its weighted value ``v`` and, per feature, the interval ``(lo, hi]`` that its path leaves
 open and the cover fraction ``z`` of the path's splits on that feature (whole line and 1 for features off the path).  For
@@ -8,9 +8,14 @@ open and the cover fraction ``z`` of the path's splits on that feature (whole li
   = v (o_i - z_i) * integral over t in [0, 1] of  prod_{j != i} (o_j t + z_j (1 - t))
 
 The weights are a beta integral, and the integrand is a polynomial in t of a degree below the number of features on the
-path, so Gauss-Legendre quadrature with half as many nodes is exact.  What is left is plain column arithmetic:
-patients are joined with the leaves of every tree (broadcast: bounded by trees x leaves), each pair adds its share,
-and the shares of a patient are summed.  There is no Python step and no size limit but the model's.
+path, so Gauss-Legendre quadrature with half as many nodes is exact.
+
+Two patients between the same thresholds of every feature lie in the same leaves, so each distinct *cell* (the number of
+thresholds below each value) is attributed once: there are at most as many as the thresholds allow, however many rows.  For
+a quadrature node the integrand is a product over features, hence ``A(x) B(x)`` with the features in two groups, and the sum
+over all leaves of all trees is the matrix product of the A rows of distinct patterns of one group with the B rows of
+the other.  Spark deals the cells by their A patterns; a task multiplies ``A_CHUNK`` patterns by ``LEAF_CHUNK`` leaves at a
+time, and the leaves are broadcast (bounded by the model).
 
 Boosted attributions are on the margin (``rawPrediction[1]``), random-forest ones on the class-1 probability.
 """
@@ -18,15 +23,20 @@ Boosted attributions are on the margin (``rawPrediction[1]``), random-forest one
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
 
+SMALL_GROUP = 256  # patterns that the thresholds of the second group of features allow
+A_CHUNK = 512
+LEAF_CHUNK = 2048
+
 
 def _saved_nodes(spark: SparkSession, tree_model) -> DataFrame:
     """The model's node table with the value of each node and the weight of its tree."""
@@ -74,11 +84,66 @@ def leaf_rows(spark: SparkSession, tree_model, n_features: int) -> list[tuple]:
     return out
 
 
+def _place(x: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below a value; -1 for a missing one, which lies in no interval."""
+    below = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < x))
+    return F.when(x.isNull() | F.isnan(x) | (x == F.lit(-math.inf)), -1).otherwise(below)
+
+
+def _groups(cuts: dict[int, list[float]]) -> tuple[list[int], list[int]]:
+    """The features in two groups, the second of few patterns."""
+    large, small, patterns = [], [], 1
+    for f in sorted(cuts, key=lambda f: (len(cuts[f]), f)):
+        patterns *= len(cuts[f]) + 1
+        (small if patterns <= SMALL_GROUP else large).append(f)
+    return large or [small.pop()], small
+
+
+def _patterns(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the place of each row among them."""
+    if not codes.shape[1]:
+        return codes[:1], np.zeros(len(codes), np.int64)
+    found, place = np.unique(codes, axis=0, return_inverse=True)
+    return found, place.reshape(-1)
+
+
+def cell_attributions(large: np.ndarray, small: np.ndarray, leaves: dict, points: list[tuple[float, float]]) -> np.ndarray:
+    """(features, large patterns, small patterns) attributions, the features of the large group first.
+
+    ``leaves`` has ``v`` (leaves) and ``first``, ``last``, ``z`` (leaves, features): the places that a leaf's interval covers.
+    """
+    k = large.shape[1]
+    out = np.zeros((leaves["z"].shape[1], len(large), len(small)))
+    for start in range(0, len(leaves["v"]), LEAF_CHUNK):
+        part = {name: a[start:start + LEAF_CHUNK] for name, a in leaves.items()}
+
+        def inside(patterns: np.ndarray, f: int, at: int, part=part) -> np.ndarray:
+            place = patterns[:, f, None]
+            return ((place >= part["first"][:, at]) & (place <= part["last"][:, at])).astype(float)
+
+        sides = [[(inside(patterns, f, at + f), part["z"][:, at + f]) for f in range(patterns.shape[1])]
+                 for patterns, at in ((large, 0), (small, k))]
+        for t, w in points:
+            whole, own = [], []
+            for side, patterns, scale in zip(sides, (large, small), (1.0, part["v"] * w), strict=True):
+                terms = [o * t + z * (1 - t) for o, z in side]
+                product = np.broadcast_to(scale, (len(patterns), len(part["v"]))).copy()
+                for term in terms:
+                    product *= term
+                whole.append(product)
+                # each feature takes its own factor out of the whole product
+                own.append([(o - z) * product / term for (o, z), term in zip(side, terms, strict=True)])
+            for f, share in enumerate(own[0]):
+                out[f] += share @ whole[1].T
+            for f, share in enumerate(own[1]):
+                out[k + f] += whole[0] @ share.T
+    return out
+
+
 def tree_attributions(df: DataFrame, model: PipelineModel, id_col: str = "patient_id",
                       stage: int = -1) -> tuple[DataFrame, float]:
     """Wide attributions ``(id, shap__<feature>..., <feature>...)``, and the baseline.
 
-    Rows with the same features are attributed once: at scale there are far fewer distinct feature vectors than rows.
     A missing value lies in no interval.
     """
     spark = df.sparkSession
@@ -87,37 +152,38 @@ def tree_attributions(df: DataFrame, model: PipelineModel, id_col: str = "patien
     nodes, weights = np.polynomial.legendre.leggauss(max(1, -(-max(d for *_, d in leaves) // 2)))
     points = [((1 + float(x)) / 2, float(w) / 2) for x, w in zip(nodes, weights, strict=True)]
     baseline = math.fsum(v * math.prod(z for _, _, z in path) for _, v, path, _ in leaves)
-    used = [f for f in range(len(feats)) if any(path[f][2] < 1.0 for _, _, path, _ in leaves)] or [0]
 
-    columns = "tree int not null, v double not null" + "".join(f", {c}{f} double not null" for f in used for c in ("lo", "hi", "z"))
-    table = spark.createDataFrame([(t, v, *(x for f in used for x in path[f])) for t, v, path, _ in leaves], columns)
-    values = [f"x{f}" for f in range(len(feats))]
+    bounds = np.array([path for _, _, path, _ in leaves])  # (leaves, features, 3)
+    used = [f for f in range(len(feats)) if (bounds[:, f, 2] < 1.0).any()] or [0]
+    ends = {f: np.unique(bounds[:, f, :2]) for f in used}
+    cuts = {f: e[np.isfinite(e)].tolist() for f, e in ends.items()}
+    large, small = _groups(cuts)
+    order = [*large, *small]
+    table = spark.sparkContext.broadcast({
+        "v": np.array([v for _, v, _, _ in leaves]), "z": bounds[:, order, 2].copy(),
+        "first": np.stack([np.searchsorted(cuts[f], bounds[:, f, 0], side="right") for f in order], axis=1),
+        "last": np.stack([np.searchsorted(cuts[f], bounds[:, f, 1], side="left") for f in order], axis=1)})
+
+    values, places = [f"x{f}" for f in range(len(feats))], [f"c{f}" for f in order]
     rows = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(feats, values, strict=True)])
-    trees = sorted({t for t, *_ in leaves})
-    # A fixed number of parts: the rows are few bytes but much work, so they must not be coalesced by size.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    pairs = rows.select(*values).repartition(parts, *values).distinct().withColumn("tree", F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1])))).join(
-        F.broadcast(table), "tree")
-    for f in used:
-        inside = F.coalesce((F.col(f"x{f}") > F.col(f"lo{f}")) & (F.col(f"x{f}") <= F.col(f"hi{f}")), F.lit(False))
-        pairs = pairs.withColumn(f"o{f}", inside.cast("double"))
-    carried = [*values, "v", *[f"o{f}" for f in used], *[f"z{f}" for f in used]]
-
-    def term(f: int, t: float):
-        return F.col(f"o{f}") * t + F.col(f"z{f}") * (1 - t)
-
-    # whole products first, then each feature takes its own factor out of them
-    products = pairs.select(*carried, *[(reduce(lambda a, b: a * b, [term(f, t) for f in used], F.col("v") * w)).alias(f"q{i}")
-                                        for i, (t, w) in enumerate(points)])
-    share = {f: (F.col(f"o{f}") - F.col(f"z{f}")) * reduce(lambda a, b: a + b, [F.col(f"q{i}") / term(f, t) for i, (t, _) in enumerate(points)])
-             for f in used}
-    # Fused with the join, the generated method is too long for the JIT and ten times slower.  A higher-order function
-    # in one column keeps this projection on its own.
-    share[used[0]] = F.element_at(F.transform(F.array(share[used[0]]), lambda x: x), 1)
-    shares = products.select(*values, *[share[f].alias(f"s{f}") for f in used])
-    sums = shares.groupBy(*values).agg(*[F.sum(f"s{f}").alias(f"s{f}") for f in used]).toDF(
-        *[f"of_{x}" for x in values], *[f"s{f}" for f in used])
-    found = rows.join(sums, reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"of_{x}")) for x in values]))
+    rows = rows.select("*", *[_place(F.col(f"x{f}"), cuts[f]).alias(c) for f, c in zip(order, places, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            (wide, row_of_wide), (narrow, row_of_narrow) = map(_patterns, np.split(codes, [len(large)], axis=1))
+            for start in range(0, len(wide), A_CHUNK):
+                here = np.flatnonzero((row_of_wide >= start) & (row_of_wide < start + A_CHUNK))
+                found = cell_attributions(wide[start:start + A_CHUNK], narrow, table.value, points)[
+                    :, row_of_wide[here] - start, row_of_narrow[here]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in codes[here].T], *[pa.array(s) for s in found]],
+                                                 names=[*[f"of_{c}" for c in places], *[f"s{f}" for f in order]])
+
+    # A fixed number of parts: the cells are few bytes but much work, so they must not be coalesced by size.
+    parts, dealt = 2 * spark.sparkContext.defaultParallelism, places[:len(large)]
+    cells = rows.select(*places).distinct().repartition(parts, *dealt).sortWithinPartitions(*dealt)
+    sums = cells.mapInArrow(run, ", ".join([*[f"of_{c} int" for c in places], *[f"s{f} double" for f in order]]))
+    found = rows.join(sums, [F.col(c) == F.col(f"of_{c}") for c in places])
     return found.select(F.col("id").alias(id_col), *[(F.col(f"s{f}") if f in used else F.lit(0.0)).alias(f"shap__{c}") for f, c in enumerate(feats)],
                         *[F.col(x).alias(c) for c, x in zip(feats, values, strict=True)]), baseline
 

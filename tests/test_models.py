@@ -150,6 +150,29 @@ def test_tree_attributions(spark, train, root, name):
             assert [r[f"shap__{c}"] for c in FEATURES] == pytest.approx(want, abs=1e-10)
 
 
+def test_tree_attributions_by_cells(spark, train, root):
+    """Rows between the same thresholds are attributed once, missing values lie in no interval, and one batch may hold many patterns."""
+    model = run_of(spark, train, root).model("XGBoost")
+    leaves = TS.leaf_rows(spark, model.stages[-1], len(FEATURES))
+    cuts = {f: sorted({x for _, _, path, _ in leaves for x in path[f][:2] if math.isfinite(x)}) for f in range(len(FEATURES))}
+    f = max(cuts, key=lambda f: len(cuts[f]))
+    row = train.select("patient_id", *[F.col(c).cast("double").alias(c) for c in FEATURES]).limit(1)
+    edges = [cuts[f][0], cuts[f][0] - 1.0, cuts[f][0] - 2.0, cuts[f][-1] + 1.0, math.inf, -math.inf, math.nan, None]
+    many = row.crossJoin(spark.createDataFrame([(i, x) for i, x in enumerate(edges)], "i int, edge double")).select(
+        F.col("i").alias("patient_id"), *[(F.col("edge") if c == FEATURES[f] else F.col(c)).alias(c) for c in FEATURES])
+    wide, _ = TS.tree_attributions(many, model)
+    got = {r["patient_id"]: r for r in wide.collect()}
+    assert len(got) == len(edges)
+    for i, r in got.items():
+        x = [r[c] for c in FEATURES]
+        assert r[FEATURES[f]] == edges[i] or edges[i] is None or math.isnan(edges[i])
+        x[f] = math.nan if edges[i] is None else edges[i]
+        assert [r[f"shap__{c}"] for c in FEATURES] == pytest.approx(brute_shap(x, leaves, len(FEATURES)), abs=1e-10)
+    assert [got[1][f"shap__{c}"] for c in FEATURES] == [got[2][f"shap__{c}"] for c in FEATURES]  # one cell
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan  # no pair of row and tree
+
+
 def test_oversampling_inside_folds(spark, train, root):
     """Synthetic rows are held out nowhere, and a fold's fit equals one on just the rows it may see."""
     real = train.select("row_id", *FEATURES, "label", "fold")
