@@ -135,3 +135,35 @@ def test_partitions_do_not_make_blocks_and_equal_codes_are_kept_once(train):
     trees = [{(r["fit"], r["tree"]): (r["feature"], r["bin"], r["value"]) for r in B.grow(t, fits(4), thresholds).where("tree >= 0").collect()}
              for t in (table, many)]
     assert many.count() > 1 and trees[0] == trees[1]
+
+
+def test_joint_and_remaining_histograms_equal_plain_sums():
+    """Features counted together and the child that is left over give the sums of a plain count, feature by feature."""
+    rng = np.random.default_rng(5)
+    codes = np.unique(np.column_stack([rng.integers(0, 32, 900), rng.integers(0, 32, 900), *rng.integers(0, 2, (5, 900)), rng.integers(0, 9, 900)]), axis=0)
+    v = len(codes)
+    cell = np.sort(rng.integers(0, 2 * v, 5000))
+    rows = B.Rows({"n": 5000, "vectors": v, "codes": codes.astype(np.uint8).tobytes(), "cell": cell.astype("<u4").tobytes(),
+                   "folds": np.array([[0], [1]], np.int8).tobytes(), "fold_group": rng.integers(0, 2, 5000).astype("<u2").tobytes(),
+                   "row_id": np.arange(5000).astype("<i8").tobytes()}, 8, 32)
+    assert sorted(f for features, _, _ in rows.joint for f in features) == list(range(8)) and len(rows.joint) < 4
+    fit = B.Fit("f", ((0, 0),), depth=4, row_share=0.7)
+    counts = rows.counts(fit, 3)
+    drawn = rows.outside(fit.exclude) & (B._shares(rows.row_id, fit.seed, 3) < 0.7)
+    assert counts.sum() == drawn.sum() and (counts.ravel() == np.bincount(cell[drawn], minlength=2 * v)).all()
+    at = np.flatnonzero(counts.any(axis=1))
+    sums = rows.derivatives(rng.normal(size=v)[at], counts[at])
+    tree, node, hist = B.Tree(4), np.ones(len(at), np.int64), rows.histogram(np.ones(len(at), np.int64), 0, at, sums)
+    for level in range(4):
+        if level:
+            hist = rows.histogram_below(hist, tree, node, level, at, sums)
+        k, plain = 1 << level, np.zeros((3, 1 << level, 8, 32))
+        live = node >= k
+        for i, s in enumerate(sums):
+            for f in range(8):
+                np.add.at(plain[i, :, f], (node[live] - k, codes[at, f][live]), s[live])
+        assert (hist == plain).all()
+        assert B.grow_level(tree, fit, 3, level, hist)
+        node = tree.place(codes[at], level + 1)
+    B.finish(tree, B.Fit("f", max_leaves=5))
+    assert (tree.leaves()[node] == tree.place(codes[at], 4)).all() and len(set(tree.leaves()[node])) == 5
