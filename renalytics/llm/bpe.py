@@ -6,8 +6,8 @@ skipped.  Decoding concatenates the vocabulary strings of the ids.
 
 A text is cut at blanks, tabs and line ends into chunks where the vocabulary marks word ends: the
 tokenizer's normaliser and pre-tokeniser then drop those characters as separators, so chunks are
-independent and each distinct chunk is encoded once per Python worker while the (bounded) memo holds it.
-With other vocabularies a whole text is one chunk.  Whole texts are
+independent and each distinct chunk is encoded once while the (bounded) memo holds it; a task ends with an empty
+memo, so that idle Python workers do not keep it beside later stages.  With other vocabularies a whole text is one chunk.  Whole texts are
 encoded; memory is bounded by the memo and one Arrow batch.
 """
 
@@ -164,10 +164,14 @@ class BpeCodec(dict):
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         ids = b"".join(map(self.__getitem__, chunks))
         if len(self) > MEMO_ENTRIES:
-            self.clear()
-            self.letters.clear()
+            self.forget()
         return ids
 
+    def forget(self) -> None:
+        """Empty the memos."""
+        self.clear()
+        self.letters.clear()
+
     def decode(self, ids: bytes) -> str:
         """Vocabulary strings of the ids, joined as the library does for a file without a decoder."""
         import numpy as np
@@ -208,15 +212,18 @@ def encode_documents(docs: DataFrame, text_col: str = "text", tokenizer: str = D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in (part for whole in batches for part in slices(whole, [source])):
-            made = [bpe.encode(t) for t in batch.column(source).to_pylist()]
-            n = pa.array([len(b) // 4 for b in made], pa.int64())
-            if digests:
-                extra = [n, pa.array([hashlib.sha256(b).hexdigest() for b in made], pa.string()),
-                         pa.array([hashlib.sha256(bpe.decode(b).encode()).hexdigest() for b in made], pa.string())]
-            else:
-                extra = [pa.array(made, pa.binary()), n]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + extra, names=keep + added)
+        try:
+            for batch in (part for whole in batches for part in slices(whole, [source])):
+                made = [bpe.encode(t) for t in batch.column(source).to_pylist()]
+                n = pa.array([len(b) // 4 for b in made], pa.int64())
+                if digests:
+                    extra = [n, pa.array([hashlib.sha256(b).hexdigest() for b in made], pa.string()),
+                             pa.array([hashlib.sha256(bpe.decode(b).encode()).hexdigest() for b in made], pa.string())]
+                else:
+                    extra = [pa.array(made, pa.binary()), n]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + extra, names=keep + added)
+        finally:
+            bpe.forget()
 
     return frame.mapInArrow(run, schema)
 

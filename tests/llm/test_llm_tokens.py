@@ -113,3 +113,17 @@ def test_frames_detect_damage():
 def test_empty_table(spark, docs):
     assert binary_records.token_records(docs.where(F.lit(False))).count() == 0
     assert os.path.exists(PATH)
+
+
+def test_tasks_leave_no_memo_behind(spark, docs):
+    """Python workers are used again by later stages; what a task has remembered must not stay with them."""
+    assert bpe.encode_documents(docs).count() == len(TEXTS) + 2
+
+    def left(batches):
+        import pyarrow as pa
+        for _ in batches:
+            held = [len(c) + len(c.letters) for c in bpe._CODECS.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int32()), pa.array([sum(held)], pa.int64())], names=["codecs", "held"])
+
+    found = spark.range(64).repartition(8).mapInArrow(left, "codecs int, held long").collect()
+    assert any(r["codecs"] for r in found) and all(r["held"] == 0 for r in found)
