@@ -54,8 +54,8 @@ def assembler(features: list[str], out: str = "features") -> VectorAssembler:
 
 
 def forest(n_trees: int = N_TREES, label: str = "label") -> RandomForestClassifier:
-    """The random forest (M4)."""
-    return RandomForestClassifier(numTrees=n_trees, maxDepth=10, minInstancesPerNode=2, labelCol=label, seed=SEED)
+    """The random forest (M4).  Rows remember their node in each tree, so a pass over the rows does not walk every tree again."""
+    return RandomForestClassifier(numTrees=n_trees, maxDepth=10, minInstancesPerNode=2, labelCol=label, seed=SEED, cacheNodeIds=True)
 
 
 def fit_pipeline(train: DataFrame, feature_order: list[str], estimator) -> PipelineModel:

@@ -195,3 +195,10 @@ def test_oversampling_inside_folds(spark, train, root):
     assert a == b and a
     with pytest.raises(ValueError):
         run.fold_predictions((fixed.ENSEMBLE_NAME,))
+
+
+def test_forest_keeps_node_ids_and_stays_the_same(train):
+    """Remembered node ids save walking every tree in every pass; the trees do not change."""
+    walk, kept = (MD.fit_pipeline(train, FEATURES, f).stages[1] for f in (MD.forest(4).setCacheNodeIds(False), MD.forest(4)))
+    assert kept.getCacheNodeIds() and not walk.getCacheNodeIds()
+    assert kept.toDebugString.split("\n", 1)[1] == walk.toDebugString.split("\n", 1)[1]
