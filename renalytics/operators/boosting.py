@@ -11,10 +11,11 @@ Rows of a block with the same bin codes have the same margin in every fit, so a
 once; margins, nodes and histograms go by vectors, weighted with the rows of each label that teach the tree.  Where no two
 rows are alike there are as many vectors as rows.
 
-* Several blocks: two stages per tree level for all fits together.  The running margins stay with the blocks; they are
+* Up to ``TASK_ROWS`` rows and ``TASK_VECTORS`` vectors (some 1 GB of memory of a task): a task joins all blocks to one, so its histogram is
+  the whole histogram and nothing needs merging.  It grows several fits tree by tree, and rows are drawn once for those of
+  one seed; the tasks run in parallel.
+* Larger tables: two stages per tree level for all fits together.  The running margins stay with the blocks; they are
   persisted after every tree and checkpointed every ``CHECKPOINT_ROUNDS`` trees.
-* One block (at most ``ONE_BLOCK_ROWS`` rows, about 1 GB of memory of a task): its histogram is the whole histogram, so nothing needs merging, and
-  each fit grows its trees in one task, the fits in parallel.
 
 Both use the same functions and give the same trees: derivatives are rounded to 2^-20 and summed as whole numbers, so
 the sums depend neither on the blocks nor on their order, and rows and features are sampled by hashes of row id, tree
@@ -45,6 +46,9 @@ from ..session import cut_lineage, shared_path
 MAX_BINS = 32
 BLOCK_ROWS = 100_000        # rows of each of several blocks
 ONE_BLOCK_ROWS = 2_000_000  # up to so many rows the table is one block
+TASK_ROWS = 20_000_000      # a task holds up to so many rows (ids and cells) ...
+TASK_VECTORS = 2_000_000    # ... and so many vectors, summed over the blocks
+TASK_FITS = 8               # fits that grow in one task, where there are more than cores
 CHECKPOINT_ROUNDS = 10
 UNIT = float(1 << 20)
 MIN_GAIN = 1e-9
@@ -133,14 +137,23 @@ def blocks(df: DataFrame, features: list[str], thresholds: list[list[float]], la
     """``df`` as packed blocks of at most ``rows`` rows, written to shared storage.
 
     By default a table of up to ``ONE_BLOCK_ROWS`` rows is one block, a larger one has blocks of ``BLOCK_ROWS``.  Rows are
-    dealt by ranges of their features, so that rows with the same codes meet in a block.
+    dealt by ranges of their codes, so that rows with the same codes meet in a block.
     """
     n = df.count()
     rows = rows or (ONE_BLOCK_ROWS if n <= ONE_BLOCK_ROWS else BLOCK_ROWS)
     wanted = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("int").alias("y"),
                        *[F.col(c).cast("int").alias(f"f{i}") for i, c in enumerate(folds)], F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("id"))
-    wanted = (wanted.repartition(1) if n <= rows else
-              wanted.repartitionByRange(-(-n // rows), *[f"x{i}" for i in range(len(features))], "id"))
+    coded = [f"x{i}" for i in range(len(features))]
+    kept = ["y", *(f"f{i}" for i in range(len(folds))), "id"]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = dict(zip(batch.schema.names, batch.columns, strict=True))
+            codes = [np.searchsorted(t, at[c].to_numpy(zero_copy_only=False), side="left").astype(np.int16) for c, t in zip(coded, thresholds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, codes), *[at[c] for c in kept]], names=[*coded, *kept])
+
+    wanted = wanted.mapInArrow(code, ", ".join([*[f"{c} smallint" for c in coded], *[f"{c} int" for c in kept[:-1]], "id long"]))
+    wanted = wanted.repartition(1) if n <= rows else wanted.repartitionByRange(-(-n // rows), *coded, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,12 +161,12 @@ def blocks(df: DataFrame, features: list[str], thresholds: list[list[float]], la
 
         def packed(table: pa.Table, number: int) -> pa.RecordBatch:
             at = {n: table.column(n).to_numpy() for n in table.column_names}
-            codes = np.stack([np.searchsorted(t, at[f"x{i}"], side="left") for i, t in enumerate(thresholds)], axis=1)
+            codes = np.stack([at[c] for c in coded], axis=1)
             held = np.stack([at[f"f{i}"] for i in range(len(folds))], axis=1) if folds else np.zeros((table.num_rows, 0))
             codes, place = _distinct(codes)
             groups, group = _distinct(held)
             cell = place * 2 + at["y"].astype(np.int64)
-            order = np.argsort(cell, kind="stable")  # rows of a vector and label lie together
+            order = np.argsort(cell * len(groups) + group, kind="stable")  # rows of a vector, label and group of folds lie together
             row = {"block": number, "n": table.num_rows, "vectors": len(codes), "codes": codes.astype(np.uint8).tobytes(),
                    "cell": cell[order].astype("<u4").tobytes(), "folds": groups.astype(np.int8).tobytes(),
                    "fold_group": group[order].astype("<u2").tobytes(), "row_id": at["id"][order].astype("<i8").tobytes()}
@@ -173,6 +186,39 @@ def blocks(df: DataFrame, features: list[str], thresholds: list[list[float]], la
     return df.sparkSession.read.parquet(path)
 
 
+def block_rows(batch: pa.RecordBatch) -> list[dict]:
+    """The blocks of a batch; their bytes are not copied."""
+    columns = [c.to_pylist() if pa.types.is_integer(c.type) else [v.as_buffer() for v in c] for c in batch.columns]
+    return [dict(zip(batch.schema.names, values, strict=True)) for values in zip(*columns, strict=True)]
+
+
+def joined(parts: list[dict], n_features: int, columns: set[int] | None = None) -> tuple[dict, list[np.ndarray]]:
+    """Blocks as one block, and where the vectors of each of them are in it.  Of the fold numbers only ``columns`` are kept."""
+    def folds_of(row: dict) -> np.ndarray:
+        groups = np.frombuffer(row["fold_group"], "<u2")
+        table = np.frombuffer(row["folds"], np.int8).reshape(int(groups.max()) + 1, -1).copy()
+        if columns is not None:
+            table[:, [c for c in range(table.shape[1]) if c not in columns]] = 0
+        return table
+
+    if len(parts) == 1 and columns is None:
+        return parts[0], [np.arange(parts[0]["vectors"])]
+    codes, place = _distinct(np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(r["vectors"], n_features) for r in parts]))
+    places = np.split(place, np.cumsum([r["vectors"] for r in parts])[:-1])
+    tables = list(map(folds_of, parts))
+    folds, group = _distinct(np.concatenate(tables))
+    groups = np.split(group, np.cumsum([len(t) for t in tables])[:-1])
+
+    def cells(row: dict, at: np.ndarray) -> np.ndarray:
+        cell = np.frombuffer(row["cell"], "<u4")
+        return (at.astype("<u4") * 2)[cell >> 1] + (cell & 1)
+
+    return {"n": sum(r["n"] for r in parts), "vectors": len(codes), "codes": codes.tobytes(),
+            "cell": np.concatenate([cells(r, at) for r, at in zip(parts, places, strict=True)]), "folds": folds.astype(np.int8).tobytes(),
+            "fold_group": np.concatenate([g.astype("<u2")[np.frombuffer(r["fold_group"], "<u2")] for r, g in zip(parts, groups, strict=True)]),
+            "row_id": np.concatenate([np.frombuffer(r["row_id"], "<i8") for r in parts])}, places
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves half of the output."""
     x = x ^ (x >> np.uint64(30))
@@ -192,20 +238,53 @@ def _shares(keys: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return out / float(1 << 64)
 
 
+def _cut(share: float) -> int:
+    """The least 64-bit hash whose share, as :func:`_shares` rounds it, is not below ``share``."""
+    low, high = 0, 1 << 64
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if float(middle) < share * float(1 << 64) else (low, middle)
+    return low
+
+
+def _hashed(keys: np.ndarray, seed: int, tree: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The hashes that :func:`_shares` divides, in parts: (start, hashes); a part is overwritten by the next."""
+    salt = _mix(np.array([seed * 1_000_003 + tree + 1], np.uint64))[0]
+    x, t = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint64)
+    for a in range(0, len(keys), len(x)):
+        n = min(len(x), len(keys) - a)
+        h, s = x[:n], t[:n]
+        np.add(keys[a:a + n], salt, out=h)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+            np.right_shift(h, np.uint64(shift), out=s)
+            np.bitwise_xor(h, s, out=h)
+            if factor:
+                np.multiply(h, np.uint64(factor), out=h)
+        yield a, h
+
+
+def drawn_below(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
+    """``_shares(keys, seed, tree) < share``."""
+    out, cut = np.ones(len(keys), bool), _cut(share)
+    for a, h in _hashed(keys, seed, tree) if cut < 1 << 64 else ():
+        np.less(h, np.uint64(cut), out=out[a:a + len(h)])
+    return out
+
+
 class Rows:
     """The rows of a block, unpacked: distinct vectors of codes, and the vector, label, folds and id of each row.
 
-    Rows are in order of vector and label.
+    Rows of a block are in order of vector and label, those of joined blocks in that order within each of them.
     """
 
     def __init__(self, row: dict, n_features: int, bins: int):
         self.n, self.vectors, self.bins, self.n_features = row["n"], row["vectors"], bins, n_features
-        self.codes = np.frombuffer(row["codes"], np.uint8).reshape(self.vectors, n_features)
+        self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, n_features or 1)
         self.cell = np.frombuffer(row["cell"], "<u4")
         self.group = np.frombuffer(row["fold_group"], "<u2")
         self.folds = np.frombuffer(row["folds"], np.int8).reshape(int(self.group.max()) + 1, -1)
         self.row_id = np.frombuffer(row["row_id"], "<i8")
-        self._drawn: tuple = (None, None)
+        self._drawn: dict = {}
         self._outside: tuple = (None, None)
 
     @cached_property
@@ -221,9 +300,36 @@ class Rows:
         return [(fs, bins, np.ravel_multi_index([self.codes[:, f] for f in fs], bins)) for fs, bins in groups]
 
     @cached_property
-    def ends(self) -> np.ndarray:
-        """Where the rows of each (vector, label) end."""
-        return np.cumsum(np.bincount(self.cell, minlength=2 * self.vectors))
+    def _dealt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Ids of the rows by (group of folds, vector, label), where the rows of each such end, and which these are if not all are listed."""
+        key = self.group.astype(np.int64) * (2 * self.vectors) + self.cell
+        order = np.argsort(key, kind="stable")
+        ids, key, size = self.row_id[order].astype(np.uint64), key[order], len(self.folds) * 2 * self.vectors
+        if size <= 4 * self.n + 1_000_000:
+            return ids, np.searchsorted(key, np.arange(size), side="right"), None
+        last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        return ids, last + 1, key[last]
+
+    def drawn(self, kind, number: int, draw) -> np.ndarray:
+        """Sums of what ``draw`` gives for the ids of the rows, by (group of folds, vector, label); the last of each kind is kept."""
+        if kind not in self._drawn or self._drawn[kind][0] != number:  # fits share their draws
+            self._drawn.pop(kind, None)
+            ids, ends, _ = self._dealt
+            upto = np.cumsum(draw(ids), dtype=np.int64 if self.n > 1 << 26 else np.int32)[ends - 1]
+            upto[ends == 0] = 0
+            self._drawn[kind] = number, np.diff(upto, prepend=upto.dtype.type(0))
+        return self._drawn[kind][1]
+
+    def outside_sums(self, drawn: np.ndarray, exclude: tuple) -> np.ndarray:
+        """(vectors, 2): the sums of the rows outside ``exclude`` by vector and label."""
+        keep, size, at = self._groups_outside(exclude), 2 * self.vectors, self._dealt[2]
+        if at is not None:
+            here = keep[at // size]
+            return np.bincount(at[here] % size, drawn[here], size).astype(np.int64).reshape(-1, 2)
+        out = np.zeros(size, drawn.dtype)
+        for g in np.flatnonzero(keep):
+            out += drawn[g * size:(g + 1) * size]
+        return out.reshape(-1, 2)
 
     @property
     def label(self) -> np.ndarray:
@@ -233,6 +339,15 @@ class Rows:
         """The values of the vectors, for each row."""
         return values[self.cell >> 1]
 
+    def below(self, tree: Tree, node: np.ndarray, level: int) -> np.ndarray:
+        """The node of each vector one level down, from its node at ``level`` or above."""
+        f = tree.feature[node]
+        return np.where((f >= 0) & (node >= 1 << level), 2 * node + (self.codes.ravel()[self._first + f] > tree.bin[node]), node)
+
+    @cached_property
+    def _first(self) -> np.ndarray:
+        return np.arange(self.vectors) * self.n_features
+
     def _groups_outside(self, exclude: tuple) -> np.ndarray:
         keep = np.ones(len(self.folds), bool)
         for column, value in exclude:
@@ -252,13 +367,11 @@ class Rows:
 
     def counts(self, fit: Fit, number: int) -> np.ndarray:
         """(vectors, 2): how many rows of each label teach tree ``number``."""
-        keep = self.outside(fit.exclude)
         if fit.row_share < 1:
-            if self._drawn[0] != (fit.seed, number):  # fits share their draws
-                self._drawn = (fit.seed, number), _shares(self.row_id, fit.seed, number)
-            keep = keep & (self._drawn[1] < fit.row_share)
-        upto = np.concatenate([[0], np.cumsum(keep)])
-        return np.diff(upto[self.ends], prepend=0).reshape(-1, 2)
+            drawn = self.drawn((fit.seed, fit.row_share), number, lambda ids: drawn_below(ids, fit.seed, number, fit.row_share))
+        else:
+            drawn = self.drawn("all", 0, lambda ids: np.ones(len(ids), bool))
+        return self.outside_sums(drawn, fit.exclude)
 
     @staticmethod
     def derivatives(margin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,68 +486,123 @@ def log_odds(n: float, positive: float) -> float:
 
 
 TREES = ("fit string, tree int, feature array<int>, bin array<int>, gain array<double>, cover array<double>, value array<double>, "
-         "row_id array<long>, margin array<double>")
+         "row_id array<long>, margin array<double>, block long, margins binary")
+TREES_ARROW = pa.schema([("fit", pa.string()), ("tree", pa.int32()), ("feature", pa.list_(pa.int32())), ("bin", pa.list_(pa.int32())),
+                         *((c, pa.list_(pa.float64())) for c in ("gain", "cover", "value")), ("row_id", pa.list_(pa.int64())),
+                         ("margin", pa.list_(pa.float64())), ("block", pa.int64()), ("margins", pa.binary())])
+ROWS_AT_ONCE = 1 << 16
 
 
 def _tree_row(fit: Fit, number: int, tree: Tree) -> dict:
     return {"fit": fit.name, "tree": number, "feature": tree.feature.tolist(), "bin": tree.bin.tolist(), "gain": tree.gain.tolist(),
-            "cover": tree.sums[:, 2].tolist(), "value": tree.value.tolist(), "row_id": None, "margin": None}
+            "cover": tree.sums[:, 2].tolist(), "value": tree.value.tolist()}
 
 
-def _score_row(fit: Fit, row_id: np.ndarray, margin: np.ndarray) -> dict:
-    return {"fit": fit.name, "tree": -1, "feature": None, "bin": None, "gain": None, "cover": None, "value": None,
-            "row_id": row_id.tolist(), "margin": margin.tolist()}
+def _score_rows(fit: Fit, rows: Rows, margin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that the fit holds out with their margins, in parts."""
+    held = np.flatnonzero(rows.held_out(fit))
+    for start in range(0, len(held), ROWS_AT_ONCE):
+        at = held[start:start + ROWS_AT_ONCE]
+        yield pa.RecordBatch.from_pylist([{"fit": fit.name, "tree": -1, "row_id": rows.row_id[at], "margin": margin[rows.cell[at] >> 1]}], TREES_ARROW)
 
 
-TREES_ARROW = pa.schema([("fit", pa.string()), ("tree", pa.int32()), ("feature", pa.list_(pa.int32())), ("bin", pa.list_(pa.int32())),
-                         *((c, pa.list_(pa.float64())) for c in ("gain", "cover", "value")), ("row_id", pa.list_(pa.int64())),
-                         ("margin", pa.list_(pa.float64()))])
+def _score_vectors(fit: Fit, block: int, margin: np.ndarray) -> pa.RecordBatch:
+    """The margins of a block's vectors, if the fit holds out rows."""
+    made = [{"fit": fit.name, "tree": -1, "block": block, "margins": margin.astype("<f8").tobytes()}] if fit.exclude else []
+    return pa.RecordBatch.from_pylist(made, TREES_ARROW)
 
 
-# ---- one block: a fit per task --------------------------------------------------------------------------
+# ---- a task that holds the whole table ------------------------------------------------------------------
 
-def grow_alone(rows: Rows, fit: Fit) -> Iterator[dict]:
-    """All trees of one fit over a block that holds the whole table, then its held-out margins."""
-    mine = rows.outside(fit.exclude)
-    start = log_odds(mine.sum(), rows.label[mine].sum())
-    margin, counts = np.full(rows.vectors, start), None
-    codes, first = rows.codes.ravel(), np.arange(rows.vectors) * rows.n_features
-    for number in range(fit.rounds):
-        if counts is None or fit.row_share < 1:
+class Growing:
+    """One fit over a block that holds the whole table, tree by tree."""
+
+    def __init__(self, rows: Rows, fit: Fit):
+        self.rows, self.fit, self.taught = rows, fit, None
+        whole = Fit(fit.name, fit.exclude)
+        negative, positive = rows.counts(whole, 0).sum(axis=0).tolist()
+        self.start = log_odds(negative + positive, positive)
+        self.margin = np.full(rows.vectors, self.start)
+
+    def tree(self, number: int) -> dict:
+        rows, fit = self.rows, self.fit
+        if self.taught is None or fit.row_share < 1:
             counts = rows.counts(fit, number)
-            at = np.flatnonzero(counts.any(axis=1))
-            taught = counts[at]
-        sums, tree = rows.derivatives(margin[at], taught), Tree(fit.depth)
+            self.at = np.flatnonzero(counts.any(axis=1))
+            self.taught = counts[self.at]
+        at, tree = self.at, Tree(fit.depth)
+        sums = rows.derivatives(self.margin[at], self.taught)
         node, hist = np.ones(rows.vectors, np.int64), rows.histogram(np.ones(len(at), np.int64), 0, at, sums)
         for level in range(fit.depth):
             if level:
                 hist = rows.histogram_below(hist, tree, node[at], level, at, sums)
             if not grow_level(tree, fit, number, level, hist):
                 break
-            f = tree.feature[node]
-            node = np.where((f >= 0) & (node >= 1 << level), 2 * node + (codes[first + f] > tree.bin[node]), node)
+            node = rows.below(tree, node, level)
         finish(tree, fit)
-        margin += tree.value[tree.leaves()[node]]
+        self.margin += tree.value[tree.leaves()[node]]
         if number == 0:
-            tree.value = tree.value + start
-        yield _tree_row(fit, number, tree)
-    held = rows.held_out(fit)
-    if held.any():
-        yield _score_row(fit, rows.row_id[held], rows.by_row(margin)[held])
+            tree.value = tree.value + self.start
+        return _tree_row(fit, number, tree)
+
 
+def grow_together(rows: Rows, fits: list[Fit]) -> Iterator[dict | Growing]:
+    """All trees of some fits over a block that holds the whole table, tree by tree as fits share their draws; then the grown fits."""
+    growing = [Growing(rows, f) for f in fits]
+    for number in range(max(f.rounds for f in fits)):
+        for g in growing:
+            if number < g.fit.rounds:
+                yield g.tree(number)
+    yield from growing
+
+
+def dealt_tasks(table: DataFrame, tasks: int) -> DataFrame:
+    """All blocks for each of some tasks, which are told their ``number``."""
+    numbered = table.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return numbered.repartitionById(tasks, F.col("number"))
+
+
+def tasks_of(table: DataFrame, parts: int, at_once: int) -> int:
+    """How many tasks share out ``parts``: at most ``at_once`` each, and as many tasks as cores while there are parts."""
+    cores = max(1, table.sparkSession.sparkContext.defaultParallelism)
+    return min(parts, cores * -(-parts // (cores * at_once)))
+
+
+def blocks_by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The blocks that :func:`dealt_tasks` sent to a task, in order."""
+    kept: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in block_rows(batch):
+            kept.setdefault(row["number"], []).append(row)
+    for number in sorted(kept):
+        yield number, sorted(kept.pop(number), key=lambda r: r["block"])
+
+
+def _grow_in_tasks(table: DataFrame, fits: list[Fit], n_features: int, bins: int, by_vector: bool) -> DataFrame:
+    tasks = tasks_of(table, len(fits), TASK_FITS)
+    columns = {c for f in fits for c, _ in f.exclude}
 
-def _grow_in_tasks(table: DataFrame, fits: list[Fit], n_features: int, bins: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                made = list(grow_alone(Rows(row, n_features, bins), fits[row["number"]]))
+        for number, parts in blocks_by_number(batches):
+            names = [r["block"] for r in parts]
+            whole, places = joined(parts, n_features, columns)
+            del parts
+            rows, made = Rows(whole, n_features, bins), []
+            for row in grow_together(rows, fits[number::tasks]):
+                if isinstance(row, dict):
+                    made.append(row)
+                    if len(made) < 50:
+                        continue
                 yield pa.RecordBatch.from_pylist(made, TREES_ARROW)
+                made = []
+                if isinstance(row, Growing):
+                    yield from ((_score_vectors(row.fit, b, row.margin[at]) for b, at in zip(names, places, strict=True)) if by_vector else
+                                _score_rows(row.fit, rows, row.margin))
 
-    numbered = table.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(fits) - 1))))
-    return numbered.repartitionByRange(len(fits), "number").mapInArrow(run, TREES)
+    return dealt_tasks(table, tasks).mapInArrow(run, TREES)
 
 
-# ---- several blocks: a job per tree level ---------------------------------------------------------------
+# ---- tables beyond a task: a job per tree level ---------------------------------------------------------
 
 def _unpacked(batch: pa.RecordBatch, n_features: int, bins: int, n_fits: int) -> Iterator[tuple[dict, Rows, np.ndarray]]:
     for row in batch.to_pylist():
@@ -483,7 +651,7 @@ def _level_job(state: DataFrame, fits: list[Fit], trees: list[Tree], growing: li
 STATE = BLOCK + ", margins binary"
 
 
-def _grow_in_jobs(table: DataFrame, fits: list[Fit], n_features: int, bins: int) -> DataFrame:
+def _grow_in_jobs(table: DataFrame, fits: list[Fit], n_features: int, bins: int, by_vector: bool) -> DataFrame:
     spark = table.sparkSession
 
     def as_state(frame: DataFrame, change) -> DataFrame:
@@ -540,34 +708,71 @@ def _grow_in_jobs(table: DataFrame, fits: list[Fit], n_features: int, bins: int)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rows, margins in _unpacked(batch, n_features, bins, len(fits)):
-                made = [_score_row(f, rows.row_id[h], rows.by_row(m)[h]) for f, m in zip(fits, margins, strict=True) if (h := rows.held_out(f)).any()]
-                if made:
-                    yield pa.RecordBatch.from_pylist(made, TREES_ARROW)
+            for row, rows, margins in _unpacked(batch, n_features, bins, len(fits)):
+                for f, m in zip(fits, margins, strict=True):
+                    yield from [_score_vectors(f, row["block"], m)] if by_vector else _score_rows(f, rows, m)
 
     trees = spark.createDataFrame(pa.Table.from_pylist(grown, TREES_ARROW))  # bounded by the models
     return trees.unionByName(state.mapInArrow(scores, TREES))
 
 
-def grow(table: DataFrame, fits: list[Fit], thresholds: list[list[float]]) -> DataFrame:
+def in_task(table: DataFrame) -> bool:
+    """Whether a task can hold all ``blocks`` of a table."""
+    size = table.agg(F.sum("n").alias("n"), F.sum("vectors").alias("vectors")).first()
+    return (size["n"] or 0) <= max(TASK_ROWS, ONE_BLOCK_ROWS) and (size["vectors"] or 0) <= max(TASK_VECTORS, ONE_BLOCK_ROWS)
+
+
+def grow(table: DataFrame, fits: list[Fit], thresholds: list[list[float]], by_vector: bool = False) -> DataFrame:
     """Trees and held-out margins of all ``fits`` over a table of ``blocks``.
 
     One row per (fit, tree) with the tree as heap arrays, and rows with tree -1 that hold held-out row ids and their
-    margins.  A fit without rows, or with rows of one class, has trees that are single leaves.
+    margins, or ``by_vector`` the margins of a block's vectors for :func:`held_out_rows`.  A fit without rows, or with rows of
+    one class, has trees that are single leaves.
     """
     if len({f.name for f in fits}) < len(fits):
         raise ValueError("fits need distinct names")
     bins = max([len(t) for t in thresholds], default=0) + 1
-    n = table.count()
-    if n == 0:
+    if table.count() == 0:
         raise ValueError("no rows to train on")
-    return (_grow_in_tasks if n == 1 else _grow_in_jobs)(table, fits, len(thresholds), bins)
+    return (_grow_in_tasks if in_task(table) else _grow_in_jobs)(table, fits, len(thresholds), bins, by_vector)
+
+
+def held_out_rows(table: DataFrame, scores: DataFrame, lines: list[tuple[int, dict[str, Fit]]]) -> DataFrame:
+    """(line, row_id, fold, label, one column per name) of held-out rows, from the ``margins`` of the vectors of their blocks.
+
+    A line is a number and fits by column that hold out the same rows; ``scores`` has (fit, block, margins), and ``fold`` is the
+    first fold column.  Rows without an id have NULL.
+    """
+    columns = list(lines[0][1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows, margins = Rows(row, 0, 0), {m["fit"]: np.frombuffer(m["margins"], "<f8") for m in row["scores"]}
+                for line, fits in lines:
+                    held = np.flatnonzero(rows.held_out(next(iter(fits.values()))))
+                    for start in range(0, len(held), ROWS_AT_ONCE):
+                        at = held[start:start + ROWS_AT_ONCE]
+                        ids, vector = rows.row_id[at], rows.cell[at] >> 1
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), line, np.int32)), pa.array(ids, mask=ids == NO_ID),
+                             pa.array(rows.folds[rows.group[at], 0].astype(np.int32)), pa.array((rows.cell[at] & 1).astype(float)),
+                             *[pa.array(margins[fits[c].name][vector]) for c in columns]], names=["line", "row_id", "fold", "label", *columns])
+
+    by_block = scores.groupBy("block").agg(F.collect_list(F.struct("fit", "margins")).alias("scores"))
+    return table.withColumn("codes", F.lit(b"")).join(by_block, "block").mapInArrow(
+        run, ", ".join(["line int, row_id long, fold int, label double", *[f"`{c}` double" for c in columns]]))
+
+
+def probability(margin: str):
+    """The probability of class 1 that a margin stands for."""
+    return 1 / (1 + F.exp(-F.col(margin)))
 
 
 def held_out_scores(grown: DataFrame) -> DataFrame:
     """(fit, row_id, probability) of the rows that each fit held out."""
     rows = grown.where("tree = -1").select("fit", F.inline(F.arrays_zip("row_id", "margin")))
-    return rows.select("fit", "row_id", (1 / (1 + F.exp(-F.col("margin")))).alias("probability"))
+    return rows.select("fit", "row_id", probability("margin").alias("probability"))
 
 
 # ---- as a Spark ML model --------------------------------------------------------------------------------

@@ -6,8 +6,9 @@ rows on each side, and sibling leaves that predict the same class are one leaf.
 distinct vectors of a block (:mod:`.boosting`) instead of all rows, and draws are hashes of row id, tree and seed, so a
 retried task and another dealing of the rows give the same forest.  Thresholds are those of the whole training table.
 
-A forest is grown in tasks of ``TASK_TREES`` trees, which return nodes in Spark ML's saved form; a forest that only scores
-held-out rows is one task.  This is for tables of one block; larger ones are left to Spark ML's own trainer.
+Forests are grown in tasks of up to ``TASK_TREES`` trees, each over all blocks of the table.  The tasks return nodes in Spark
+ML's saved form, or, for forests that only score held-out rows, sums over their trees by vector; the forests of all folds share
+a tree's draws.  This is for tables that a task can hold (:func:`.boosting.in_task`); larger ones are left to Spark ML's own trainer.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..session import shared_path
 from . import boosting as B
 
@@ -42,11 +44,31 @@ class Forest:
     seed: int = 42
 
 
+def _times() -> tuple[np.ndarray, np.ndarray]:
+    """The hashes from which a row is drawn once more, and how often rows are drawn by the first 16 bits of their hash; 255 if these leave it open."""
+    cuts = np.array([c for c in map(B._cut, POISSON[:-1]) if c < 1 << 64], np.uint64)
+    first = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+    low, high = (np.searchsorted(cuts, h, side="right") for h in (first, first | np.uint64((1 << 48) - 1)))
+    return cuts, np.where(low == high, low, 255).astype(np.uint8)
+
+
+CUTS, TIMES = _times()
+
+
+def times_drawn(ids: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """How often the rows of some ids are drawn for tree ``number``."""
+    out = np.empty(len(ids), np.uint8)
+    for a, h in B._hashed(ids, seed + 11, number):
+        part = TIMES[h >> np.uint64(48)]
+        left = np.flatnonzero(part == 255)
+        part[left] = np.searchsorted(CUTS, h[left], side="right")
+        out[a:a + len(h)] = part
+    return out
+
+
 def drawn(rows: B.Rows, fit: Forest, number: int) -> np.ndarray:
     """(vectors, 2): how often rows of each label are drawn for tree ``number``."""
-    times = np.searchsorted(POISSON[:-1], B._shares(rows.row_id, fit.seed + 11, number), side="right") * rows.outside(fit.exclude)
-    upto = np.concatenate([[0], np.cumsum(times)])
-    return np.diff(upto[rows.ends], prepend=0).reshape(-1, 2)
+    return rows.outside_sums(rows.drawn(("forest", fit.seed), number, lambda ids: times_drawn(ids, fit.seed, number)), fit.exclude)
 
 
 def subsets(fit: Forest, number: int, level: int, n_features: int) -> np.ndarray:
@@ -100,13 +122,11 @@ def grow_tree(rows: B.Rows, fit: Forest, number: int) -> tuple[B.Tree, np.ndarra
     at = np.flatnonzero(counts.any(axis=1))
     sums = counts[at, 1].astype(float), counts[at].sum(axis=1).astype(float)
     tree, node = B.Tree(fit.depth), np.ones(rows.vectors, np.int64)
-    codes, first = rows.codes.ravel(), np.arange(rows.vectors) * rows.n_features
     for level in range(fit.depth):
         hist = rows.histogram_below(hist, tree, node[at], level, at, sums) if level else rows.histogram(node[at], 0, at, sums)
         if not split_level(tree, fit, number, level, hist):
             break
-        f = tree.feature[node]
-        node = np.where((f >= 0) & (node >= 1 << level), 2 * node + (codes[first + f] > tree.bin[node]), node)
+        node = rows.below(tree, node, level)
     prune(tree)
     return tree, tree.leaves()[node]
 
@@ -140,44 +160,50 @@ NODES_ARROW = pa.schema([("treeID", pa.int32()), ("nodeData", pa.struct([
     ("split", pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())), ("numCategories", pa.int32())]))]))])
 
 
-def _in_tasks(table: DataFrame, tasks: int) -> DataFrame:
-    numbered = table.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    return numbered.repartitionByRange(tasks, "number")
+def _in_tasks(table: DataFrame, trees: int, fits: list[Forest], thresholds: list[list[float]], grow, schema: str) -> DataFrame:
+    """What ``grow(rows, numbers of trees, number of the task, [(block, places of its vectors)])`` gives in tasks that share out the trees."""
+    tasks, n_features = B.tasks_of(table, trees, TASK_TREES), len(thresholds)
+    bins, columns = max([len(t) for t in thresholds], default=0) + 1, {c for f in fits for c, _ in f.exclude}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in B.blocks_by_number(batches):
+            names = [r["block"] for r in parts]
+            whole, places = B.joined(parts, n_features, columns)
+            del parts
+            yield from grow(B.Rows(whole, n_features, bins), range(number, trees, tasks), number, list(zip(names, places, strict=True)))
 
-def nodes(table: DataFrame, fit: Forest, thresholds: list[list[float]]) -> DataFrame:
-    """The nodes of a forest's trees over a table of one block."""
-    bins = max([len(t) for t in thresholds], default=0) + 1
+    return B.dealt_tasks(table, tasks).mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows, start = B.Rows(row, len(thresholds), bins), row["number"] * TASK_TREES
-                for number in range(start, min(start + TASK_TREES, fit.trees)):
-                    tree, _ = grow_tree(rows, fit, number)
-                    yield pa.RecordBatch.from_pylist(_nodes(number, tree, thresholds), NODES_ARROW)
 
-    return _in_tasks(table, -(-fit.trees // TASK_TREES)).mapInArrow(run, B.NODE)
+def nodes(table: DataFrame, fit: Forest, thresholds: list[list[float]]) -> DataFrame:
+    """The nodes of a forest's trees over a table of blocks."""
+    def grow(rows: B.Rows, numbers: range, _task: int, _blocks: list) -> Iterator[pa.RecordBatch]:
+        for number in numbers:
+            yield pa.RecordBatch.from_pylist(_nodes(number, grow_tree(rows, fit, number)[0], thresholds), NODES_ARROW)
 
+    return _in_tasks(table, fit.trees, [fit], thresholds, grow, B.NODE)
 
-def held_out(table: DataFrame, fits: list[Forest], thresholds: list[list[float]]) -> DataFrame:
-    """(fit, row_id, label, probability) of the rows that each forest holds out, over a table of one block."""
-    bins = max([len(t) for t in thresholds], default=0) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows, fit = B.Rows(row, len(thresholds), bins), fits[row["number"]]
-                held, total = rows.held_out(fit), np.zeros(rows.vectors)
-                for number in range(fit.trees if held.any() else 0):
+def held_out(table: DataFrame, fits: list[Forest], thresholds: list[list[float]]) -> DataFrame:
+    """(fit, row_id, label, probability) of the rows that each forest holds out, over a table of blocks."""
+    def grow(rows: B.Rows, numbers: range, task: int, blocks: list) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(fits), rows.vectors))
+        for number in numbers:
+            for i, fit in enumerate(fits):
+                if number < fit.trees:
                     tree, leaf = grow_tree(rows, fit, number)
-                    total += tree.value[leaf]
-                ids = rows.row_id[held]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([fit.name] * len(ids), pa.string()), pa.array(ids, pa.int64(), mask=ids == B.NO_ID),
-                     pa.array(rows.label[held]), pa.array(rows.by_row(total)[held] / fit.trees)], names=["fit", "row_id", "label", "probability"])
-
-    return _in_tasks(table, len(fits)).mapInArrow(run, "fit string, row_id long, label double, probability double")
+                    totals[i] += tree.value[leaf]
+        for block, at in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{f.name}" for f in fits]), pa.array([block] * len(fits), pa.int64()),
+                                              pa.array([t[at].astype("<f8").tobytes() for t in totals], pa.binary())], names=["fit", "block", "margins"])
+
+    trees = max(f.trees for f in fits)
+    tasks, named = B.tasks_of(table, trees, TASK_TREES), dict(enumerate(fits))
+    scores = _in_tasks(table, trees, fits, thresholds, grow, "fit string, block long, margins binary")
+    # The sums of the tasks are columns of their own, so they are added in one order.
+    rows = B.held_out_rows(table, scores, [(i, {f"t{t}": B.Fit(f"{t}-{f.name}", f.exclude) for t in range(tasks)}) for i, f in named.items() if f.exclude])
+    fit_of, share = (F.create_map(*[F.lit(x) for i, f in named.items() for x in (i, v(f))])[F.col("line")] for v in (lambda f: f.name, lambda f: f.trees))
+    return rows.select(fit_of.alias("fit"), "row_id", "label", (X.add_all([F.col(f"t{t}") for t in range(tasks)]) / share).alias("probability"))
 
 
 def as_spark_model(nodes: DataFrame, fit: Forest, n_features: int, label: str = "label", features: str = "features") -> RandomForestClassificationModel:

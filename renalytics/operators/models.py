@@ -4,8 +4,8 @@
   rounds, step 0.05, depth 6, their L1/L2 penalties, minimum rows or weight per leaf, leaf limit, row and column
   shares.  All fits that training and evaluation need (whole table, folds, folds inside folds) grow together in
   :mod:`.boosting` and become Spark ML models.
-* A 300-tree random forest (depth 10, at least 2 rows per leaf), grown over the same blocks (:mod:`.forest`); a table of
-  more than one block goes to Spark ML's ``RandomForestClassifier``.
+* A 300-tree random forest (depth 10, at least 2 rows per leaf), grown over the same blocks (:mod:`.forest`); a table that
+  a task cannot hold goes to Spark ML's ``RandomForestClassifier``.
 * Stacking: out-of-fold probabilities of the three boosted models feed a ``LogisticRegression`` with the original's
   unit L2 penalty; the whole ensemble is one ``PipelineModel``.
 
@@ -131,26 +131,35 @@ class Training:
     def grown(self, inner: bool = False) -> DataFrame:
         """Trees and held-out margins of :meth:`fits`."""
         def make() -> DataFrame:
-            return B.grow(self.blocks(), self.fits(inner), self.thresholds())
+            return B.grow(self.blocks(), self.fits(inner), self.thresholds(), by_vector=True)
         return self.registry.table("boosted-inner" if inner else "boosted", make)
 
+    def _held_out(self, line: str, keys: list[str], inner: bool) -> DataFrame:
+        """(line, row_id, fold, label, p_<tag> ...) of the rows that the fits hold out; fits of one line hold out the same rows."""
+        by_exclusion: dict[tuple, dict[str, B.Fit]] = {}
+        for fit in self.fits(inner):
+            if fit.exclude:
+                name, number = fit.name.split("-")[:2]
+                by_exclusion.setdefault((int(number), fit.exclude), {})[f"p_{TAGS[name]}"] = fit
+        rows = B.held_out_rows(self.blocks(), self.grown(inner).where("tree = -1"), [(n, fits) for (n, _), fits in by_exclusion.items()])
+        scores = [f"p_{t}" for t in TAGS.values()]
+        rows = rows.where("row_id IS NOT NULL").select(F.col("line").alias(line), "row_id", "fold", "label", *[B.probability(c).alias(c) for c in scores])
+        ids = F.col(self.row_id).alias("row_id")
+        if self.train.where(F.col(self.row_id).isNotNull()).groupBy(ids).count().where("count > 1").isEmpty():
+            return rows
+        # Rows that share an id share the greatest of their scores.
+        wide = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in scores])
+        return self.train.select(ids, "fold", F.col(self.label).alias("label")).join(wide, "row_id")
+
     def held_out(self) -> DataFrame:
         """(row_id, fold, label, p_<tag> ...): out-of-fold probabilities of the boosted models."""
-        def make() -> DataFrame:
-            scores = B.held_out_scores(self.grown())
-            wide = scores.groupBy("row_id").agg(*[F.max(F.when(F.col("fit").startswith(f"{n}-"), F.col("probability"))).alias(f"p_{TAGS[n]}")
-                                                  for n in BOOSTED])
-            return self.train.select(F.col(self.row_id).alias("row_id"), "fold", F.col(self.label).alias("label")).join(wide, "row_id")
-        return self.registry.table("held-out", make)
+        return self.registry.table("held-out", lambda: self._held_out("line", ["row_id"], False).select(
+            "row_id", "fold", "label", *[f"p_{t}" for t in TAGS.values()]))
 
     def held_out_inner(self) -> DataFrame:
         """(outer, row_id, label, p_<tag> ...): the same inside what is left of each outer fold."""
-        def make() -> DataFrame:
-            scores = B.held_out_scores(self.grown(inner=True)).withColumn("outer", F.split_part("fit", F.lit("-"), F.lit(2)).cast("int"))
-            wide = scores.groupBy("outer", "row_id").agg(*[
-                F.max(F.when(F.col("fit").startswith(f"{n}-"), F.col("probability"))).alias(f"p_{TAGS[n]}") for n in BOOSTED])
-            return wide.join(self.train.select(F.col(self.row_id).alias("row_id"), F.col(self.label).alias("label")), "row_id")
-        return self.registry.table("held-out-inner", make)
+        return self.registry.table("held-out-inner", lambda: self._held_out("outer", ["outer", "row_id"], True).select(
+            "outer", "row_id", *[f"p_{t}" for t in TAGS.values()], "label"))
 
     def _meta(self, rows: DataFrame):
         """[assembler, logistic regression] over base probabilities."""
@@ -172,15 +181,15 @@ class Training:
         model = B.as_spark_model(self.train.sparkSession, trees, self.thresholds(), fit, self.label)
         return PipelineModel(stages=[assembler(self.features), model])
 
-    def _one_block(self) -> bool:
-        """Whether the forest can grow over the block of the table; rows with gaps are refused as by the assembler."""
+    def _in_task(self) -> bool:
+        """Whether the forest can grow over the blocks of the table; rows with gaps are refused as by the assembler."""
         gaps = self.train.where(" OR ".join(f"`{c}` IS NULL OR isnan(`{c}`)" for c in self.features)).count()
         if gaps:
             raise ValueError(f"{gaps} training rows have a NULL or NaN feature; impute them before the forest is fitted")
-        return self.blocks().count() == 1
+        return B.in_task(self.blocks())
 
     def _forest(self) -> PipelineModel:
-        if not self._one_block():
+        if not self._in_task():
             return fit_pipeline(self.train, self.features, forest(self.n_trees, self.label))
         fit = FR.Forest(FOREST, trees=self.n_trees, seed=SEED)
         model = FR.as_spark_model(FR.nodes(self.blocks(), fit, self.thresholds()), fit, len(self.features), self.label)
@@ -220,7 +229,7 @@ class Training:
         return ((0, f),), F.col("fold") != f
 
     def _forest_folds(self) -> DataFrame:
-        if self._one_block():
+        if self._in_task():
             fits = [FR.Forest(f"{FOREST}-{f}", self._outside(f)[0], trees=self.n_trees, seed=SEED) for f in range(self.k)]
             return FR.held_out(self.blocks(), fits, self.thresholds()).select(
                 F.lit(FOREST).alias("model"), "row_id", F.split_part("fit", F.lit("-"), F.lit(2)).cast("int").alias("fold"), "label", "probability")
@@ -260,7 +269,7 @@ class InFoldTraining(Training):
         return ["fold", *(f"skip_{f}" for f in range(self.k))]
 
     def grown(self, inner: bool = False) -> DataFrame:
-        return self.registry.table("boosted-in-fold", lambda: B.grow(self.blocks(), self.fits(inner), self.thresholds()))
+        return self.registry.table("boosted-in-fold", lambda: B.grow(self.blocks(), self.fits(inner), self.thresholds(), by_vector=True))
 
     def _outside(self, f: int) -> tuple[tuple, Column]:
         return ((1 + f, 1), (0, f)), (F.col(f"skip_{f}") == 0) & (F.col("fold") != f)
