@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from ..functions import exprs as X
 from ..functions import fixed
 from ..functions.spec import COHORT_SPEC, ColumnSpec
 from .attribution import linear_margin, sigmoid
+from .cells import with_probabilities
 from .features import _encoders
 
 
@@ -105,7 +105,7 @@ def clinical_columns(df: DataFrame, p: Column, spec: ColumnSpec, threshold: floa
 
 
 def score_fitted(df: DataFrame, art: ScoringArtefacts, model: PipelineModel, threshold: float = fixed.DECISION_THRESHOLD) -> DataFrame:
-    """The raw columns with what a fitted pipeline makes of them (R4); rows only, so it runs on batches and streams.
+    """The raw columns with what a fitted pipeline makes of them (R4), on batches (by cells, :mod:`.cells`) and streams (row by row).
 
     The features are encoded, imputed and scaled as in training.  A row with a NULL or NaN feature left is kept with NULL
     probability, class and band.  Input columns named like an added one are replaced.
@@ -115,8 +115,8 @@ def score_fitted(df: DataFrame, art: ScoringArtefacts, model: PipelineModel, thr
     known = [F.col(_x(c)).isNotNull() & ~F.isnan(_x(c)) for c in art.features]
     packed = x.select(F.struct(*raw.columns).alias("raw"), reduce(lambda a, b: a & b, known).alias("known"),
                       *[F.coalesce(F.nanvl(_x(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in art.features])
-    scored = model.transform(packed)
-    p = F.when(F.col("known"), vector_to_array("probability")[1])
+    scored = with_probabilities(packed, {"__score": model})
+    p = F.when(F.col("known"), F.col("__score"))
     return clinical_columns(scored.select("raw.*", p.alias("__p")), F.col("__p"), art.spec, threshold).drop("__p")
 
 

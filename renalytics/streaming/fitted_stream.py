@@ -1,6 +1,7 @@
 """Scoring of arriving patients by a fitted pipeline of the registry, with a sink that a replayed batch leaves as it is.
 
-``readStream`` -> :func:`..operators.scoring.score_fitted` -> ``foreachBatch``.  Every batch is written to a folder of
+``readStream`` -> ``foreachBatch`` -> :func:`..operators.scoring.score_fitted`.  Every batch is scored as a batch (one row per cell of
+the model's thresholds) and written to a folder of
 its own number and then recorded by a row of counts (rows, unscored rows, unmapped values, classes), which are observed
 while the rows are written.  A batch that is recorded is skipped when it comes again; one that is not, because the
 driver was lost in between, is written anew over what is left of it.  Readers take recorded batches only.
@@ -52,7 +53,6 @@ def start_fitted_scoring(spark: SparkSession, source: str, schema: StructType, a
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     keep = list(dict.fromkeys([art.spec.id, *[c for c in (*art.spec.yes_no, art.spec.gender, art.spec.living_area) if c in schema.names]]))
-    scored = score_fitted(reader.parquet(source), art, model).select(*keep, *SCORED)
-    writer = scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda rows, batch: put_batch(rows, batch, sink, art) and None)
+    writer = reader.parquet(source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda rows, batch: put_batch(score_fitted(rows, art, model).select(*keep, *SCORED), batch, sink, art) and None)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()

@@ -1,12 +1,16 @@
-"""Fits over several blocks in tasks, shared draws, and held-out rows from vectors."""
+"""Fits over several blocks in tasks, shared draws, held-out rows from vectors, and scores by cells."""
 
+import math
 import tempfile
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from renalytics.operators import boosting as B
+from renalytics.operators import cells as C
 from renalytics.operators import forest as FR
 from renalytics.operators import models as MD
 from renalytics.operators.model_registry import Registry
@@ -137,3 +141,33 @@ def test_repeated_and_missing_ids_of_held_out_rows(spark, train, monkeypatch):
     held = run_of(spark, ids, monkeypatch).held_out().collect()
     assert len(held) == 894 and len({r["p_xgb"] for r in held if r["row_id"] == 7}) == 1
     assert len([r for r in held if r["row_id"] == 7]) == 4
+
+
+def test_trees_score_one_row_of_each_cell(spark, train, monkeypatch):
+    run = run_of(spark, train, monkeypatch)
+    models = run.models()
+    cuts = C.thresholds(models["Stacking"])
+    edges = [math.inf, -math.inf, cuts[0][0], cuts[0][-1], math.nextafter(cuts[0][0], math.inf)]
+    more = spark.createDataFrame([(float(e), float(b), 1.0, 1000 + 10 * i + b) for i, e in enumerate(edges) for b in range(3)], "a double, b double, c double, row_id long")
+    rows = train.select("a", "b", "c", "row_id").unionByName(more)
+    rows = rows.unionByName(rows.withColumn("row_id", F.col("row_id") + 5000))
+    want = {}
+    for name, m in models.items():
+        want |= {(name, r["row_id"]): r["p"] for r in m.transform(rows).select("row_id", vector_to_array("probability")[1].alias("p")).collect()}
+    transformed, plain = [], C._row_by_row
+    monkeypatch.setattr(C, "_row_by_row", lambda df, m: (transformed.append(df), plain(df, m))[1])
+    long = MD.predictions_long(models, rows, ["row_id"])
+    assert {(r["model"], r["row_id"]): r["probability"] for r in long.collect()} == want
+    single = MD.predict(models["XGBoost"], rows, ["row_id"])
+    assert {("XGBoost", r["row_id"]): r["probability"] for r in single.collect()}.items() <= want.items()
+    assert all("__cell0" in df.columns for df in transformed)
+    assert transformed[1].count() < 950  # of 1830 rows
+    with pytest.raises(Exception, match="(?i)null"):
+        MD.predict(models["CatBoost"], rows.withColumn("a", F.when(F.col("row_id") != 3, F.col("a"))), ["row_id"]).collect()
+
+
+def test_pipelines_that_use_features_otherwise_are_scored_row_by_row(spark, train):
+    from pyspark.ml.classification import LogisticRegression
+    linear = MD.plain(MD.fit_pipeline(train, FEATS, LogisticRegression(labelCol="label")))
+    assert isinstance(linear, PipelineModel) and C.thresholds(linear) is None
+    assert MD.predict(linear, train, ["row_id"]).count() == 900
